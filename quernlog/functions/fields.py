@@ -27,7 +27,8 @@ def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add expensive columns so that each is evaluated once per row.
 
     A filter on a plain computed column is pushed below the projection together with a copy of its
-    expression; a one-element generator keeps the filter above and the expression single.
+    expression, and constraints over many such columns multiply while planning; a one-element generator
+    keeps the filter above and the expression single.
     """
     made = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     return rows.select("*", F.inline(F.array(made)))
@@ -67,7 +68,7 @@ def promote(
         column_name("d", k): F.coalesce(F.nullif(value("_top", k), F.lit("")), value("_data", k)) for k in nested
     }
     added |= {column_name("x", k): value("_extras", k) for k in extra}
-    return parsed.withColumns(added).drop("_top", "_data", "_extras")
+    return computed_once(parsed, added).drop("_top", "_data", "_extras")
 
 
 def with_source(events: DataFrame, sources: DataFrame | None, columns: Iterable[str]) -> DataFrame:

@@ -27,4 +27,6 @@ def load() -> None:
     """Import the modules that register queries."""
     from quernlog.plans import (  # noqa: F401
         q_detect,
+        q_rules,
+        q_search,
     )
