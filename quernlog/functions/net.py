@@ -128,21 +128,3 @@ def strip_port(text: Column) -> Column:
     v4 = F.regexp_extract(text, r"^(\d+\.\d+\.\d+\.\d+):\d{1,5}$", 1)
     v6 = F.regexp_extract(text, r"^\[([^\]]+)\]:\d{1,5}$", 1)
     return F.when(v4 != "", v4).when(v6 != "", v6).otherwise(text)
-
-
-def split_endpoint(endpoint: Column) -> Column:
-    """struct(addr, port) of a socket-table endpoint: the last ':' splits, brackets and %iface go."""
-    bracketed = r"^\[([^\]]*)\]:?(.*)$"
-    plain = r"^(.*):([^:]*)$"
-    is_bracket = endpoint.startswith("[")
-
-    def part(i: int, otherwise: Column) -> Column:
-        return (
-            F.when(is_bracket, F.regexp_extract(endpoint, bracketed, i))
-            .when(endpoint.contains(":"), F.regexp_extract(endpoint, plain, i))
-            .otherwise(otherwise)
-        )
-
-    return F.struct(
-        F.regexp_replace(part(1, endpoint), "%.*$", "").alias("addr"), part(2, F.lit("")).alias("port")
-    )

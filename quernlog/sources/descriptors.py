@@ -50,7 +50,7 @@ def _json_fields(lines: DataFrame, desc: dict) -> DataFrame:
     )
 
 
-def _cells(text: Column, delimiter: str) -> Column:
+def cells(text: Column, delimiter: str) -> Column:
     """Cells of a delimited line; quotes inside a cell are taken as they are."""
     d = re.escape(delimiter)
     quoted = rf'"(?:[^"]|""|"(?!{d}|$))*"'
@@ -73,7 +73,7 @@ def _csv_fields(lines: DataFrame, desc: dict) -> DataFrame:
     )
     joined = lines.join(header, "source_id", "left")
     parsed = computed_once(
-        joined, {"_c": _cells(F.col("raw"), delimiter), "_h": _cells(F.col("_head"), delimiter)}
+        joined, {"_c": cells(F.col("raw"), delimiter), "_h": cells(F.col("_head"), delimiter)}
     )
     return parsed.withColumns(
         {
