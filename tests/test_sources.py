@@ -238,7 +238,7 @@ def test_zone_and_canonical_record(spark, lines):
 
     def ts(tz):
         src = spark.createDataFrame([("c", "s", tz, "audit_log", "pkg_log", "h")], schema)
-        return str(to_events(recs, src).collect()[0].ts), json.loads(canonical_records(recs, src).collect()[0].record)["ts_utc"] if tz else None
+        return str(to_events(recs, src).collect()[0].ts), json.loads(canonical_records(recs, src).collect()[0].record).get("ts_utc") if tz else None
 
     assert ts("Asia/Shanghai") == ("2025-01-01 19:04:05", "2025-01-01T19:04:05Z")
     assert ts("UTC+8")[0] == ts("Asia/Beijing")[0] == ts("GMT+08:00")[0] == "2025-01-01 19:04:05"
