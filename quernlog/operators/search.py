@@ -94,12 +94,13 @@ def search(events: DataFrame, params: SearchParams, sources: DataFrame | None =
     return page.limit(limit).select("source_id", "line_no", "ts", "kind", "fields", "raw")
 
 
-def line_range(lines: DataFrame, source_id: str, first: int, last: int) -> DataFrame:
-    """Original lines of a source, at most 1000 of them, in order."""
+def line_range(lines: DataFrame, source_id: str | None, first: int, last: int) -> DataFrame:
+    """Original lines of a source (or of each source), at most 1000 of them, in order."""
     last = min(last, first + MAX_LIMIT - 1)
-    return lines.filter(
-        (F.col("source_id") == source_id) & F.col("line_no").between(first, last)
-    ).orderBy("line_no")
+    ranged = lines.filter(F.col("line_no").between(first, last))
+    if source_id is not None:
+        ranged = ranged.filter(F.col("source_id") == source_id)
+    return ranged.orderBy("source_id", "line_no")
 
 
 def page_range(page: int, size: int) -> tuple[int, int]:

@@ -30,4 +30,5 @@ def load() -> None:
         q_review,
         q_rules,
         q_search,
+        q_sources,
     )
