@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quernlog.functions.fields import event_id, key_text, promote, route, usable
 from quernlog.operators.chunked import CHUNK, follow, with_next, with_prefix
 from quernlog.operators.findings import finding
+from quernlog.session import materialized
 
 WEB = ("web_access",)
 WINDOWS_LOG = ("windows_event_log",)
@@ -116,10 +117,12 @@ def _episodes_from_edges(edges: DataFrame, rows: DataFrame, group: list[str], th
 
 
 def _counted(rows: DataFrame, group: list[str], chunk: int) -> DataFrame:
-    return with_prefix(
-        rows, group, "line_no", sums={"seen": F.col("fail").cast("bigint")},
-        lasts={"last_fail": F.when(F.col("fail"), F.struct("line_no", "ts"))}, size=chunk,
-    ).checkpoint()
+    return materialized(
+        with_prefix(
+            rows, group, "line_no", sums={"seen": F.col("fail").cast("bigint")},
+            lasts={"last_fail": F.when(F.col("fail"), F.struct("line_no", "ts"))}, size=chunk,
+        )
+    )
 
 
 def _oversized_latest_anchor(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlog.session import ensure_checkpoint_dir
+from quernlog.session import materialized
 
 CHUNK = 1 << 22
 
@@ -101,16 +101,14 @@ def follow(edges: DataFrame, group: list[str], start: int = 0) -> DataFrame:
     2^k steps are known, so the number of rounds grows with the logarithm of the longest path and
     every round is a distributed join.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = edges.checkpoint()
+    edges = materialized(edges)
     jump = edges.select(*group, "src", "dst")
     reached = edges.select(*group).distinct().withColumn("src", F.lit(start).cast("bigint"))
     while True:
         found = reached.join(jump, [*group, "src"]).select(*group, F.col("dst").alias("src")).checkpoint()
         if found.isEmpty():
             break
-        reached = reached.unionByName(found).checkpoint()
+        reached = reached.unionByName(found)
         onward = jump.select(*group, F.col("src").alias("dst"), F.col("dst").alias("_to"))
         jump = (
             jump.join(onward, [*group, "dst"]).select(*group, "src", F.col("_to").alias("dst")).checkpoint()

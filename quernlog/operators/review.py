@@ -26,6 +26,11 @@ def next_round(runs: DataFrame, case_id: str) -> int:
     return runs.filter(F.col("case_id") == case_id).agg(F.coalesce(F.max("round_no"), F.lit(0)) + 1).first()[0]
 
 
+def next_rounds(runs: DataFrame) -> DataFrame:
+    """The next round number of every case that has runs."""
+    return runs.groupBy("case_id").agg((F.max("round_no") + 1).alias("next_round"))
+
+
 def findings_to_hits(findings: DataFrame, severities: dict[str, str], default: str = "medium") -> DataFrame:
     """Detector findings as candidate rows; each operator's own columns go into ``detail``."""
     packed = pack_detail(findings)

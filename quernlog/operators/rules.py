@@ -13,6 +13,7 @@ from quernlog.data.rules import ALL_RULES, ENTITY_RULES, EVENT_RULES
 from quernlog.functions.fields import computed_once, promote
 from quernlog.functions.net import let
 from quernlog.operators.findings import SNIPPET_CHARS
+from quernlog.session import materialized
 
 SUFFIXES = {"_contains": "contains", "_prefix": "prefix", "_eq": "eq", "_endswith": "endswith"}
 KEY = ["case_id", "source_id", "line_no", "rule_id"]
@@ -215,9 +216,11 @@ def rule_table(spark: SparkSession, rules: list[dict] | None = None) -> DataFram
 def with_outcome(hits: DataFrame, existing: DataFrame | None, cap: int | dict[str, int] = 500) -> DataFrame:
     """Mark each match 'new', 'dup' (already stored) or 'truncated' (after the cap-th new one).
 
-    Only the first ``cap`` new rows of a rule are ranked; the place of the cap-th one is the cut-off every
-    other row is compared with, so no rule's matches are gathered anywhere.
+    The matches are computed once and kept, events are not scanned again.  Only the first ``cap`` new rows of
+    a rule are ranked; the place of the cap-th one is the cut-off every other row is compared with, so no
+    rule's matches are gathered anywhere.
     """
+    hits = materialized(hits)
     if existing is None:
         flagged = hits.withColumn("_new", F.lit(True))
     else:

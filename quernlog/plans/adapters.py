@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernlog.functions.fields import computed_once
+
+# tables whose rows are costly to work on
+SPREAD = {"events", "documents", "pages"}
 K_SPARK = "CAST(get_json_object(props, '$.k') AS BIGINT)"
 K_DUCK = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -153,21 +157,27 @@ def duck_cte(columns: dict[str, str], name: str = "ev", table: str = "events", r
     return f"{name} AS (SELECT {', '.join(parts)} FROM {table})"
 
 
-def _project(table: DataFrame, columns: dict[str, str]) -> DataFrame:
-    exprs = []
-    for alias, expr in columns.items():
-        text = expr.replace("{k}", K_SPARK)
+def _project(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Event columns: keys plainly, values computed once per row as if they were stored."""
+    rows = computed_once(rows, {"_k": F.expr(K_SPARK)})
+
+    def expr(text: str) -> str:
         # sha2 takes the digest size as a second argument here
-        text = text.replace("sha2_hex(CAST(user_id % 60 AS STRING))", "sha2(CAST(user_id % 60 AS STRING), 256)")
-        exprs.append(f"{text} AS `{alias}`")
-    columns = table.selectExpr(*exprs).columns
-    # a stored event table has these as columns; here they are computed once per row
-    made = ", ".join(f"'{c}', {e.rsplit(' AS ', 1)[0]}" for c, e in zip(columns, exprs, strict=True))
-    return table.select(F.expr(f"inline(array(named_struct({made})))"))
+        sha = "sha2(CAST(user_id % 60 AS STRING), 256)"
+        return text.replace("{k}", "_k").replace("sha2_hex(CAST(user_id % 60 AS STRING))", sha)
+
+    values = {c: F.expr(expr(e)) for c, e in columns.items() if c[:2] in ("f_", "d_")}
+    keys = [F.expr(expr(e)).alias(c) for c, e in columns.items() if c not in values]
+    return computed_once(rows, values).select(*keys, *values)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table.  Its single file is one read task, so small inputs are spread over the cores first."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def web_events(spark: SparkSession, sf_dir: str, promoted: bool = True) -> DataFrame:

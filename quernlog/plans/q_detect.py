@@ -87,6 +87,12 @@ def bruteforce(spark: SparkSession, sf: str) -> DataFrame:
     return _bruteforce(spark, sf)
 
 
+@query("detect_bruteforce_chain_large_groups", _BF_SQL)
+def bruteforce_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Every client over 20 rows takes the way of oversized groups."""
+    return _bruteforce(spark, sf, group_rows=20, chunk=2048)
+
+
 _AUTH_SQL = _chain_sql(
     WIN_CTE, "f_computer || chr(31) || d_TargetUserName", "f_event_id = '4625'", "f_event_id = '4624'",
     "d_TargetUserName NOT IN ('', '-') AND NOT ends_with(d_TargetUserName, '$')",
@@ -112,6 +118,12 @@ def auth(spark: SparkSession, sf: str) -> DataFrame:
     return _auth(spark, sf)
 
 
+@query("detect_auth_chain_large_groups", _AUTH_SQL)
+def auth_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Every account over 20 rows takes the way of oversized groups."""
+    return _auth(spark, sf, group_rows=20, chunk=2048)
+
+
 # ---- step sequences -------------------------------------------------------------------------------
 
 _SEQ_SQL = f"""{WEB_CTE},

@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import the modules that register queries."""
     from quernlog.plans import (  # noqa: F401
+        q_candidates,
         q_detect,
         q_review,
         q_rules,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Safe to change on a live session.  Shuffle sizing is left to the cluster: AQE coalesces small
 # partitions and splits skewed join sides at run time.
@@ -48,3 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quernlog-ckpt-"))
+
+
+def materialized(rows: DataFrame) -> DataFrame:
+    """Rows computed once and kept in the checkpoint folder, for results that are read several times."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
