@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,15 @@ def _signatures(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
         .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_t"))
     )
     prefix = (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int")
-    blocks = ordered.select("case_id", "id", F.explode(F.slice("_t", F.lit(1), prefix)).alias("_e")).select(
-        "case_id", "id", F.concat(F.lit("k:"), F.col("_e.token")).alias("token")
-    )
+    # sets whose sizes differ by more than the threshold allows cannot be similar: size classes one threshold
+    # wide keep them apart, and every set also stands in the next class up
+    width = math.log(1 / threshold) * (1 + 1e-9)
+    size_class = F.floor(F.log(F.col("_n").cast("double")) / width)
+    blocks = ordered.select(
+        "case_id", "id", F.explode(F.slice("_t", F.lit(1), prefix)).alias("_e"), size_class.alias("_class")
+    ).select(
+        "case_id", "id", F.explode(F.array(F.col("_class"), F.col("_class") + 1)).alias("_class"), "_e.token"
+    ).select("case_id", "id", F.concat_ws(":", F.lit("k"), F.col("_class").cast("string"), "token").alias("token"))
     same = reps.select("case_id", "id", F.concat(F.lit("n:"), F.sha2("norm", 256)).alias("token"))
     return reps, blocks.unionByName(same).checkpoint()
 
