@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernlog.functions.fields import computed_once
 from quernlog.functions.times import parse_time
 from quernlog.operators.chunked import CHUNK, follow, with_next, with_prefix
+from quernlog.session import materialized
 from quernlog.sources.records import groups, is_blank, record
 
 MAP = "map<string,variant>"
@@ -171,13 +172,17 @@ def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
     start = start if start.startswith("^") else "^(?:" + start + ")"
     blank_lines = lines.filter(is_blank(F.col("raw"))).select("source_id", "line_no", "raw")
     texts = lines.filter(~is_blank(F.col("raw"))).select(
-        "source_id", "line_no", "raw", F.col("raw").rlike(start).alias("_start"), F.length("raw").cast("bigint").alias("_len")
+        "source_id", "line_no", F.col("raw").rlike(start).alias("_start"), F.length("raw").cast("bigint").alias("_len")
     )
-    counted = with_prefix(
-        texts, ["source_id"], "line_no",
-        sums={"_island": F.col("_start").cast("bigint"), "_row": F.lit(1).cast("bigint"), "_chars": F.col("_len")},
-        size=chunk,
+    # the block structure is worked out without the text and kept; the text joins once at the end
+    counted = materialized(
+        with_prefix(
+            texts, ["source_id"], "line_no",
+            sums={"_island": F.col("_start").cast("bigint"), "_row": F.lit(1).cast("bigint"), "_chars": F.col("_len")},
+            size=chunk,
+        )
     )
+    original = lines.select("source_id", "line_no", "raw")
     islands = counted.filter("_island > 0").groupBy("source_id", "_island").agg(
         F.min("_row").alias("_row0"), F.min(F.struct("_row", F.col("_chars") - F.col("_len"))).alias("_c0")
     ).select("source_id", "_island", "_row0", F.col("_c0.col2").alias("_chars0"))
@@ -191,7 +196,7 @@ def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
     # an island is cut by line count alone unless some count-sized piece is too long
     long_islands = sizes.filter((F.col("_size") > max_chars) & (F.col("_n") > 1)).select("source_id", "_island").distinct()
     plain = by_count.join(long_islands, ["source_id", "_island"], "left_anti")
-    pieces = plain.select("source_id", "line_no", "raw", "_island", "_part")
+    pieces = plain.select("source_id", "line_no", "_island", "_part")
     if not long_islands.isEmpty():
         tight = placed.join(long_islands, ["source_id", "_island"], "left_semi")
         cuts = _cuts(tight, max_cont, max_chars, chunk).select("source_id", "_island", F.col("src").alias("_i"))
@@ -200,11 +205,12 @@ def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
             flagged, ["source_id", "_island"], "_i", sums={"_part": F.coalesce("_cut", F.lit(0)).cast("bigint")}, size=chunk
         )
         pieces = pieces.unionByName(
-            numbered.select("source_id", "line_no", "raw", "_island", (F.col("_part") - 1).alias("_part"))
+            numbered.select("source_id", "line_no", "_island", (F.col("_part") - 1).alias("_part"))
         )
     last_part = pieces.groupBy("source_id", "_island").agg(F.max("_part").alias("_last"))
     blocks = (
-        pieces.groupBy("source_id", "_island", "_part")
+        pieces.join(original, ["source_id", "line_no"])
+        .groupBy("source_id", "_island", "_part")
         .agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_lines"))
         .join(last_part, ["source_id", "_island"])
     )
@@ -218,13 +224,15 @@ def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
         F.lit(False).alias("_lost"),
     )
 
+    lost = counted.filter("_island = 0").select("source_id", "line_no").join(original, ["source_id", "line_no"])
+
     def alone(rows: DataFrame, lost: bool) -> DataFrame:
         return rows.select(
             "source_id", "line_no", "raw", F.lit(1).cast("bigint").alias("_parts"), F.lit(False).alias("_truncated"),
             F.lit(False).alias("_orphan"), F.lit(lost).alias("_lost"),
         )
 
-    return merged.unionByName(alone(counted.filter("_island = 0"), True)).unionByName(alone(blank_lines, False))
+    return merged.unionByName(alone(lost, True)).unionByName(alone(blank_lines, False))
 
 
 def _cuts(tight: DataFrame, max_cont: int, max_chars: int, chunk: int) -> DataFrame:
