@@ -28,7 +28,7 @@ _RULE_SQL = r"""
 with w as (
   select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
 ), lines as (
-  select doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) ls from w
+  select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from w
 ), grams as (
   select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g
   from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w)
