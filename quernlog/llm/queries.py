@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernlog.llm import rule_ledger
+from quernlog.llm import bpe_chunks, fair_mixing, language_id, line_templates, order_minhash, rule_ensemble, rule_ledger
 from quernlog.llm.native import documents
+from quernlog.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +61,72 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rule_ledger.apply_policy(rule_ledger.ledger(documents(spark, sf_dir)), "base-1")
     rows = rows.withColumn("base_failed", ~rows["kept"])
     return rule_ledger.apply_policy(rows, "strict-1")
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = language_id.fold("doc_id", 5) == 0
+    model = language_id.fit(docs, held_out)
+    rows = language_id.identify(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_pairs(documents(spark, sf_dir))
+
+
+_MIX_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents
+), s as (
+  select source, sum(size)::bigint source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3)::int + 1] weight
+  from d group by source
+), f as (
+  select *, 2 * source_size / weight fill, sum(source_size) over () * 150 / 100 budget from s
+), l as (
+  select *, (budget - coalesce(sum(2 * source_size) over u, 0)) / (sum(weight) over () - coalesce(sum(weight) over u, 0)) lev
+  from f window u as (order by fill, source nulls last rows between unbounded preceding and 1 preceding)
+), t as (
+  select source, source_size, budget,
+    case when fill <= lv then 2.0::double * source_size else weight * lv end target
+  from (select *, (select arg_min(lev, fill) from l where fill > lev) lv from l)
+), e as (
+  select doc_id, d.source, size, p, source_size, target, budget,
+    ('0x' || substr(md5('mix:' || doc_id || ':1:' || p), 1, 15))::bigint place
+  from d join t on d.source is not distinct from t.source, (select unnest([0, 1]) p)
+), c as (
+  select *, sum(size) over (partition by source order by p, place, doc_id rows unbounded preceding) / target finish from e
+), g as (
+  select *, sum(size) over (order by finish, place, doc_id, p rows unbounded preceding) <= budget fits from c
+)
+select doc_id, first(size) size, first(source_size) source_size, first(target) target,
+  sum(case when fits then size else 0 end)::bigint taken, sum(fits::int)::bigint times
+from g group by doc_id
+"""
+
+
+@query("op5_fair_mixing", _MIX_SQL)
+def op5_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+@query("op6_rule_ensemble")
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = materialized(rule_ensemble.with_statistics(documents(spark, sf_dir).select("doc_id", "text")))
+    held_out = language_id.fold("doc_id", 4) == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ensemble = rule_ensemble.fit(statistics.filter(~held_out), labels)
+    return rule_ensemble.score(statistics, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op8_bpe_chunks")
+def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digests(documents(spark, sf_dir))
+
+
+@query("op9_line_templates")
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_templates.without_recurring(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_text"))
