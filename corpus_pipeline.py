@@ -1,15 +1,63 @@
-"""Corpus pipeline: the stages of cleaning a document collection, each one an operator of ``quernlog.llm``."""
+"""Corpus pipeline: from raw documents to token ids of a deduplicated, mixed training set.
+
+Each stage takes the documents that the one before kept and, but for the last, returns documents with the same columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernlog.llm import bpe_chunks, fair_mixing, language_id, line_templates, ngram_jaccard
+from quernlog.llm.native import stored
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those that the calibrated model rejects go, texts without a letter too."""
+    model = language_id.fit(docs, F.lit(False))
+    others = [c for c in docs.columns if c != "text"]
+    found = language_id.identify(docs.withColumn("_whole", F.col("text")), model, [*others, "_whole"])
+    kept = found.filter(~F.col("rejected")) if model.languages else found
+    return kept.withColumn("text", F.col("_whole")).select(*docs.columns)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with lines that recur across them left in one only."""
+    rows = line_templates.without_recurring(docs)
+    return rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return ngram_jaccard.one_of_each(docs, size=5, percent=80)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources; a document taken twice is there twice."""
+    return fair_mixing.mixed_documents(docs)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    return bpe_chunks.encoded(docs, keep=("doc_id", "source"))
+
 
-STAGES = []
+STAGES = [
+    ("language ID", identified),
+    ("line dedup", without_boilerplate),
+    ("n-gram Jaccard join", without_copies),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", tokenized),
+]
+#: Training, and encoding by a vocabulary, are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; what a stage returns is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs

@@ -27,14 +27,16 @@ def slices(batch: pa.RecordBatch, texts: str = "text") -> Iterator[pa.RecordBatc
 
 
 def map_texts(
-    docs: DataFrame, keep: list[str], schema: str, start: Callable[[], Callable[[list[str]], dict[str, list | object]]]
+    docs: DataFrame, keep: list[str], schema: str, start: Callable[[], Callable[..., dict[str, list | object]]], also: str | None = None
 ) -> DataFrame:
     """Columns ``keep`` as they are, and the columns of ``schema`` that the function from ``start`` gives for the texts.
 
-    ``start`` runs once per task.  Null texts come as empty strings.
+    ``start`` runs once per task.  Null texts come as empty strings.  The function also gets the numbers of the column
+    ``also``, if there is one, as an array.
     """
-    kept = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = StructType([*kept.drop("text").schema.fields, *_parse_datatype_string(schema).fields])
+    given = [] if also is None else [F.col(also).alias("_also")]
+    kept = docs.select(*keep, *given, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = StructType([*kept.drop("text", "_also").schema.fields, *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(out)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
@@ -42,7 +44,8 @@ def map_texts(
         run = start()
         for batch in batches:
             for part in slices(batch):
-                made = run(part.column("text").to_pylist())
+                texts = part.column("text").to_pylist()
+                made = run(texts) if also is None else run(texts, part.column("_also").to_numpy())
                 columns = [part.column(f.name) if f.name in keep else pa.array(made[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

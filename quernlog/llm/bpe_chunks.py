@@ -207,15 +207,23 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return map_texts(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", start)
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id`` and the ids of each text as an array, for a stored training set; null texts have no ids."""
+def encoded(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, n_tokens, the ids of each text, and whether decoding them gives the text again (``exact``).
+
+    Null texts count as empty.
+    """
     path = vocabulary or default_vocabulary()
 
     def start() -> Callable[[list[str]], dict[str, list]]:
         codec = _codec(path)
-        return lambda texts: {"ids": [codec.encode(t) for t in texts]}
 
-    return map_texts(docs, ["doc_id"], "ids array<int>", start)
+        def run(texts: list[str]) -> dict[str, list]:
+            ids = [codec.encode(t) for t in texts]
+            return {"n_tokens": [len(i) for i in ids], "ids": ids, "exact": [codec.decode(i) == t for i, t in zip(ids, texts)]}
+
+        return run
+
+    return map_texts(docs, list(keep), "n_tokens long, ids array<int>, exact boolean", start)
 
 
 def decoded(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernlog.session import ensure_checkpoint_dir
+
 #: The six ASCII white-space characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
 _RUN = "[\\x20\\x09-\\x0D]+"
@@ -45,3 +48,12 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str, salts:
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared checkpoint folder and read again; compressed, unlike a checkpoint."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlog.llm import bpe_chunks, fair_mixing, language_id, line_templates, order_minhash, rule_ensemble, rule_ledger
+from quernlog.llm import (
+    bpe_chunks,
+    fair_mixing,
+    language_id,
+    line_templates,
+    lm_difference,
+    ngram_jaccard,
+    order_minhash,
+    rule_ensemble,
+    rule_ledger,
+    unigram_counts,
+)
 from quernlog.llm.native import documents
 from quernlog.session import materialized
 
@@ -77,6 +88,18 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_pairs(documents(spark, sf_dir))
 
 
+@query("op3_unigram_counts")
+def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.count(documents(spark, sf_dir))
+
+
+@query("op4_lm_difference")
+def op4_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0")
+    return lm_difference.score(docs, lm_difference.fit(docs, good))
+
+
 _MIX_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents
@@ -121,6 +144,31 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(statistics, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+_JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') w from documents
+), g as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) i from w where len(w) > 0)
+), n as (
+  select doc_id, count(*) n from g group by doc_id
+), links as (
+  select a, b from (select x.doc_id a, y.doc_id b, count(*) common from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2)
+  join n p on p.doc_id = a join n q on q.doc_id = b where 100 * common >= 90 * (p.n + q.n - common)
+), reach(a, b) as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+)
+select w.doc_id, coalesce(n, 0)::bigint n_shingles, least(w.doc_id, coalesce(lowest, w.doc_id)) component_id
+from w left join n using (doc_id) left join (select a, min(b) lowest from reach group by a) on a = w.doc_id
+"""
+
+
+@query("op7_ngram_jaccard", _JACCARD_SQL)
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(documents(spark, sf_dir), size=3, percent=90)
+
+
 @query("op8_bpe_chunks")
 def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(documents(spark, sf_dir))
