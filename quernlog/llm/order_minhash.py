@@ -131,28 +131,31 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     likeness to the next is null.  An empty table gives no rows; columns beside doc_id and text are left out.
     """
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    base = docs.select("doc_id", text_of().alias("text")).withColumn("copy", F.row_number().over(same))
+    docs = docs.select("doc_id", text_of().alias("text"))
+    # dealt out once: both sides of the join below take the same exchange
+    base = docs.filter("doc_id is not null").repartition("doc_id").withColumn("copy", F.row_number().over(same))
     sizes = docs.select("doc_id", F.length(text_of()).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
     links = materialized(next_documents(docs).join(sizes, "doc_id"))
     donors = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("receiver"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    heads = base.filter(F.col("copy") == 1).join(donors, "doc_id").select("receiver", F.expr("left(text, need)").alias("head"))
+    heads = base.filter(F.col("copy") == 1).join(donors, "doc_id").select("receiver", F.col("doc_id").alias("next_id"), F.expr("left(text, need)").alias("head"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(text, n_chars - half)"), F.expr("left(coalesce(head, ''), half)"))
+    alone = docs.filter("doc_id is null").select("doc_id", "text", F.lit(1).alias("copy"))
     rows = (
-        base.join(heads, F.col("doc_id") == F.col("receiver"), "left")
-        .select("doc_id", "copy", "text", "head", n.cast("int").alias("n_chars"), half.alias("half"))
-        .select("doc_id", "copy", "n_chars", "text", edited.alias("edited"))
+        base.join(heads, F.col("doc_id") == F.col("receiver"), "left").drop("receiver")
+        .unionByName(alone, allowMissingColumns=True)
+        .select("doc_id", "copy", "next_id", "text", "head", n.cast("int").alias("n_chars"), half.alias("half"))
+        .select("doc_id", "copy", "next_id", "n_chars", "text", edited.alias("edited"))
         .select(
-            "doc_id", "copy", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            "doc_id", "copy", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("other"),
         )
     )
     rows = materialized(rows)
     following = rows.filter(F.col("copy") == 1).select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
     near = (
-        rows.join(links.select("doc_id", "next_id"), "doc_id", "left")
-        .join(following, "next_id", "left")
+        rows.join(following, "next_id", "left")
         .withColumn("near_next", F.when(F.col("following").isNotNull(), likeness(F.col("own"), F.col("following"))))
     )
     return near.select(
