@@ -15,10 +15,10 @@ from quernlog.llm.native import stored
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that the calibrated model rejects go, texts without a letter too."""
     model = language_id.fit(docs, F.lit(False))
-    others = [c for c in docs.columns if c != "text"]
-    found = language_id.identify(docs.withColumn("_whole", F.col("text")), model, [*others, "_whole"])
-    kept = found.filter(~F.col("rejected")) if model.languages else found
-    return kept.withColumn("text", F.col("_whole")).select(*docs.columns)
+    # the row goes along as one column, so that no name of it meets one of the result
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    found = language_id.identify(rows, model, ["_row"])
+    return (found.filter(~F.col("rejected")) if model.languages else found).select("_row.*")
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,11 +42,11 @@ def _letters() -> np.ndarray:
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams in the order of their first character, BUCKETS where a place has none; text of each place."""
     lowered = [t.lower() for t in texts]
-    points = code_points("\n".join(lowered) + "\n") if lowered else np.zeros(0, np.uint32)
-    owner = np.repeat(np.arange(len(lowered)), [len(t) + 1 for t in lowered])
+    points = code_points("".join(f"\n{t}\n" for t in lowered))  # a border of its own on each side of a text
+    owner = np.repeat(np.arange(len(lowered)), [len(t) + 2 for t in lowered])
     kept = np.where(_letters()[points], points, 0).astype(np.uint64)
     runs = np.ones(len(kept), bool)
-    runs[1:] = (kept[1:] != 0) | (kept[:-1] != 0)
+    runs[1:] = (kept[1:] != 0) | (kept[:-1] != 0) | (owner[1:] != owner[:-1])
     kept, owner = kept[runs], owner[runs]
     c = np.concatenate((kept, np.zeros(3, np.uint64)))
     n = len(kept)

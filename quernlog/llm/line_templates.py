@@ -64,7 +64,8 @@ def lines(docs: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, dropped): the places of the lines of each document that go, for documents that lose any."""
     every = materialized(lines(docs))
-    shared = (
+    # kept, so that both sides of the join are plain exchanges, whose large partitions Spark splits
+    shared = materialized(
         every.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("leaf")
     )
     rows = every.join(shared, "leaf", "left_semi").select("doc_id", "line_no", "n", F.explode("keys").alias("key"))
