@@ -139,7 +139,7 @@ def fit(docs: DataFrame, target: DataFrame) -> Models:
     counts = np.zeros((2, 2, size))
     for batch in total.toArrow().to_batches():  # at most one row per kind and place: bounded by vocabulary and buckets
         kind, place, n = (batch.column(c).to_numpy() for c in ("kind", "place", "count"))
-        counts[kind // 2, 1, place] += n
+        np.add.at(counts, (kind // 2, 1, place), n)  # a place comes without and with the target
         wanted = kind % 2 == 1
         counts[kind[wanted] // 2, 0, place[wanted]] += n[wanted]
     sizes = counts[:, :, : width - 1].sum(axis=2)
