@@ -24,8 +24,9 @@ from quernlog.llm.textarrays import code_points, mix64
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 DIMENSIONS = 16
-#: At most so many learning rows of each language are collected, each at most BUCKETS pairs of numbers.
-ROWS_PER_LANGUAGE = 1200
+#: Learning rows of a language come in so many parts by hash, and from each part at most so many rows are collected,
+#: each at most BUCKETS pairs of numbers.
+PARTS, ROWS_PER_PART = 16, 75
 EPOCHS = 12
 BATCH = 32
 RATE = 60.0
@@ -99,23 +100,20 @@ def fold(key: str, parts: int) -> Column:
 
 
 def learning_rows(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Bucket counts of the bounded sample: the rows with the smallest hashes of each language."""
+    """Bucket counts of the bounded sample: the rows with the smallest hashes of each part of a language."""
     key = F.xxhash64(F.col("doc_id").cast("string"))
-    first = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = (
-        docs.filter(F.col("lang").isNotNull() & ~held_out & F.col("text").rlike("\\p{L}"))
-        .select("lang", "doc_id", key.alias("key"))
+    usable = docs.filter(F.col("lang").isNotNull() & ~held_out & F.col("text").rlike("\\p{L}"))
+    usable = usable.withColumns({"key": key, "part": F.pmod(F.xxhash64(F.lit(1), key), F.lit(PARTS)).cast("int")})
+    first = Window.partitionBy("lang", "part").orderBy("key", "doc_id")
+    bounds = (
+        usable.select("lang", "part", "doc_id", "key")
         .withColumn("n", F.row_number().over(first))
-        .filter(F.col("n") <= ROWS_PER_LANGUAGE)
-        .groupBy("lang")
+        .filter(F.col("n") <= ROWS_PER_PART)
+        .groupBy("lang", "part")
         .agg(F.max("key").alias("last"))
+        .collect()  # one row per language and part
     )
-    bounds = {r["lang"]: r["last"] for r in chosen.collect()}  # one row per language
-    if not bounds:
-        return docs.limit(0).select("doc_id", "lang", F.array().cast("array<int>").alias("buckets"), F.array().cast("array<int>").alias("counts"))
-    wanted = F.lit(False)
-    for lang, last in bounds.items():
-        wanted = wanted | ((F.col("lang") == F.lit(lang)) & (key <= F.lit(last)))
+    last = docs.sparkSession.createDataFrame([tuple(r) for r in bounds], "lang string, part int, last long")
 
     def start() -> Callable[[list[str]], dict[str, list]]:
         def run(texts: list[str]) -> dict[str, list]:
@@ -128,7 +126,7 @@ def learning_rows(docs: DataFrame, held_out: Column) -> DataFrame:
 
         return run
 
-    chosen_docs = docs.filter(F.col("lang").isNotNull() & ~held_out & wanted).select("doc_id", "lang", "text")
+    chosen_docs = usable.join(F.broadcast(last), ["lang", "part"]).filter("key <= last").select("doc_id", "lang", "text")
     return map_texts(chosen_docs, ["doc_id", "lang"], "buckets array<int>, counts array<int>", start)
 
 
@@ -137,18 +135,21 @@ def fit(docs: DataFrame, held_out: Column, seed: int = 7) -> Model:
 
     Without such rows the model knows no language and answers ``und`` for every text.
     """
-    rows = sorted(learning_rows(docs.select("doc_id", "lang", "text"), held_out).collect(), key=lambda r: (str(r["doc_id"]), r["lang"]))
-    languages = sorted({r["lang"] for r in rows})
-    if not rows:
+    rows = learning_rows(docs.select("doc_id", "lang", "text"), held_out).toArrow()  # numbers stay in arrays
+    order = sorted(range(rows.num_rows), key=list(zip(map(str, rows["doc_id"].to_pylist()), rows["lang"].to_pylist())).__getitem__)
+    rows = rows.take(order).combine_chunks()
+    found = rows["lang"].to_pylist()
+    languages = sorted(set(found))
+    if not found:
         return Model([], np.zeros((BUCKETS + 1, 1)), np.zeros(0), 1.0, 0.0)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["buckets"]] = r["counts"]
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for i, (buckets, counts) in enumerate(zip(rows["buckets"], rows["counts"])):
+        x[i, buckets.values.to_numpy()] = counts.values.to_numpy()
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    y = np.array([languages.index(r["lang"]) for r in rows])
+    y = np.array([languages.index(f) for f in found])
     random = np.random.default_rng(seed)
-    order = random.permutation(len(rows))
-    calibrating, training = (order[: len(rows) // 5], order[len(rows) // 5 :]) if len(rows) >= 20 else (order, order)
+    order = random.permutation(len(y))
+    calibrating, training = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)
     embed = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     linear = random.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
