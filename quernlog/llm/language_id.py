@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, held_out: Column, seed: int = 7) -> Model:
     """
     rows = learning_rows(docs.select("doc_id", "lang", "text"), held_out).toArrow()  # numbers stay in arrays
     order = sorted(range(rows.num_rows), key=list(zip(map(str, rows["doc_id"].to_pylist()), rows["lang"].to_pylist())).__getitem__)
-    rows = rows.take(order).combine_chunks()
+    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
     found = rows["lang"].to_pylist()
     languages = sorted(set(found))
     if not found:
