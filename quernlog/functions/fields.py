@@ -72,13 +72,13 @@ def promote(
 
 
 def with_source(events: DataFrame, sources: DataFrame | None, columns: Iterable[str]) -> DataFrame:
-    """Attach source attributes; a join only for those the event table does not already carry."""
+    """Attach source attributes; a join only for those the event table lacks.  Events of unregistered sources stay, with NULLs."""
     missing = [c for c in columns if c not in events.columns]
     if not missing:
         return events
     if sources is None:
         raise ValueError(f"event table lacks {missing} and no source table was given")
-    return events.join(sources.select("case_id", "source_id", *missing), ["case_id", "source_id"])
+    return events.join(sources.select("case_id", "source_id", *missing), ["case_id", "source_id"], "left")
 
 
 def in_domain(log_types: Iterable[str] = (), artifact_kinds: Iterable[str] = ()) -> Column:

@@ -15,8 +15,14 @@ def entry_hash() -> Column:
     """Digest over the NUL-joined fields of an entry."""
     return F.sha2(
         F.concat_ws(
-            "\u0000", F.col("seq").cast("string"), "case_id", rfc3339_nano(F.col("ts")), "actor", "action", "scope",
-            F.coalesce("detail_json", F.lit("")), "prev_hash",
+            "\u0000",
+            *[
+                F.coalesce(c, F.lit(""))  # a missing field must not move the others
+                for c in (
+                    F.col("seq").cast("string"), F.col("case_id"), rfc3339_nano(F.col("ts")), F.col("actor"), F.col("action"),
+                    F.col("scope"), F.col("detail_json"), F.col("prev_hash"),
+                )
+            ],
         ),
         256,
     )
@@ -36,8 +42,8 @@ def chain_breaks(audit: DataFrame, chunk: int = CHUNK) -> DataFrame:
     judged = linked.join(repeated, "seq", "left").withColumn(
         "problem",
         F.when(F.col("_n").isNotNull(), "sequence")
-        .when(F.col("prev_hash") != expected, "link")
-        .when(F.col("entry_hash") != entry_hash(), "content"),
+        .when(~F.col("prev_hash").eqNullSafe(expected), "link")
+        .when(~F.col("entry_hash").eqNullSafe(entry_hash()), "content"),
     )
     return judged.filter(F.col("problem").isNotNull()).select("seq", "problem")
 

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from quernlog.session import ensure_checkpoint_dir
 from quernlog.sources.file_lists import top_values
 
-DEPTH_CAP, TAMPER_SECONDS, TAMPER_CAP = 64, 60, 500
+TAMPER_SECONDS = 60
 
 
-def directory_paths(records: DataFrame, depth_cap: int = DEPTH_CAP) -> DataFrame:
+def directory_paths(records: DataFrame, depth: int | None = None) -> DataFrame:
     """(volume, id, path) of every directory whose parents lead to the root; the root's path is ''.
 
     Pointer doubling: each round joins a directory to the ancestor it has reached so far and takes over
-    that ancestor's path, so the number of rounds is the logarithm of the deepest nesting.  Missing
-    parents, loops and chains above the cap are left out.
+    that ancestor's path, so the number of rounds is the logarithm of the deepest nesting.  Missing parents and
+    loops are left out: a directory that has moved more steps than there are directories goes in a circle.  With
+    ``depth``, deeper directories are left out too.
     """
     ensure_checkpoint_dir(records.sparkSession)
     is_root = F.col("parent_id") == F.col("id")
@@ -28,8 +29,8 @@ def directory_paths(records: DataFrame, depth_cap: int = DEPTH_CAP) -> DataFrame
         )
         .checkpoint()
     )
-    reach = 1
-    while reach <= 2 * depth_cap and not state.filter("_up is not null").isEmpty():
+    reach, most = 1, depth if depth is not None else state.count()
+    while reach <= 2 * most and not state.filter("_up is not null").isEmpty():
         above = state.select(
             "volume", F.col("id").alias("_up"), F.col("path").alias("_path"), F.col("_up").alias("_next"),
             F.col("_depth").alias("_more"),
@@ -44,16 +45,16 @@ def directory_paths(records: DataFrame, depth_cap: int = DEPTH_CAP) -> DataFrame
                 F.when(moving, F.col("_next")).alias("_up"),
                 (F.col("_depth") + F.when(moving, F.col("_more")).otherwise(0)).alias("_depth"),
             )
-            .filter(F.col("_depth") <= depth_cap)
+            .filter(F.col("_depth") <= most)
             .checkpoint()
         )
         reach *= 2
     return state.filter("_up is null").select("volume", "id", "path")
 
 
-def file_paths(records: DataFrame, depth_cap: int = DEPTH_CAP) -> DataFrame:
+def file_paths(records: DataFrame, depth: int | None = None) -> DataFrame:
     """Full path of every record, NULL for those whose parent cannot be reached."""
-    dirs = directory_paths(records, depth_cap).select("volume", F.col("id").alias("parent_id"), F.col("path").alias("_dir"))
+    dirs = directory_paths(records, depth).select("volume", F.col("id").alias("parent_id"), F.col("path").alias("_dir"))
     full = F.when(F.col("_dir") == "", F.col("name")).otherwise(F.concat_ws("\\", "_dir", "name"))
     return records.join(dirs, ["volume", "parent_id"], "left").select(
         *records.columns, F.when(F.col("_dir").isNotNull(), full).alias("path")
@@ -71,11 +72,13 @@ def tampered_times(records: DataFrame) -> DataFrame:
     )
 
 
-def tampered_candidates(records: DataFrame, cap: int = TAMPER_CAP) -> DataFrame:
-    """The first 500 used and the first 500 deleted records by number, per volume."""
+def tampered_candidates(records: DataFrame, first: int | None = None) -> DataFrame:
+    """Such records; with ``first`` so many used and so many deleted ones by number, per volume."""
+    if first is None:
+        return tampered_times(records)
     ranked = Window.partitionBy("volume", "in_use").orderBy("id")
     return (
-        tampered_times(records).withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= cap).drop("_rank")
+        tampered_times(records).withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= first).drop("_rank")
     )
 
 

@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernlog.session import materialized
+
 FANOUT_LIMIT, CHAPTER_LIMIT, CASE_LIMIT = 5, 30, 200
 UNFINISHED = ["open", "awaiting_approval", "running"]
-BOARD_LIMITS = {"fact": 30, "doubt": 15, "intent": 60, "parked": 10}
 
 
 def with_chapter(nodes: DataFrame, rounds: int = 3) -> DataFrame:
     """Add ``chapter``: the nearest goal on the way up, the node itself included, NULL when there is none.
 
-    Each round doubles the distance looked at: three cover eight levels, above the depth limit of five.
+    Each round doubles the distance looked at.  The first ``rounds`` are one plan; nodes that are still on their way
+    after them go on, round by round, until none is left or the distance is above the number of nodes (a circle).
     """
     is_goal = F.col("kind") == "goal"
     state = nodes.select(
         "case_id", "id", F.when(is_goal, F.col("id")).alias("chapter"), F.when(~is_goal, F.col("parent_id")).alias("_up")
     )
-    for _ in range(rounds):
-        above = state.select("case_id", F.col("id").alias("_up"), F.col("chapter").alias("_c"), F.col("_up").alias("_next"))
-        state = state.join(above, ["case_id", "_up"], "left").select(
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        above = rows.select("case_id", F.col("id").alias("_up"), F.col("chapter").alias("_c"), F.col("_up").alias("_next"))
+        return rows.join(above, ["case_id", "_up"], "left").select(
             "case_id", "id", F.coalesce("chapter", "_c").alias("chapter"),
             F.when(F.col("chapter").isNull() & F.col("_c").isNull(), F.col("_next")).alias("_up"),
         )
+
+    for _ in range(rounds):
+        state = doubled(state)
+    state = materialized(state)
+    reach = 2**rounds
+    while not state.filter("_up is not null").isEmpty() and reach <= 2 * state.count():
+        state, reach = materialized(doubled(state)), 2 * reach
     return nodes.join(state.select("case_id", "id", "chapter"), ["case_id", "id"])
 
 
@@ -96,10 +106,10 @@ def budget_status(nodes: DataFrame) -> DataFrame:
     )
 
 
-def blackboard(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def blackboard(nodes: DataFrame, edges: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """Shared notes of a case: proven facts, doubts, intents (active ones first) and parked intents.
 
-    Sections are cut to their limits; ``section_total`` is the full number of entries.
+    ``limits`` cuts the sections it names; ``section_total`` is the full number of entries.
     """
     proven = edges.filter(F.col("kind") == "proves").select("case_id", F.col("from_id").alias("id")).distinct()
     intent, status = F.col("kind") == "intent", F.col("status")
@@ -114,14 +124,10 @@ def blackboard(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         .unionByName(nodes.filter(intent & (status == "parked")).withColumns({"section": F.lit("parked"), "_group": F.lit(0)}))
     )
-    limit = F.lit(0)
-    for section, value in BOARD_LIMITS.items():
+    limit = F.lit(None).cast("int")
+    for section, value in (limits or {}).items():
         limit = F.when(F.col("section") == section, value).otherwise(limit)
     totals = entries.groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("section_total"))
     ranked = Window.partitionBy("case_id", "section").orderBy("_group", "created_at", "id")
-    top = (
-        entries.withColumn("position", F.row_number().over(ranked))
-        .filter(F.col("position") <= max(BOARD_LIMITS.values()))
-        .filter(F.col("position") <= limit)
-    )
+    top = entries.withColumn("position", F.row_number().over(ranked)).filter(limit.isNull() | (F.col("position") <= limit))
     return top.join(totals, ["case_id", "section"]).select("case_id", "section", "position", "id", "text", "status", "section_total")

@@ -1,17 +1,27 @@
 """Tables of a case report.
 
-Inputs: hits with hit_id, nodes, fact anchors (node_id, source_id, line_no, hit_id) and sources.
+Inputs: hits with hit_id, nodes, fact anchors (node_id, source_id, line_no, hit_id) and sources.  Tables hold every
+row unless the caller gives a limit; a limit counts for each case on its own, and every row tells its case's total and
+whether the case was cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernlog.operators.graph import with_chapter
 from quernlog.operators.review import severity_rank
 
-FINDINGS_CAP, TIMELINE_CAP, EVIDENCE_CAP = 500, 50, 200
+
+def _per_case(rows: DataFrame, order: list[Column | str], limit: int | None, total: str, **wholes: Column) -> DataFrame:
+    """Rows with their case's total (and further aggregates), the first ``limit`` of each case."""
+    whole = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias(total), *[c.alias(n) for n, c in wholes.items()])
+    if limit is None:
+        return rows.join(whole, "case_id").withColumn("truncated", F.lit(False))
+    ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
+    first = ranked.filter(F.col("_row") <= limit).drop("_row")
+    return first.join(whole, "case_id").withColumn("truncated", F.col(total) > limit)
 
 
 def cut(text: Column, size: int) -> Column:
@@ -53,14 +63,10 @@ def facts(nodes: DataFrame, anchors: DataFrame, sources: DataFrame) -> DataFrame
     )
 
 
-def findings(hits: DataFrame, sources: DataFrame) -> DataFrame:
-    """Accepted candidates, most severe first, at most 500."""
-    top = (
-        hits.filter(F.col("status") == "accepted")
-        .withColumn("_rank", severity_rank())
-        .orderBy("_rank", "created_at", "hit_id")
-        .limit(FINDINGS_CAP)
-    )
+def findings(hits: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """Accepted candidates; with a limit the most severe ones of each case."""
+    accepted = hits.filter(F.col("status") == "accepted").withColumn("_rank", severity_rank())
+    top = _per_case(accepted, ["_rank", "created_at", "hit_id"], limit, "findings_total")
     return top.join(_place(sources), "source_id", "left").drop("_rank")
 
 
@@ -81,20 +87,19 @@ def _timeline_items(hits: DataFrame, fact_rows: DataFrame, found: DataFrame) ->
     return shown.unionByName(resolved).groupBy(*key).agg(F.min("ts").alias("ts"), F.min("fact_id").alias("fact_id"))
 
 
-def timeline(hits: DataFrame, fact_rows: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
-    """Earliest 50 distinct entries; every row carries the full count and the full time window."""
+def timeline(hits: DataFrame, fact_rows: DataFrame, found: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct entries, with a limit the earliest of each case; every row carries the full count and time window.
+
+    ``found`` must be all accepted findings: totals and windows are taken over them.
+    """
     items = _timeline_items(hits, fact_rows, found)
-    whole = items.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("timeline_total"), F.min("ts").alias("window_from"), F.max("ts").alias("window_to")
-    )
-    first = items.orderBy("ts", "kind", "text", "source_id", "line_no").limit(TIMELINE_CAP)
-    return first.join(whole, "case_id").join(_place(sources), "source_id", "left").withColumn(
-        "truncated", F.col("timeline_total") > TIMELINE_CAP
-    )
+    order = ["ts", "kind", "text", "source_id", "line_no"]
+    first = _per_case(items, order, limit, "timeline_total", window_from=F.min("ts"), window_to=F.max("ts"))
+    return first.join(_place(sources), "source_id", "left")
 
 
-def evidence(hits: DataFrame, fact_rows: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
-    """Places the report refers to with the number of references, at most 200."""
+def evidence(hits: DataFrame, fact_rows: DataFrame, found: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """Places the report refers to with the number of references; with a limit the first of each case by place."""
     by_hit = hits.select("case_id", "hit_id", F.col("source_id").alias("_s"), F.col("line_no").alias("_l"))
     cited = fact_rows.join(by_hit, ["case_id", "hit_id"], "left")
     direct = F.coalesce("source_id", F.lit("")) != ""
@@ -106,9 +111,8 @@ def evidence(hits: DataFrame, fact_rows: DataFrame, found: DataFrame, sources: D
         found.select("case_id", "source_id", "line_no").unionByName(from_facts)
         .groupBy("case_id", "source_id", "line_no").agg(F.count(F.lit(1)).alias("refs"))
     )
-    return refs.join(_place(sources), "source_id", "left").orderBy(
-        F.coalesce("host", F.lit("")), F.coalesce("source_path", F.lit("")), "line_no", "source_id"
-    ).limit(EVIDENCE_CAP)
+    order = [F.coalesce("host", F.lit("")), F.coalesce("source_path", F.lit("")), "line_no", "source_id"]
+    return _per_case(refs.join(_place(sources), "source_id", "left"), order, limit, "evidence_total")
 
 
 def verdict_counts(hits: DataFrame) -> DataFrame:

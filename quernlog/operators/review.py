@@ -43,8 +43,8 @@ def findings_to_hits(findings: DataFrame, severities: dict[str, str], default: s
     ).dropDuplicates(KEY)
 
 
-def store_hits(fresh: DataFrame, stored: DataFrame | None, round_no: int, cap: int | dict[str, int] = 500) -> DataFrame:
-    """Rows to append this round: new within the cap, pending, stamped with the round."""
+def store_hits(fresh: DataFrame, stored: DataFrame | None, round_no: int, cap: int | dict[str, int] | None = None) -> DataFrame:
+    """Rows to append this round: the new ones (within the cap, if one is given), pending, stamped with the round."""
     kept = with_outcome(fresh, stored, cap).filter("outcome = 'new'").drop("outcome")
     return kept.withColumns(
         {"status": F.lit("pending"), "round_no": F.lit(round_no), "created_at": F.current_timestamp()}

@@ -17,6 +17,8 @@ from quernlog.session import materialized
 
 SUFFIXES = {"_contains": "contains", "_prefix": "prefix", "_eq": "eq", "_endswith": "endswith"}
 KEY = ["case_id", "source_id", "line_no", "rule_id"]
+#: Line numbers of a source that are counted together when a cut-off is looked for.
+PIECE = 4096
 HIT_COLUMNS = [
     "case_id", "source_id", "line_no", "rule_id", "severity", "matched_field", "matched_value", "snippet",
     "ts", "evidence_grade",
@@ -48,6 +50,14 @@ def conditions(rule: dict) -> list[Condition]:
     return out
 
 
+def by_field_of(conds: list[Condition]) -> dict[str, list[Condition]]:
+    """Conditions by field in the order the fields are named; those of one field are alternatives."""
+    out: dict[str, list[Condition]] = {}
+    for cond in conds:
+        out.setdefault(cond.field, []).append(cond)
+    return out
+
+
 def _text(field: str) -> Column:
     return F.lower(F.col("raw" if field == "raw" else f"f_{field}"))
 
@@ -65,8 +75,8 @@ def _needle_test(text: Column, needle: Column) -> Column:
 def event_rule_hits(events: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """Every (event, rule) match of the event rules.
 
-    A cheap test first keeps the rows in which the most telling condition of some rule holds: one
-    regular expression per field.  Only those rows meet the rule table itself, which is a constant
+    Conditions on one field are alternatives, different fields must all hold.  A cheap test first keeps the
+    rows in which the most telling field of some rule holds: one regular expression per field.  Only those rows meet the rule table itself, which is a constant
     array walked by higher-order functions; the event table is read once for all rules.
     """
     picked = [r for r in (EVENT_RULES if rules is None else rules) if r["target"] != "entity"]
@@ -76,8 +86,9 @@ def event_rule_hits(events: DataFrame, rules: list[dict] | None = None) -> DataF
 
     telling: dict[str, list[str]] = {}
     for _, conds in compiled:
-        best = max(conds, key=lambda c: min(len(n) for n in c.needles))
-        telling.setdefault(best.field, []).append(best.pattern())
+        groups = by_field_of(conds)
+        best = max(groups, key=lambda f: min(len(n) for c in groups[f] for n in c.needles))
+        telling.setdefault(best, []).extend(c.pattern() for c in groups[best])
     worth = F.lit(False)
     for field, patterns in telling.items():
         worth = worth | _text(field).rlike("|".join(f"(?:{p})" for p in dict.fromkeys(patterns)))
@@ -85,12 +96,11 @@ def event_rule_hits(events: DataFrame, rules: list[dict] | None = None) -> DataF
 
     by_field: dict[str, list[dict]] = {}
     for index, (_, conds) in enumerate(compiled):
-        order = list(dict.fromkeys(c.field for c in conds))
-        for cond in conds:
-            for rank, needle in enumerate(cond.needles):
-                by_field.setdefault(cond.field, []).append(
-                    {"rule": index, "place": order.index(cond.field), "rank": rank, "field": cond.field,
-                     "needle": needle, "op": cond.op}
+        for place, (field, group) in enumerate(by_field_of(conds).items()):
+            alternatives = [(c.op, n) for c in group for n in c.needles]
+            for rank, (op, needle) in enumerate(alternatives):
+                by_field.setdefault(field, []).append(
+                    {"rule": index, "place": place, "rank": rank, "field": field, "needle": needle, "op": op}
                 )
 
     def constant(rows_: list[dict], layout: str) -> Column:
@@ -139,16 +149,16 @@ def event_rule_hits(events: DataFrame, rules: list[dict] | None = None) -> DataF
     )
 
 
-def _entity_condition(cond: Condition) -> Column:
+def _entity_condition(group: list[Condition]) -> Column:
     """First alternative that holds on the entity column, NULL when none does."""
-    text = F.lower(cond.field)
+    text = F.lower(group[0].field)
     tests = {
         "eq": lambda n: text == n,
         "prefix": lambda n: F.startswith(text, F.lit(n)),
         "endswith": lambda n: F.endswith(text, F.lit(n)),
         "contains": lambda n: F.contains(text, F.lit(n)),
     }
-    return F.coalesce(*[F.when(tests[cond.op](n), F.lit(n)) for n in cond.needles], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(tests[c.op](n), F.lit(n)) for c in group for n in c.needles], F.lit(None).cast("string"))
 
 
 def entity_rule_hits(entities: DataFrame, rules: list[dict] | None = None) -> DataFrame:
@@ -162,7 +172,7 @@ def entity_rule_hits(entities: DataFrame, rules: list[dict] | None = None) -> Da
         verdicts = []
         for r in chosen:
             conds = conditions(r)
-            values = [_entity_condition(c) for c in conds]
+            values = [_entity_condition(group) for group in by_field_of(conds).values()]
             ok = F.lit(True)
             for v in values:
                 ok = ok & v.isNotNull()
@@ -213,36 +223,47 @@ def rule_table(spark: SparkSession, rules: list[dict] | None = None) -> DataFram
     return spark.createDataFrame(rows, "rule_id string, severity string, title string, target string, max_hits int")
 
 
-def with_outcome(hits: DataFrame, existing: DataFrame | None, cap: int | dict[str, int] = 500) -> DataFrame:
-    """Mark each match 'new', 'dup' (already stored) or 'truncated' (after the cap-th new one).
+def with_outcome(hits: DataFrame, existing: DataFrame | None, cap: int | dict[str, int] | None = None) -> DataFrame:
+    """Mark each match 'new', 'dup' (already stored) or, where the caller asks for a cap, 'truncated'.
 
-    The matches are computed once and kept, events are not scanned again.  Only the first ``cap`` new rows of
-    a rule are ranked; the place of the cap-th one is the cut-off every other row is compared with, so no
-    rule's matches are gathered anywhere.
+    ``cap`` is one number of new matches for every rule, or a number for some rules; without it every match
+    counts.  The matches are computed once and kept, events are not scanned again.  The place of the cap-th new
+    row is the cut-off every other row is compared with.  It is found from counts of pieces of a source; only
+    the piece it falls into is ranked, so no rule's matches are gathered anywhere, whatever the cap.
     """
-    hits = materialized(hits)
     if existing is None:
         flagged = hits.withColumn("_new", F.lit(True))
     else:
         known = existing.select(*KEY).distinct().withColumn("_known", F.lit(True))
         flagged = hits.join(known, KEY, "left").withColumn("_new", F.col("_known").isNull()).drop("_known")
-    limit = F.lit(cap if isinstance(cap, int) else 500)
-    if isinstance(cap, dict):
+    if cap is None:
+        return flagged.withColumn("outcome", F.when(F.col("_new"), "new").otherwise("dup")).drop("_new")
+    if isinstance(cap, int):
+        limit = F.lit(cap)
+    else:
+        limit = F.lit(None).cast("bigint")
         for rule_id, value in cap.items():
             limit = F.when(F.col("rule_id") == rule_id, value).otherwise(limit)
-    highest = cap if isinstance(cap, int) else max([500, *cap.values()])
+    flagged = materialized(flagged)
     place = F.struct("source_id", "line_no")
-    ranked = Window.partitionBy("case_id", "rule_id").orderBy("source_id", "line_no")
+    rule, piece = ["case_id", "rule_id"], (F.col("line_no") / PIECE).cast("bigint").alias("_piece")
+    new = flagged.filter("_new").select(*KEY, piece)
+    before = Window.partitionBy(*rule).orderBy("source_id", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = (
+        new.groupBy(*rule, "source_id", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_limit", limit)
+        .filter((F.col("_before") < F.col("_limit")) & (F.col("_limit") <= F.col("_before") + F.col("_n")))
+    )
+    ranked = Window.partitionBy(*rule).orderBy("line_no")
     cutoff = (
-        flagged.filter("_new")
-        .select(*KEY)
+        new.join(crossing, [*rule, "source_id", "_piece"])
         .withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") <= highest)
-        .filter(F.col("_rank") == limit)
-        .select("case_id", "rule_id", place.alias("_cut"))
+        .filter(F.col("_rank") + F.col("_before") == F.col("_limit"))
+        .select(*rule, place.alias("_cut"))
     )
     return (
-        flagged.join(cutoff, ["case_id", "rule_id"], "left")
+        flagged.join(cutoff, rule, "left")
         .withColumn(
             "outcome",
             F.when(F.col("_cut").isNotNull() & (place > F.col("_cut")), "truncated")

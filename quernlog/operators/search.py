@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from quernlog.functions.fields import text_field
 
-DEFAULT_LIMIT, MAX_LIMIT, MAX_SOURCES = 100, 1000, 5000
-
 
 @dataclass(frozen=True)
 class FieldCondition:
@@ -25,6 +23,8 @@ class FieldCondition:
 
 @dataclass(frozen=True)
 class SearchParams:
+    """``after`` is the (source_id, line_no) of the last row seen: the next page begins behind it."""
+
     case_id: str
     text: str = ""
     conditions: tuple[FieldCondition, ...] = ()
@@ -32,8 +32,9 @@ class SearchParams:
     host: str | None = None
     ts_from: datetime | str | None = None
     ts_to: datetime | str | None = None
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = None
     offset: int = 0
+    after: tuple[str, int] | None = None
     kind: str | None = field(default=None)
 
 
@@ -59,8 +60,6 @@ def condition(events: DataFrame, cond: FieldCondition) -> Column:
 
 def matching(events: DataFrame, params: SearchParams, sources: DataFrame | None = None) -> DataFrame:
     """All rows that satisfy the search, unordered.  A row without a time never matches a time window."""
-    if len(params.source_ids) > MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES} sources")
     rows = events.filter(F.col("case_id") == params.case_id)
     if params.kind:
         rows = rows.filter(F.col("kind") == params.kind)
@@ -86,17 +85,24 @@ def matching(events: DataFrame, params: SearchParams, sources: DataFrame | None
 
 
 def search(events: DataFrame, params: SearchParams, sources: DataFrame | None = None) -> DataFrame:
-    """One page of matches in (source, line) order."""
-    limit = min(params.limit if params.limit > 0 else DEFAULT_LIMIT, MAX_LIMIT)
-    page = matching(events, params, sources).orderBy("source_id", "line_no")
+    """Matches in (source, line) order; a page of them when a limit is given.
+
+    Deep pages are best asked for by ``after``, which is a filter; ``offset`` passes over all rows before.
+    """
+    page = matching(events, params, sources)
+    if params.after is not None:
+        source_id, line_no = params.after
+        page = page.filter((F.col("source_id") > source_id) | ((F.col("source_id") == source_id) & (F.col("line_no") > line_no)))
+    page = page.orderBy("source_id", "line_no")
     if params.offset:
         page = page.offset(params.offset)
-    return page.limit(limit).select("source_id", "line_no", "ts", "kind", "fields", "raw")
+    if params.limit is not None:
+        page = page.limit(params.limit)
+    return page.select("source_id", "line_no", "ts", "kind", "fields", "raw")
 
 
 def line_range(lines: DataFrame, source_id: str | None, first: int, last: int) -> DataFrame:
-    """Original lines of a source (or of each source), at most 1000 of them, in order."""
-    last = min(last, first + MAX_LIMIT - 1)
+    """Original lines ``first`` to ``last`` of a source (or of each source), in order."""
     ranged = lines.filter(F.col("line_no").between(first, last))
     if source_id is not None:
         ranged = ranged.filter(F.col("source_id") == source_id)
@@ -105,6 +111,6 @@ def line_range(lines: DataFrame, source_id: str | None, first: int, last: int) -
 
 def page_range(page: int, size: int) -> tuple[int, int]:
     """Line numbers shown on a page (both counted from 1)."""
-    size = min(max(size, 1), MAX_LIMIT)
+    size = max(size, 1)
     first = (max(page, 1) - 1) * size + 1
     return first, first + size - 1

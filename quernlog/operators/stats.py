@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from quernlog.operators.search import field_value
 
-DEFAULT_BUCKETS, MAX_BUCKETS, TIMELINE_BUCKETS, NO_TIME_SOURCES = 50, 500, 4100, 1000
+
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
 
 
 def event_counts(
-    events: DataFrame, case_id: str, group: str, limit: int = DEFAULT_BUCKETS, source_ids: tuple[str, ...] = ()
+    events: DataFrame, case_id: str, group: str, limit: int | None = None, source_ids: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Largest buckets by 'status', 'day' or 'source': (key, events)."""
+    """Buckets by 'status', 'day' or 'source', the largest first: (key, events).  All of them unless a limit is given."""
     rows = events.filter(F.col("case_id") == case_id)
     if source_ids:
         rows = rows.filter(F.col("source_id").isin(*source_ids))
@@ -26,10 +28,8 @@ def event_counts(
         key = F.col("source_id")
     else:
         raise ValueError("group must be status, day or source")
-    limit = min(limit if limit > 0 else DEFAULT_BUCKETS, MAX_BUCKETS)
-    return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("events")).orderBy(
-        F.col("events").desc(), "key"
-    ).limit(limit)
+    counted = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("events"))
+    return _first(counted.orderBy(F.col("events").desc(), "key"), limit)
 
 
 def timeline(events: DataFrame, case_id: str) -> DataFrame:
@@ -39,19 +39,18 @@ def timeline(events: DataFrame, case_id: str) -> DataFrame:
         .groupBy(F.unix_seconds(F.date_trunc("hour", "ts")).alias("bucket_start"))
         .agg(F.count(F.lit(1)).alias("events"))
         .orderBy("bucket_start")
-        .limit(TIMELINE_BUCKETS)
     )
 
 
-def untimed_sources(events: DataFrame, case_id: str) -> DataFrame:
-    """Sources with events whose time is unknown."""
-    return (
+def untimed_sources(events: DataFrame, case_id: str, limit: int | None = None) -> DataFrame:
+    """Sources with events whose time is unknown, the largest first."""
+    counted = (
         events.filter((F.col("case_id") == case_id) & F.col("ts").isNull())
         .groupBy("source_id")
         .agg(F.count(F.lit(1)).alias("events"))
         .orderBy(F.col("events").desc(), "source_id")
-        .limit(NO_TIME_SOURCES)
     )
+    return _first(counted, limit)
 
 
 def heavy_hitters(events: DataFrame, field: str, top: int = 20) -> DataFrame:

@@ -27,10 +27,10 @@ _SERVICES = f"""{WIN_CTE}, o AS (SELECT source_id, line_no, 'host-service-instal
 
 @query(
     "candidates_from_operator",
-    f"{_SERVICES}, r AS (SELECT *, row_number() OVER (ORDER BY source_id, line_no) AS rn FROM o) SELECT source_id, line_no, rule_id, severity, CASE WHEN rn <= 500 THEN 'new' ELSE 'truncated' END AS outcome FROM r",
+    f"{_SERVICES}, r AS (SELECT *, row_number() OVER (ORDER BY source_id, line_no) AS rn FROM o) SELECT source_id, line_no, rule_id, severity, CASE WHEN rn <= 1500 THEN 'new' ELSE 'truncated' END AS outcome FROM r",
 )
 def operator_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.with_outcome(_service_hits(spark, sf), None, 500).select("source_id", "line_no", "rule_id", "severity", "outcome")
+    return rules.with_outcome(_service_hits(spark, sf), None, 1500).select("source_id", "line_no", "rule_id", "severity", "outcome")
 
 
 @query("candidates_of_case")
@@ -44,11 +44,11 @@ def case_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "candidates_operator_summary",
     f"""{_SERVICES}, n AS (SELECT count(*) AS c FROM o), d AS (SELECT count(DISTINCT source_id) AS m FROM w)
-SELECT 'host-service-install' AS op_id, d.m AS matched_sources, CAST(0 AS BIGINT) AS skipped_domain, n.c AS findings, least(n.c, 500) AS hits_new, CAST(0 AS BIGINT) AS hits_dup, greatest(n.c - 500, 0) AS truncated FROM n, d""",
+SELECT 'host-service-install' AS op_id, d.m AS matched_sources, CAST(0 AS BIGINT) AS skipped_domain, n.c AS findings, n.c AS hits_new, CAST(0 AS BIGINT) AS hits_dup, CAST(0 AS BIGINT) AS truncated FROM n, d""",
 )
 def operator_totals(spark: SparkSession, sf: str) -> DataFrame:
     events = windows_events(spark, sf)
-    outcomes = rules.with_outcome(_service_hits(spark, sf), None, 500)
+    outcomes = rules.with_outcome(_service_hits(spark, sf), None)
     return review.operator_summary(outcomes, source_table(events), {"host-service-install": DOMAINS["host-service-install"]})
 
 
@@ -63,7 +63,7 @@ SELECT ids.rule_id, ids.title, x.c AS hits_new FROM x JOIN ids USING (rule_id) W
 )
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
     events = windows_events(spark, sf, promoted=False)
-    outcomes = rules.with_outcome(rules.event_rule_hits(events), None, 1_000_000_000)
+    outcomes = rules.with_outcome(rules.event_rule_hits(events), None)
     table_ = rules.rule_table(spark)
     return review.rule_seeds(rules.scan_summary(outcomes, events, table_), table_)
 
@@ -113,4 +113,4 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
 @query("dedup_threshold_sweep")
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("lang").alias("case_id"), F.col("doc_id").alias("id"), "text")
-    return dedup.threshold_sweep(docs, (0.85, 0.7))
+    return dedup.threshold_sweep(docs)

@@ -123,13 +123,14 @@ def rule_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"acceptance_rate": F.round("acceptance_rate", 6), "needs_review": F.col("needs_review").cast("int")})
 
 
-_BATCH = "b AS (SELECT hit_id, min(verdict) AS verdict FROM (SELECT l_orderkey * 2 AS hit_id, 'accepted' AS verdict FROM lineitem WHERE l_linenumber = 2) GROUP BY 1)"
+_BATCH = """b AS (SELECT hit_id, arg_min(verdict, position) AS verdict FROM (SELECT l_orderkey * 2 AS hit_id,
+ CASE l_linenumber % 2 WHEN 0 THEN 'accepted' ELSE 'rejected' END AS verdict, l_linenumber * 7 % 8 AS position FROM lineitem) GROUP BY 1)"""
 
 
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("l_linenumber = 2").select(
-        (F.col("l_orderkey") * 2).alias("hit_id"), F.lit("accepted").alias("verdict"), F.lit("amy").alias("reviewer"),
-        F.col("l_partkey").alias("position"),
+    return table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 2).alias("hit_id"), F.when(F.col("l_linenumber") % 2 == 0, "accepted").otherwise("rejected").alias("verdict"),
+        F.lit("amy").alias("reviewer"), (F.col("l_linenumber") * 7 % 8).alias("position"),
     )
 
 
@@ -150,7 +151,7 @@ def verdict_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "review_verdicts_applied",
-    f"WITH {H}, {_BATCH} SELECT h.hit_id, CASE WHEN b.hit_id IS NOT NULL AND h.status = 'pending' THEN 'accepted' ELSE h.status END AS status, CASE WHEN b.hit_id IS NOT NULL AND h.status = 'pending' THEN 'amy' END AS reviewed_by FROM h LEFT JOIN b USING (hit_id)",
+    f"WITH {H}, {_BATCH} SELECT h.hit_id, CASE WHEN b.hit_id IS NOT NULL AND h.status = 'pending' THEN b.verdict ELSE h.status END AS status, CASE WHEN b.hit_id IS NOT NULL AND h.status = 'pending' THEN 'amy' END AS reviewed_by FROM h LEFT JOIN b USING (hit_id)",
 )
 def verdicts_applied(spark: SparkSession, sf: str) -> DataFrame:
     return _reviewed(spark, sf)[0].select("hit_id", "status", "reviewed_by")
@@ -166,7 +167,7 @@ def hit_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "review_severity_order",
-    f"WITH {H} SELECT hit_id, severity FROM h WHERE status = 'accepted' ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 4 END, created_at, hit_id LIMIT 500",
+    f"WITH {H} SELECT hit_id, severity FROM h WHERE status = 'accepted' ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 4 END, created_at, hit_id",
 )
 def severity_order(spark: SparkSession, sf: str) -> DataFrame:
     return report.findings(hits(spark, sf), sources(spark, sf)).select("hit_id", "severity")
@@ -314,8 +315,7 @@ x AS (SELECT 'fact' AS section, 0 AS g, id, text FROM facts WHERE id IN (SELECT
  UNION ALL SELECT 'intent', CASE WHEN {_UNF} THEN 0 ELSE 1 END, id, text FROM intents WHERE status <> 'parked'
  UNION ALL SELECT 'parked', 0, id, text FROM intents WHERE status = 'parked'),
 r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY g, id) AS position, count(*) OVER (PARTITION BY section) AS section_total FROM x)
-SELECT section, CAST(position AS INTEGER) AS position, id, text, section_total FROM r
-WHERE position <= CASE section WHEN 'fact' THEN 30 WHEN 'doubt' THEN 15 WHEN 'intent' THEN 60 ELSE 10 END""",
+SELECT section, CAST(position AS INTEGER) AS position, id, text, section_total FROM r""",
 )
 def board(spark: SparkSession, sf: str) -> DataFrame:
     return graph.blackboard(nodes(spark, sf), edges(spark, sf)).select("section", "position", "id", "text", "section_total")
@@ -335,13 +335,12 @@ def report_chapters(spark: SparkSession, sf: str) -> DataFrame:
 
 _F = f"""{H}, {S}, {N}, {A}, {CH}, f AS (SELECT ch.id AS fact_id, ch.text, ch.chapter AS goal_id, a.source_id, a.line_no, a.hit_id, s.host, s.path AS source_path
  FROM ch JOIN a ON a.node_id = ch.id LEFT JOIN s ON s.source_id = a.source_id WHERE ch.kind = 'fact' AND ch.status IN ('supported', 'closed')),
-c1 AS (SELECT * REPLACE ('c1' AS case_id) FROM h),
-w AS (SELECT *, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 4 END AS rk FROM c1 WHERE status = 'accepted' ORDER BY rk, created_at, hit_id LIMIT 500)"""
+w AS (SELECT *, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 4 END AS rk FROM h WHERE status = 'accepted')"""
 
 
 def _report(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     src = sources(spark, sf)
-    rows = hits(spark, sf).withColumn("case_id", F.lit("c1"))
+    rows = hits(spark, sf)
     return rows, report.facts(nodes(spark, sf), anchors(spark, sf), src), report.findings(rows, src), src
 
 
@@ -350,29 +349,48 @@ def report_facts(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf)[1].select("fact_id", "text", "goal_id", "source_id", "line_no", "hit_id", "host", "source_path")
 
 
+# the facts belong to case c1, the candidates to seven cases
+_T = f"""WITH {_F}, i AS (SELECT case_id, ts, 'finding' AS kind, '[' || upper(severity) || '] ' || rule_id || ':' || snippet AS text, source_id, line_no FROM w WHERE ts IS NOT NULL
+ UNION SELECT h.case_id, h.ts, 'fact', f.text, h.source_id, h.line_no FROM f JOIN h ON h.hit_id = f.hit_id AND h.case_id = 'c1' WHERE h.ts IS NOT NULL),
+o AS (SELECT case_id, epoch_us(ts) AS ts, kind, text, source_id, line_no, count(*) OVER c AS timeline_total, epoch_us(min(ts) OVER c) AS window_from, epoch_us(max(ts) OVER c) AS window_to,
+ row_number() OVER (PARTITION BY case_id ORDER BY ts, kind, text, source_id, line_no) AS rn FROM i WINDOW c AS (PARTITION BY case_id))"""
+_T_COLUMNS = "case_id, ts, kind, text, source_id, line_no, timeline_total, window_from, window_to"
+
+
+def _timeline(spark: SparkSession, sf: str, limit: int | None) -> DataFrame:
+    out = report.timeline(*_report(spark, sf), limit=limit)
+    return out.withColumns({c: F.unix_micros(c) for c in ("ts", "window_from", "window_to")})
+
+
+@query("report_timeline", f"{_T} SELECT {_T_COLUMNS} FROM o")
+def report_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return _timeline(spark, sf, None).select(_T_COLUMNS.split(", "))
+
+
+@query("report_timeline_first", f"{_T} SELECT {_T_COLUMNS}, timeline_total > 50 AS truncated FROM o WHERE rn <= 50")
+def report_timeline_first(spark: SparkSession, sf: str) -> DataFrame:
+    return _timeline(spark, sf, 50).select(*_T_COLUMNS.split(", "), "truncated")
+
+
 @query(
-    "report_timeline",
-    f"""WITH {_F}, i AS (SELECT ts, 'finding' AS kind, '[' || upper(severity) || '] ' || rule_id || ':' || snippet AS text, source_id, line_no FROM w WHERE ts IS NOT NULL
- UNION SELECT c1.ts, 'fact', f.text, c1.source_id, c1.line_no FROM f JOIN c1 USING (hit_id) WHERE c1.ts IS NOT NULL)
-SELECT epoch_us(ts) AS ts, kind, text, source_id, line_no, (SELECT count(*) FROM i) AS timeline_total, (SELECT epoch_us(min(ts)) FROM i) AS window_from,
- (SELECT epoch_us(max(ts)) FROM i) AS window_to FROM i ORDER BY ts, kind, text, source_id, line_no LIMIT 50""",
+    "report_findings_first",
+    f"""WITH {H}, w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 4 END, created_at, hit_id) AS rn,
+ count(*) OVER (PARTITION BY case_id) AS findings_total FROM h WHERE status = 'accepted') SELECT case_id, hit_id, findings_total, findings_total > 500 AS truncated FROM w WHERE rn <= 500""",
 )
-def report_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    out = report.timeline(*_report(spark, sf))
-    return out.select(
-        *[F.unix_micros(c).alias(c) for c in ("ts", "window_from", "window_to")], "kind", "text", "source_id", "line_no", "timeline_total"
-    )
+def report_findings_first(spark: SparkSession, sf: str) -> DataFrame:
+    return report.findings(hits(spark, sf), sources(spark, sf), limit=500).select("case_id", "hit_id", "findings_total", "truncated")
 
 
 @query(
     "report_evidence",
-    f"""WITH {_F}, e AS (SELECT source_id, line_no FROM w UNION ALL
- SELECT CASE WHEN f.source_id <> '' THEN f.source_id ELSE c1.source_id END, CASE WHEN f.source_id <> '' THEN f.line_no ELSE c1.line_no END FROM f LEFT JOIN c1 USING (hit_id)),
-r AS (SELECT source_id, line_no, count(*) AS refs FROM e WHERE source_id IS NOT NULL GROUP BY 1, 2)
-SELECT r.source_id, r.line_no, r.refs, s.host FROM r LEFT JOIN s USING (source_id) ORDER BY coalesce(s.host, ''), coalesce(s.path, ''), r.line_no, r.source_id LIMIT 200""",
+    f"""WITH {_F}, e AS (SELECT case_id, source_id, line_no FROM w UNION ALL
+ SELECT 'c1', CASE WHEN f.source_id <> '' THEN f.source_id ELSE h.source_id END, CASE WHEN f.source_id <> '' THEN f.line_no ELSE h.line_no END
+ FROM f LEFT JOIN h ON h.hit_id = f.hit_id AND h.case_id = 'c1'),
+r AS (SELECT case_id, source_id, line_no, count(*) AS refs FROM e WHERE source_id <> '' GROUP BY ALL)
+SELECT r.case_id, r.source_id, r.line_no, r.refs, s.host, count(*) OVER (PARTITION BY r.case_id) AS evidence_total FROM r LEFT JOIN s USING (source_id)""",
 )
 def report_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return report.evidence(*_report(spark, sf)).select("source_id", "line_no", "refs", "host")
+    return report.evidence(*_report(spark, sf)).select("case_id", "source_id", "line_no", "refs", "host", "evidence_total")
 
 
 # ---- audit chain ----------------------------------------------------------------------------------
@@ -414,6 +432,37 @@ def chain_links(spark: SparkSession, sf: str) -> DataFrame:
     return audit.chain_breaks(rows, chunk=1000)
 
 
+# entries whose hash leaves the previous one out can be valid without a running chain of digests
+_SEALED = """s AS (SELECT event_id AS seq, ts, 'u' || CAST(user_id AS VARCHAR) AS actor, event_type, props,
+  'GENESIS' AS prev_hash FROM events),
+t AS (SELECT *, CASE WHEN seq % 100 = 7 THEN NULL WHEN seq % 100 = 9 THEN 'wrong' ELSE sha256(concat_ws(chr(0), CAST(seq AS VARCHAR), 'c1',
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(ts, '%f'), '0') END || 'Z',
+  actor, event_type, '', props, CASE WHEN seq % 100 = 11 THEN '' ELSE prev_hash END)) END AS entry_hash FROM s)"""
+
+
+def _sealed(spark: SparkSession, sf: str) -> DataFrame:
+    """One-entry chains with valid hashes, and entries without a hash, with a wrong one and without a link."""
+    rows = _audit(spark, sf).withColumn("prev_hash", F.when(F.col("seq") % 100 != 11, audit.GENESIS))
+    seq = F.col("seq") % 100
+    return rows.withColumn("entry_hash", F.when(seq == 7, F.lit(None).cast("string")).when(seq == 9, "wrong").otherwise(audit.entry_hash()))
+
+
+@query(
+    "audit_entries_sealed",
+    f"WITH {_SEALED} SELECT seq, seq % 100 NOT IN (7, 9) AS sound FROM t",
+)
+def entries_sealed(spark: SparkSession, sf: str) -> DataFrame:
+    return _sealed(spark, sf).select("seq", F.col("entry_hash").eqNullSafe(audit.entry_hash()).alias("sound"))
+
+
+@query(
+    "audit_verify",
+    "SELECT count(*) AS entries, 1 AS first_break, 'link' AS problem, false AS intact FROM events",
+)
+def verify(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.verify_chain(_sealed(spark, sf), chunk=1000)
+
+
 # ---- duplicates -----------------------------------------------------------------------------------
 
 
@@ -474,8 +523,7 @@ def record_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "file_record_tampering",
-    f"""{_REC}, t AS (SELECT *, row_number() OVER (PARTITION BY in_use ORDER BY id) AS rn FROM f WHERE delta > 60 AND links <= 1)
-SELECT id, path, CAST(delta AS DOUBLE) AS delta_seconds FROM t WHERE rn <= 500""",
+    f"{_REC} SELECT id, path, CAST(delta AS DOUBLE) AS delta_seconds FROM f WHERE delta > 60 AND links <= 1",
 )
 def tampering(spark: SparkSession, sf: str) -> DataFrame:
     return files.tampered_candidates(files.file_paths(_records(spark, sf))).select("id", "path", "delta_seconds")

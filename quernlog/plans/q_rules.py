@@ -23,19 +23,20 @@ def _rule_sql(picked: list[dict], fields: dict[str, str]) -> str:
         if any(c.field not in fields for c in conds):
             continue
         tests, first = [], ""
-        for i, c in enumerate(conds):
-            text = f"lower({fields[c.field]})"
-            alts = []
-            for n in c.needles:
-                alts.append(
+        for field in dict.fromkeys(c.field for c in conds):
+            text = f"lower({fields[field]})"
+            alts = [
+                (
                     {
                         "contains": f"contains({text}, {_quote(n)})", "eq": f"{text} = {_quote(n)}",
                         "prefix": f"starts_with({text}, {_quote(n)})", "endswith": f"ends_with({text}, {_quote(n)})",
-                    }[c.op]
+                    }[c.op],
+                    n,
                 )
-            tests.append("(" + " OR ".join(alts) + ")")
-            if i == 0:
-                first = "CASE " + " ".join(f"WHEN {a} THEN {_quote(n)}" for a, n in zip(alts, c.needles, strict=True)) + " END"
+                for c in conds if c.field == field for n in c.needles
+            ]
+            tests.append("(" + " OR ".join(a for a, _ in alts) + ")")
+            first = first or "CASE " + " ".join(f"WHEN {a} THEN {_quote(n)}" for a, n in alts) + " END"
         parts.append(
             f"SELECT source_id, line_no, {_quote(rule['id'])} AS rule_id, {_quote(rule['severity'])} AS severity, "
             f"{_quote(conds[0].field)} AS matched_field, {first} AS matched_value FROM w WHERE " + " AND ".join(tests)
@@ -57,6 +58,28 @@ def scan_web(spark: SparkSession, sf: str) -> DataFrame:
     return rules.event_rule_hits(web_events(spark, sf)).select(*_SHOWN)
 
 
+#: Conditions on one field are alternatives, whichever of them the row meets; written out by hand.
+_SAME_FIELD = [
+    {"id": "same-1", "severity": "low", "title": "", "target": "event", "min_hosts": 0, "max_hits": 500,
+     "match": {"path_prefix": ["/admin", "/wp-"], "path_endswith": [".php"], "status_eq": ["200", "404"]}},
+    {"id": "same-2", "severity": "low", "title": "", "target": "event", "min_hosts": 0, "max_hits": 500,
+     "match": {"ua_eq": ["none at all"], "ua_contains": ["tool1", "sqlmap"]}},
+]
+
+
+@query(
+    "rule_scan_same_field",
+    f"""WITH {duck_cte(WEB)}, w AS (SELECT *, lower(f_path) AS p, lower(f_ua) AS u FROM ev WHERE kind = 'event')
+SELECT source_id, line_no, 'same-1' AS rule_id, 'low' AS severity, 'path' AS matched_field,
+  CASE WHEN p LIKE '/admin%' THEN '/admin' WHEN p LIKE '/wp-%' THEN '/wp-' ELSE '.php' END AS matched_value
+FROM w WHERE (p LIKE '/admin%' OR p LIKE '/wp-%' OR p LIKE '%.php') AND f_status IN ('200', '404')
+UNION ALL SELECT source_id, line_no, 'same-2', 'low', 'ua', CASE WHEN u LIKE '%tool1%' THEN 'tool1' ELSE 'sqlmap' END
+FROM w WHERE u = 'none at all' OR u LIKE '%tool1%' OR u LIKE '%sqlmap%'""",
+)
+def scan_same_field(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.event_rule_hits(web_events(spark, sf), _SAME_FIELD).select(*_SHOWN)
+
+
 @query("rule_scan_windows", f"{_WIN_CTE}, hits AS ({_rule_sql(EVENT_RULES, _WIN_FIELDS)}) SELECT * FROM hits")
 def scan_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rules.event_rule_hits(windows_events(spark, sf, promoted=False)).select(*_SHOWN)

@@ -39,7 +39,12 @@ _search(
     "search_field_contains", "contains(lower(f_ua), 'sqlmap') OR contains(lower(f_ua), 'tool1')",
     conditions=(_has("ua", "SQLMAP", "tool1"),),
 )
-_search("search_raw_equals", "raw IN ('x', 'y')", conditions=(_eq("raw", "x", "y"),))
+@query("search_raw_equals", f"{EV}, k AS (SELECT min(raw) AS a, max(raw) AS b FROM w) SELECT {OUT} FROM w WHERE raw IN (SELECT a FROM k UNION SELECT b FROM k)")
+def raw_equals(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines equal to the first or the last line of the table in code point order."""
+    events = web_events(spark, sf, promoted=False)
+    first, last = events.agg(F.min("raw"), F.max("raw")).first()
+    return _shape(s.matching(events, s.SearchParams("c1", conditions=(_eq("raw", first, last),))))
 _search("search_raw_contains", "contains(lower(raw), 'curl/') OR contains(lower(raw), 'union')", conditions=(_has("raw", "curl/", "UNION"),))
 _search(
     "search_conditions_and", "f_method = 'POST' AND contains(f_path, 'git') AND contains(lower(raw), 'sqlmap')",
@@ -68,23 +73,32 @@ def page(spark: SparkSession, sf: str) -> DataFrame:
     return _shape(s.search(web_events(spark, sf), params))
 
 
+@query(
+    "search_page_after",
+    f"{EV} SELECT {OUT} FROM w WHERE f_status = '200' AND (source_id > 's3' OR source_id = 's3' AND line_no > 100) ORDER BY source_id, line_no LIMIT 50",
+)
+def page_after(spark: SparkSession, sf: str) -> DataFrame:
+    params = s.SearchParams("c1", conditions=(_eq("status", "200"),), limit=50, after=("s3", 100))
+    return _shape(s.search(web_events(spark, sf), params))
+
+
 def _counts(name: str, group: str, sql: str) -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return stats.event_counts(web_events(spark, sf), "c1", group)
 
 
-_counts("stats_by_status", "status", f"{EV} SELECT f_status AS key, count(*) AS events FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-_counts("stats_by_day", "day", f"{EV} SELECT strftime(ts, '%Y-%m-%d') AS key, count(*) AS events FROM w WHERE ts IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
-_counts("stats_by_source", "source", f"{EV} SELECT source_id AS key, count(*) AS events FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+_counts("stats_by_status", "status", f"{EV} SELECT f_status AS key, count(*) AS events FROM w GROUP BY 1")
+_counts("stats_by_day", "day", f"{EV} SELECT strftime(ts, '%Y-%m-%d') AS key, count(*) AS events FROM w WHERE ts IS NOT NULL GROUP BY 1")
+_counts("stats_by_source", "source", f"{EV} SELECT source_id AS key, count(*) AS events FROM w GROUP BY 1")
 
 
-@query("timeline_hours", f"{EV} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS bucket_start, count(*) AS events FROM w WHERE ts IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 4100")
+@query("timeline_hours", f"{EV} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS bucket_start, count(*) AS events FROM w WHERE ts IS NOT NULL GROUP BY 1")
 def hours(spark: SparkSession, sf: str) -> DataFrame:
     return stats.timeline(web_events(spark, sf), "c1")
 
 
-@query("timeline_untimed_sources", f"{EV} SELECT source_id, count(*) AS events FROM w WHERE ts IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000")
+@query("timeline_untimed_sources", f"{EV} SELECT source_id, count(*) AS events FROM w WHERE ts IS NULL GROUP BY 1")
 def untimed(spark: SparkSession, sf: str) -> DataFrame:
     return stats.untimed_sources(web_events(spark, sf), "c1")
 

@@ -292,21 +292,21 @@ _CT_RAW = (
     "parse_conntrack",
     f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS rn FROM events)
 SELECT {_SRC}, CASE WHEN event_type <> 'view' THEN 'SYN_SENT' END AS state, '203.0.113.' || CAST(user_id % 200 AS VARCHAR) AS remote_addr, CAST(event_id % 5000 AS VARCHAR) AS dport, 'UNREPLIED X' AS flags
-FROM e WHERE event_type <> 'click' AND rn <= 2000""",
+FROM e WHERE event_type <> 'click'""",
 )
 def conntrack(spark: SparkSession, sf: str) -> DataFrame:
-    recs = snapshots.parse_conntrack(_lines(spark, sf, _CT_RAW), cap=2000, chunk=1500).filter("kind = 'event'")
+    recs = snapshots.parse_conntrack(_lines(spark, sf, _CT_RAW), chunk=1500).filter("kind = 'event'")
     return recs.select("source_id", "line_no", *[f"norm.{c}" for c in ("state", "remote_addr", "dport", "flags")])
 
 
 @query(
     "conntrack_summary",
     """WITH e AS (SELECT *, user_id % 3 AS s, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS rn FROM events),
-g AS (SELECT s, count(*) AS t, count(CASE WHEN event_type = 'click' THEN 1 END) AS m, count(CASE WHEN event_type <> 'click' AND rn <= 2000 THEN 1 END) AS em FROM e GROUP BY 1)
-SELECT CAST(s AS VARCHAR) AS source_id, t AS total_lines, m AS malformed_lines, em AS emitted_entries, greatest(t - m - 2000, 0) AS truncated_entries, CASE WHEN t - m > 2000 THEN 'true' ELSE 'false' END AS capped FROM g""",
+g AS (SELECT s, count(*) AS t, count(CASE WHEN event_type = 'click' THEN 1 END) AS m, count(CASE WHEN event_type <> 'click' THEN 1 END) AS em FROM e GROUP BY 1)
+SELECT CAST(s AS VARCHAR) AS source_id, t AS total_lines, m AS malformed_lines, em AS emitted_entries, 0 AS truncated_entries, 'false' AS capped FROM g""",
 )
 def conntrack_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.conntrack_summary(_lines(spark, sf, _CT_RAW), cap=2000, chunk=1500)
+    return snapshots.conntrack_summary(_lines(spark, sf, _CT_RAW), chunk=1500)
 
 
 _CSRC = "CAST(c_nationkey AS VARCHAR) AS source_id, c_custkey + 1 AS line_no"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Safe to change on a live session.  Shuffle sizing is left to the cluster: AQE coalesces small
@@ -37,7 +35,10 @@ def get_session(master: str | None = None, app: str = "quernlog", **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a fresh temporary one in local tests."""
+    """Use the cluster's shared checkpoint folder; where none is named, one beside the warehouse.
+
+    The warehouse is shared on a cluster, so this never ends up on a disk of one machine there.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if shared:
@@ -47,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quernlog-ckpt-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def materialized(rows: DataFrame) -> DataFrame:

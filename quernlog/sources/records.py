@@ -7,11 +7,12 @@ Every parser is a function from numbered lines to records:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlog.functions.fields import computed_once
 from quernlog.functions.times import to_utc
+from quernlog.session import materialized
 
 SEPARATOR = "\u0001"
 
@@ -74,10 +75,12 @@ def record(
 def to_events(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Event rows: a direct UTC stamp wins, then local time in the declared zone, else no time.
 
-    ``sources`` carries case_id, source_id, tz (declared zone), log_type, artifact_type, host.  Stored
-    stamps have millisecond precision.
+    ``sources`` carries case_id, source_id, tz (declared zone), log_type, artifact_type, host.  Records that
+    carry a case_id belong to it; else a source id stands for one case.  Lines of unregistered sources stay, with
+    NULL attributes and no local time.  Stored stamps have millisecond precision.
     """
-    joined = records.join(sources.select("case_id", "source_id", "tz", "log_type", "artifact_type", "host"), "source_id")
+    key = ["case_id", "source_id"] if "case_id" in records.columns else ["source_id"]
+    joined = records.join(sources.select("case_id", "source_id", "tz", "log_type", "artifact_type", "host"), key, "left")
     ts = F.coalesce("ts_direct", to_utc(F.col("dt_local"), F.col("tz")))
     return joined.select(
         "case_id", "source_id", "line_no", F.date_trunc("MILLISECOND", ts).alias("ts"), "kind",
@@ -85,25 +88,52 @@ def to_events(records: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+#: Folders of a case in the stored event table; a source lies in one of them.
+SOURCE_BUCKETS = 64
+
+
+def with_bucket(events: DataFrame) -> DataFrame:
+    """The stored table's folder of each row, from its source."""
+    return events.withColumn("source_bucket", F.pmod(F.xxhash64("source_id"), F.lit(SOURCE_BUCKETS)).cast("int"))
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Store events partitioned by case and day, ordered by source and line within files.
+    """Store events in folders by case and bucket of the source, ordered by source and line within files.
 
-    With mode 'overwrite' only the partitions present in ``events`` are replaced.
+    Rows are dealt out by folder and piece of the lines, so a large source is written by many tasks and a task writes
+    few files.  With mode 'overwrite' the folders present in ``events`` are replaced as a whole: use
+    :func:`replace_source` to renew single sources.
     """
+    piece = F.floor(F.col("line_no") / 4_000_000)
     (
-        events.withColumn("event_date", F.to_date("ts"))
-        .sortWithinPartitions("case_id", "event_date", "source_id", "line_no")
+        with_bucket(events)
+        .repartition("case_id", "source_bucket", piece)
+        .sortWithinPartitions("case_id", "source_bucket", "source_id", "line_no")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("case_id", "event_date")
+        .partitionBy("case_id", "source_bucket")
         .parquet(path)
     )
 
 
-def replace_source(events: DataFrame, case_id: str, source_id: str, fresh: DataFrame) -> DataFrame:
-    """Event rows after re-parsing one source: its old rows are dropped and the fresh ones added."""
-    kept = events.filter(~((F.col("case_id") == case_id) & (F.col("source_id") == source_id)))
-    return kept.unionByName(fresh, allowMissingColumns=True)
+def replaced(events: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Event rows after re-parsing: old rows of the sources in ``fresh`` are dropped and the fresh ones added.
+
+    A source of which nothing is left must be among the sources of ``fresh`` with one row at least.
+    """
+    renewed = fresh.select("case_id", "source_id").distinct()
+    return events.join(renewed, ["case_id", "source_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def replace_source(spark: SparkSession, path: str, fresh: DataFrame) -> None:
+    """Renew the sources in ``fresh`` in a stored table; only the folders they lie in are read and written.
+
+    The renewed folders are kept in the checkpoint folder before the old ones are written over, so an interrupted run
+    can be repeated.
+    """
+    touched = with_bucket(fresh).select("case_id", "source_bucket").distinct()
+    old = spark.read.parquet(path).join(touched, ["case_id", "source_bucket"], "left_semi").drop("source_bucket")
+    write_events(materialized(replaced(old, fresh)), path, "overwrite")
 
 
 def canonical_records(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -115,7 +145,8 @@ def canonical_records(records: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
         F.lit("Z"),
     )
-    joined = records.join(sources.select("source_id", "tz"), "source_id")
+    key = ["case_id", "source_id"] if "case_id" in records.columns else ["source_id"]
+    joined = records.join(sources.select(*key, "tz"), key, "left")
     return joined.select(
         "source_id", "line_no",
         F.to_json(

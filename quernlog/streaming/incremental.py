@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -35,16 +34,16 @@ def row_candidates(events: DataFrame) -> DataFrame:
 
 def stored_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A stored table, or an empty one of the same layout before the first write."""
-    try:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], like.schema)
+    return spark.createDataFrame([], like.schema)
 
 
-def process_batch(hits_path: str, entities_path: str, cap: int = 500) -> Callable[[DataFrame, int], None]:
+def process_batch(hits_path: str, entities_path: str) -> Callable[[DataFrame, int], None]:
     """Batch function: append candidates and entities that are not stored yet.
 
-    Every batch is a scan round with its own cap.  A batch delivered twice adds nothing: its rows carry the
+    Every match of a batch is stored: no later round sees its events again.  A batch delivered twice adds nothing: its rows carry the
     batch number, rows with that number from a failed attempt are written over, all others are known by key.
     """
 
@@ -54,7 +53,7 @@ def process_batch(hits_path: str, entities_path: str, cap: int = 500) -> Callabl
             stamped = fresh.withColumn("batch", F.lit(batch_id).cast("bigint"))
             stored = stored_table(spark, path, stamped).filter(F.col("batch") != batch_id)
             if kind == "hits":
-                kept = with_outcome(fresh, stored, cap).filter("outcome = 'new'").drop("outcome")
+                kept = with_outcome(fresh, stored).filter("outcome = 'new'").drop("outcome")
             else:
                 kept = new_entities(fresh, stored)
             (
@@ -66,10 +65,10 @@ def process_batch(hits_path: str, entities_path: str, cap: int = 500) -> Callabl
 
 
 def start(
-    events: DataFrame, hits_path: str, entities_path: str, checkpoint: str, *, cap: int = 500, once: bool = True
+    events: DataFrame, hits_path: str, entities_path: str, checkpoint: str, *, once: bool = True
 ) -> StreamingQuery:
     """Run over a streaming event table; the checkpoint remembers which events were seen."""
-    writer = events.writeStream.foreachBatch(process_batch(hits_path, entities_path, cap)).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(process_batch(hits_path, entities_path)).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
