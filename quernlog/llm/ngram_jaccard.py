@@ -127,7 +127,7 @@ def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, percen
 
 
 def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, representatives: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes, from the texts of their representatives."""
+    """(node, shingles) of the given nodes, from the texts of their representatives; twice where a row is there twice."""
     wanted = materialized(representatives.join(nodes, "node", "left_semi"))
     bits = min(1 << FILTER_BITS, 1 << max(16, (8 * wanted.count()).bit_length()))
 
@@ -156,7 +156,7 @@ def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, representatives: Data
                 )
 
     read = _texts(docs).withColumn("place", place("doc_id")).mapInArrow(work, f"doc_id {kind}, node long, shingles binary")
-    return stored(read.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]))
+    return stored(read.join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id"))
 
 
 def _suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
@@ -211,16 +211,18 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rows = named.filter("bucket is null").select("doc_id", "n", "node")
     representatives = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     index = stored(_prefixes(docs, size, percent, rank))
+    # most shingles stand in one prefix: they go first, and what follows is worked out on few rows
+    shared = materialized(
+        index.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("shingle")
+    )
+    rows_of_buckets = stored(index.join(shared, "shingle"))
     first = F.shiftleft(F.col("pos").cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)))
-    hubs = (
-        index.withColumn("first", first).groupBy("shingle")
-        .agg(
-            F.min("node").alias("least"), F.max("node").alias("most"), F.min_by("node", "first").alias("hub"),
-            F.min_by("n", "first").alias("hub_n"), F.min_by("pos", "first").alias("hub_pos"),
+    hubs = materialized(
+        rows_of_buckets.withColumn("first", first).groupBy("shingle").agg(
+            F.min_by("node", "first").alias("hub"), F.min_by("n", "first").alias("hub_n"), F.min_by("pos", "first").alias("hub_pos")
         )
-        .filter("least < most").drop("least", "most")
     )
-    buckets = stored(index.join(hubs, "shingle").filter("node <> hub"))
+    buckets = rows_of_buckets.join(hubs, "shingle").filter("node <> hub")
     star = _may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)
     pairs = materialized(buckets.filter(star).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     links = materialized(_link(docs, size, percent, pairs, representatives))
