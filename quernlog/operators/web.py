@@ -215,6 +215,30 @@ def divergence_bucket_rows(
     )
 
 
+def _values_of_keys(events: DataFrame, sources: DataFrame | None, key_fields: list[str], dimension: str) -> DataFrame:
+    """Values of a dimension seen with each key, with their events and last line."""
+    rows = _web(events, sources, [*key_fields, dimension])
+    for field in [*key_fields, dimension]:
+        rows = rows.filter(usable(f"f_{field}"))
+    keys = [f"f_{k}" for k in key_fields]
+    return rows.groupBy(*SOURCE, *keys, F.col(f"f_{dimension}").alias("_value")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("line_no").alias("_last")
+    )
+
+
+def divergence_values(
+    events: DataFrame, sources: DataFrame | None = None, *, key_fields: list[str] | None = None, dimension: str = "ua",
+    min_distinct: int = 50,
+) -> DataFrame:
+    """Every value of the keys that :func:`divergence_distinct` finds, with its number of events."""
+    keys = [f"f_{k}" for k in key_fields or ["src_ip"]]
+    pairs = _values_of_keys(events, sources, key_fields or ["src_ip"], dimension)
+    found = pairs.groupBy(*SOURCE, *keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max(2, min_distinct))
+    return pairs.join(found.drop("_n"), [*SOURCE, *keys], "left_semi").select(
+        *SOURCE, key_text(key_fields or ["src_ip"]).alias("key"), F.col("_value").alias("value"), F.col("_c").alias("events")
+    )
+
+
 def divergence_distinct(
     events: DataFrame,
     sources: DataFrame | None = None,
@@ -224,15 +248,13 @@ def divergence_distinct(
     min_distinct: int = 50,
     samples: int = 10,
 ) -> DataFrame:
-    """Keys seen with many different values of one dimension; samples are the smallest values."""
+    """Keys seen with many different values of one dimension; samples are the smallest values.
+
+    All values of the found keys are in :func:`divergence_values`.
+    """
     key_fields = key_fields or ["src_ip"]
     keys = [f"f_{k}" for k in key_fields]
-    rows = _web(events, sources, [*key_fields, dimension])
-    for field in [*key_fields, dimension]:
-        rows = rows.filter(usable(f"f_{field}"))
-    pairs = rows.groupBy(*SOURCE, *keys, F.col(f"f_{dimension}").alias("_value")).agg(
-        F.count(F.lit(1)).alias("_c"), F.max("line_no").alias("_last")
-    )
+    pairs = _values_of_keys(events, sources, key_fields, dimension)
     stats = pairs.groupBy(*SOURCE, *keys).agg(
         F.count(F.lit(1)).alias("distinct_values"),
         F.sum("_c").alias("total_events"),
@@ -313,6 +335,32 @@ def cross_key_same_value(
     )
 
 
+def _far_from_median(
+    events: DataFrame, sources: DataFrame | None, key_fields: list[str], bytes_field: str, ratio: float, min_samples: int
+) -> DataFrame:
+    ratio, min_samples = max(1.5, ratio), max(3, min_samples)
+    group = [*SOURCE, *[f"f_{k}" for k in key_fields]]
+    rows = _web(events, sources, [*key_fields, bytes_field])
+    for field in key_fields:
+        rows = rows.filter(usable(f"f_{field}"))
+    rows = rows.withColumn("_v", F.col(f"f_{bytes_field}").try_cast("double")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v")
+    ).select(*group, "line_no", "_v")
+    medians = exact_median(rows, group, "_v").filter((F.col("n") >= min_samples) & (F.col("median") > 0))
+    return rows.join(medians, group).filter((F.col("_v") > F.col("median") * ratio) | (F.col("_v") < F.col("median") / ratio))
+
+
+def size_outlier_rows(
+    events: DataFrame, sources: DataFrame | None = None, *, key_fields: list[str] | None = None, bytes_field: str = "bytes",
+    ratio: float = 3.0, min_samples: int = 10,
+) -> DataFrame:
+    """Every response far from the median size of its key."""
+    key_fields = key_fields or ["path"]
+    return _far_from_median(events, sources, key_fields, bytes_field, ratio, min_samples).select(
+        *SOURCE, key_text(key_fields).alias("key"), "line_no", F.col("_v").alias("bytes"), F.col("median").alias("median_bytes")
+    )
+
+
 def size_outlier(
     events: DataFrame,
     sources: DataFrame | None = None,
@@ -323,21 +371,16 @@ def size_outlier(
     min_samples: int = 10,
     max_outliers: int = 3,
 ) -> DataFrame:
-    """Responses far from the exact median size of their key; one finding per key."""
+    """Responses far from the exact median size of their key; one finding per key.
+
+    A finding shows the ``max_outliers`` farthest; all of them are in :func:`size_outlier_rows`.
+    """
     key_fields = key_fields or ["path"]
-    ratio, min_samples, max_outliers = max(1.5, ratio), max(3, min_samples), max(1, max_outliers)
-    keys = [f"f_{k}" for k in key_fields]
-    group = [*SOURCE, *keys]
-    rows = _web(events, sources, [*key_fields, bytes_field])
-    for field in key_fields:
-        rows = rows.filter(usable(f"f_{field}"))
-    rows = rows.withColumn("_v", F.col(f"f_{bytes_field}").try_cast("double")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    ).select(*group, "line_no", "_v")
-    medians = exact_median(rows, group, "_v").filter((F.col("n") >= min_samples) & (F.col("median") > 0))
-    flagged = rows.join(medians, group).filter(
-        (F.col("_v") > F.col("median") * ratio) | (F.col("_v") < F.col("median") / ratio)
-    ).withColumn("_dev", F.abs(F.col("_v") - F.col("median")))
+    max_outliers = max(1, max_outliers)
+    group = [*SOURCE, *[f"f_{k}" for k in key_fields]]
+    flagged = _far_from_median(events, sources, key_fields, bytes_field, ratio, min_samples).withColumn(
+        "_dev", F.abs(F.col("_v") - F.col("median"))
+    )
     counts = flagged.groupBy(*group).agg(
         F.count(F.lit(1)).alias("outlier_count"),
         F.first("n").alias("samples"),

@@ -263,6 +263,17 @@ def distinct(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "detect_key_divergence_values",
+    f"""{WEB_CTE},
+p AS (SELECT source_id, f_src_ip, f_ua, count(*) AS c FROM w WHERE f_src_ip NOT IN ('', '-') AND f_ua NOT IN ('', '-') GROUP BY ALL),
+k AS (SELECT source_id, f_src_ip FROM p GROUP BY ALL HAVING count(*) >= 12)
+SELECT source_id, f_src_ip AS key, f_ua AS value, c AS events FROM p SEMI JOIN k USING (source_id, f_src_ip)""",
+)
+def divergence_values(spark: SparkSession, sf: str) -> DataFrame:
+    return web.divergence_values(web_events(spark, sf), min_distinct=12).select("source_id", "key", "value", "events")
+
+
 @query(
     "detect_cross_key_same_value",
     f"""{WEB_CTE},
@@ -306,6 +317,20 @@ def outlier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "detect_size_outlier_rows",
+    f"""{WEB_CTE},
+t AS (SELECT source_id, f_path, f_method, f_status, line_no, try_cast(f_bytes AS DOUBLE) AS v FROM w
+  WHERE f_path NOT IN ('', '-') AND f_method NOT IN ('', '-') AND f_status NOT IN ('', '-') AND try_cast(f_bytes AS DOUBLE) IS NOT NULL),
+m AS (SELECT source_id, f_path, f_method, f_status, median(v) AS med FROM t GROUP BY ALL HAVING count(*) >= 20 AND median(v) > 0)
+SELECT source_id, line_no, 'path=' || f_path || ' method=' || f_method || ' status=' || f_status AS key, v AS bytes
+FROM t JOIN m USING (source_id, f_path, f_method, f_status) WHERE v > med * 3 OR v < med / 3""",
+)
+def outlier_rows(spark: SparkSession, sf: str) -> DataFrame:
+    found = web.size_outlier_rows(web_events(spark, sf), key_fields=["path", "method", "status"], min_samples=20)
+    return found.select("source_id", "line_no", "key", "bytes")
+
+
 # ---- host -----------------------------------------------------------------------------------------
 
 _ANCHOR = "source_id, line_no, epoch_us(ts) AS ts"

@@ -422,7 +422,7 @@ def usn_reasons(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "usn_top_files",
     f"""WITH c AS (SELECT user_id % 3 AS s, 'f' || CAST(user_id AS VARCHAR) || '.txt' AS file, count(*) AS count FROM events WHERE {K_DUCK} % 4 <> 3 GROUP BY ALL)
-SELECT CAST(s AS VARCHAR) AS source_id, file, count, CAST(row_number() OVER (PARTITION BY s ORDER BY count DESC, file) AS INTEGER) AS rank FROM c QUALIFY rank <= 10""",
+SELECT CAST(s AS VARCHAR) AS source_id, file, count, CAST(row_number() OVER (PARTITION BY s ORDER BY count DESC, file) AS INTEGER) AS rank FROM c""",
 )
 def usn_files(spark: SparkSession, sf: str) -> DataFrame:
     return file_lists.usn_top_files(_usn(spark, sf))
@@ -447,7 +447,7 @@ def file_list(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "file_list_extensions",
     f"""WITH c AS (SELECT user_id % 3 AS s, coalesce({_EXT}, '(none)') AS extension, count(*) AS count FROM events GROUP BY ALL)
-SELECT CAST(s AS VARCHAR) AS source_id, extension, count, CAST(row_number() OVER (PARTITION BY s ORDER BY count DESC, extension) AS INTEGER) AS rank FROM c QUALIFY rank <= 50""",
+SELECT CAST(s AS VARCHAR) AS source_id, extension, count, CAST(row_number() OVER (PARTITION BY s ORDER BY count DESC, extension) AS INTEGER) AS rank FROM c""",
 )
 def extensions(spark: SparkSession, sf: str) -> DataFrame:
     return file_lists.file_list_extensions(_file_list(spark, sf))

@@ -83,19 +83,20 @@ def usn_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def top_values(rows: DataFrame, group: list[str], key: str, top: int) -> DataFrame:
-    """The most frequent keys per group, ties by key."""
+def top_values(rows: DataFrame, group: list[str], key: str, top: int | None) -> DataFrame:
+    """The most frequent keys per group with their rank, ties by key; all of them without ``top``."""
     counted = rows.groupBy(*group, key).agg(F.count(F.lit(1)).alias("count"))
     ranked = Window.partitionBy(*group).orderBy(F.col("count").desc(), key)
-    return counted.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
+    counted = counted.withColumn("rank", F.row_number().over(ranked))
+    return counted if top is None else counted.filter(F.col("rank") <= top)
 
 
-def usn_reason_histogram(records: DataFrame, top: int = 25) -> DataFrame:
+def usn_reason_histogram(records: DataFrame, top: int | None = None) -> DataFrame:
     named = records.filter("kind = 'event'").select("source_id", F.explode("norm.reason_flags").alias("reason"))
     return top_values(named, ["source_id"], "reason", top)
 
 
-def usn_top_files(records: DataFrame, top: int = 10) -> DataFrame:
+def usn_top_files(records: DataFrame, top: int | None = None) -> DataFrame:
     files = records.filter("kind = 'event'").select("source_id", F.col("norm.filename").alias("file"))
     return top_values(files, ["source_id"], "file", top)
 
@@ -108,7 +109,7 @@ def parse_file_list(lines: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("line_no", "_c")).alias("_h")).select("source_id", F.col("_h.line_no").alias("_head"), F.col("_h._c").alias("_names"))
     )
     names = F.transform("_names", lambda n: F.lower(F.trim(F.regexp_replace(n, "^﻿", ""))))
-    rows = rows.join(head.withColumn("_names", names), "source_id")
+    rows = rows.join(head.withColumn("_names", names), "source_id", "left")  # a source of blank lines has no header
 
     def cell(name: str) -> Column:
         at = F.array_position("_names", name)
@@ -134,7 +135,7 @@ def parse_file_list(lines: DataFrame) -> DataFrame:
         "drive": F.when(F.contains(F.left("_path", F.lit(3)), F.lit(":")), F.upper(F.substring_index("_path", ":", 1))),
         "ragged": F.size("_c") != F.size("_names"),
     }
-    header = F.col("line_no") <= F.col("_head")
+    header = F.coalesce(F.col("line_no") <= F.col("_head"), F.lit(False))
     kind = F.when(is_blank(F.col("raw")) | header, "skip").when(F.col("_path") == "", "bad").otherwise("event")
     return record(rows, kind, norm, reason=F.when(header, "header").otherwise("no path"), ts_direct=F.col("_mod"))
 
@@ -148,7 +149,7 @@ def file_list_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def file_list_extensions(records: DataFrame, top: int = 50) -> DataFrame:
+def file_list_extensions(records: DataFrame, top: int | None = None) -> DataFrame:
     rows = records.filter("kind = 'event'").select("source_id", F.coalesce("norm.extension", F.lit("(none)")).alias("extension"))
     return top_values(rows, ["source_id"], "extension", top)
 
