@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlog.llm import bpe_chunks, fair_mixing, language_id, line_templates, ngram_jaccard
-from quernlog.llm.native import stored
+from quernlog.llm.native import Scratch
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; what a stage returns is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    before = Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        scratch = Scratch(spark)
+        docs = scratch.stored(stage(spark, docs, sf_dir))
+        before.clear()
+        before = scratch
+    return STAGES[-1][1](spark, docs, sf_dir)  # reads the last stored documents

@@ -50,10 +50,26 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str, salts:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder and read again; compressed, unlike a checkpoint."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+class Scratch:
+    """Tables in the shared checkpoint folder that last until :meth:`clear`; compressed, unlike a checkpoint.
+
+    Clear only when nothing that is still to be computed reads them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """Rows written and read again."""
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []

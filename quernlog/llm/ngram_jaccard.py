@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quernlog.llm.arrow import slices
 from quernlog.llm.components import components
-from quernlog.llm.native import stored, text_of
+from quernlog.llm.native import Scratch, text_of
 from quernlog.llm.textarrays import code_points, lower_ascii, mix64, word_hashes
 from quernlog.session import materialized
 
@@ -126,7 +126,7 @@ def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, percen
     return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent) & (most * (100 + percent) >= (n + other_n) * percent)
 
 
-def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, representatives: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, representatives: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, shingles) of the given nodes, from the texts of their representatives; twice where a row is there twice."""
     wanted = materialized(representatives.join(nodes, "node", "left_semi"))
     bits = min(1 << FILTER_BITS, 1 << max(16, (8 * wanted.count()).bit_length()))
@@ -156,7 +156,7 @@ def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, representatives: Data
                 )
 
     read = _texts(docs).withColumn("place", place("doc_id")).mapInArrow(work, f"doc_id {kind}, node long, shingles binary")
-    return stored(read.join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id"))
+    return scratch.stored(read.join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id"))
 
 
 def _suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
@@ -210,12 +210,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
     rows = named.filter("bucket is null").select("doc_id", "n", "node")
     representatives = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    index = stored(_prefixes(docs, size, percent, rank))
+    scratch = Scratch(docs.sparkSession)
+    index = scratch.stored(_prefixes(docs, size, percent, rank))
     # most shingles stand in one prefix: they go first, and what follows is worked out on few rows
     shared = materialized(
         index.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("shingle")
     )
-    rows_of_buckets = stored(index.join(shared, "shingle"))
+    rows_of_buckets = scratch.stored(index.join(shared, "shingle"))
     first = F.shiftleft(F.col("pos").cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)))
     hubs = materialized(
         rows_of_buckets.withColumn("first", first).groupBy("shingle").agg(
@@ -225,12 +226,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     buckets = rows_of_buckets.join(hubs, "shingle").filter("node <> hub")
     star = _may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)
     pairs = materialized(buckets.filter(star).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialized(_link(docs, size, percent, pairs, representatives))
+    links = _link(docs, size, percent, pairs, representatives)
     labels = components(links)
     more = materialized(_open_pairs(buckets, labels, percent))
     if not more.isEmpty():
-        links = links.union(materialized(_link(docs, size, percent, more, representatives)))
+        links = links.union(_link(docs, size, percent, more, representatives))
         labels = components(links)
+    scratch.clear()
     named_groups = rows.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("class"))
     named_groups = materialized(named_groups)
     smallest = materialized(
@@ -243,7 +245,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _link(docs: DataFrame, size: int, percent: int, pairs: DataFrame, representatives: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    return _verified(pairs, _sets_of(docs, size, nodes, representatives), percent)
+    scratch = Scratch(docs.sparkSession)
+    links = materialized(_verified(pairs, _sets_of(docs, size, nodes, representatives, scratch), percent))
+    scratch.clear()
+    return links
 
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
