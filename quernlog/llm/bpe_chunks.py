@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Callable
 from functools import lru_cache
@@ -28,7 +29,7 @@ WINDOW = 24
 MEAN_CHUNK = 1024
 LEAST_CHUNK = 256
 #: Code points of chunks that a task keeps for reuse; the least recently used go first.
-KEPT = 8_000_000
+KEPT = 4_000_000
 #: Text made of these characters is split alike by both libraries; other text goes to the reference one.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*\Z")
 #: A letter or punctuation mark, then a blank before a letter: the tokenizer splits before the blank in any context.
@@ -73,7 +74,7 @@ class Codec:
             "vocabulary", pat_str=_pattern(), mergeable_ranks={b: i for i, b in enumerate(self.bytes) if tokens[i] not in special},
             special_tokens=special,
         )
-        self.chunks: OrderedDict[str, list[int]] = OrderedDict()
+        self.chunks: OrderedDict[str, array] = OrderedDict()  # four bytes an id
         self.kept = 0
 
     def encode_span(self, text: str) -> list[int]:
@@ -85,9 +86,9 @@ class Codec:
         found = self.chunks.get(text)
         if found is not None:
             self.chunks.move_to_end(text)
-            return found
+            return found.tolist()
         found = self.encode_span(text)
-        self.chunks[text] = found
+        self.chunks[text] = array("I", found)
         self.kept += len(text)
         while self.kept > KEPT and len(self.chunks) > 1:
             self.kept -= len(self.chunks.popitem(last=False)[0])
