@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows are taken in slices of about so many bytes of text, whatever the size of Spark's batches.
-SLICE = 1_000_000
+SLICE = 400_000
 
 
 def slices(batch: pa.RecordBatch, texts: str = "text") -> Iterator[pa.RecordBatch]:
