@@ -1,34 +1,45 @@
 """Cross-entropy difference of two matched bigram models.
 
-Target and background model share one vocabulary, the most frequent words of the corpus, and one smoothing; the
-background's counts are scaled to the size of the target, so neither is the sharper for having seen more.  A document's
-score is its mean loss per word under the target model less that under the background model: the lower, the more it
-reads like the target.
+Target and background model share one vocabulary, all words of the corpus, and one smoothing; the background's counts are
+scaled to the size of the target, so neither is the sharper for having seen more.  A document's score is its mean loss per
+word under the target model less that under the background model: the lower, the more it reads like the target.
 
 A model that has seen a document knows it too well, so each half of the documents is scored by the models counted on the
-other half.  Counts cover all documents.  Each task counts its rows in arrays and gives the filled places; Spark adds them up.
-Bigrams are counted in a fixed number of buckets, so the models that go to the tasks have a fixed size.
+other half.  Counts cover all documents, all words and all bigrams; words and bigrams are named by 64-bit hashes.  They
+stay a Spark table: the losses of a document are summed up over a join with it.  Only the most frequent words and bigrams
+go to the tasks as arrays, which gives the same sums and keeps hot keys out of the join.
+
+The loss of a word x after v is -log((c(v, x) + W u(x)) / (c(v) + W)), taken as -log(W u(x)), plus log(c(v) + W), less
+log(1 + c(v, x) / (W u(x))).  So a bigram that one half alone has seen changes nothing and its count can go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from quernlog.llm.arrow import map_texts, slices
-from quernlog.llm.native import text_of
+from quernlog.llm.arrow import slices
+from quernlog.llm.native import Scratch, text_of
 from quernlog.llm.textarrays import code_points, lower_ascii, mix64, prefix_sums, span_hashes, word_spans
 
-#: Words of the shared vocabulary; all others are one unknown word.
-VOCABULARY = 50_000
-BUCKET_BITS = 20
+#: Words and bigrams that go to the tasks as arrays; a matter of speed alone.
+FREQUENT = 200_000
+#: Words counted in a task before their counts go out.
+HELD = 2_000_000
 #: Weight of the unigram model in words seen, and of the uniform model in the unigram one.
 UNIGRAM_WEIGHT, UNIFORM_WEIGHT = 8.0, 1.0
+#: Stands before the first word of a text.
+BEGIN = np.uint64(0x5851F42D4C957F2D)
+#: By half, then target and all documents.
+COUNTS = ["c0", "c1", "c2", "c3"]
+WORD_COUNTS = ["w0", "w1", "w2", "w3"]
 
 
 def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,112 +50,125 @@ def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(prefix_sums(points), starts, ends), np.searchsorted(borders, starts, side="right")
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words in rising order; ties go to the smaller hash."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "count"])
-
-        for batch in batches:
-            for part in slices(batch):
-                found, n = np.unique(batch_words(part.column("text").to_pylist())[0], return_counts=True)
-                both, at = np.unique(np.concatenate((words, found)), return_inverse=True)
-                words, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
-                if len(words) > 1_000_000:
-                    yield rows()
-                    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield rows()
-
-    counted = docs.select(text_of().alias("text")).mapInArrow(work, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
-    top = counted.orderBy(F.desc("count"), "word").limit(size).select("word").collect()
-    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-
-
-def _tokens(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers (len(known) for unknown words), the bucket of each with the word before it, and its text."""
-    hashes, owner = batch_words(texts)
-    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-    found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-    words = np.where(found, at, len(known)).astype(np.int64)
-    before = _before(words, owner, len(known) + 1)
-    pairs = mix64(before.astype(np.uint64) * np.uint64(len(known) + 2) + words.astype(np.uint64))
-    return words, (pairs >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), owner
-
-
-def _before(words: np.ndarray, owner: np.ndarray, begin: int) -> np.ndarray:
-    """The word before each, or ``begin`` where a text begins."""
-    before = np.concatenate((np.full(1, begin), words[:-1])) if len(words) else words.copy()
-    before[np.flatnonzero(np.diff(owner, prepend=-1))] = begin
-    return before
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, bigrams of each with the word before it, where a text begins, and the text of each word."""
+    words, owner = batch_words(texts)
+    first = np.diff(owner, prepend=-1) != 0
+    before = np.concatenate((np.full(1, BEGIN), words[:-1])) if len(words) else words
+    before = np.where(first, BEGIN, before)
+    pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(words))
+    return words, np.maximum(pairs, np.uint64(1)), first, owner
 
 
 def half(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(2)).cast("int")
 
 
-@dataclass
-class Models:
-    """Counts over one vocabulary, by half, then target and background: by word, and by bigram bucket."""
-
-    known: np.ndarray
-    words: np.ndarray  # 2 x 2 x (vocabulary + 2)
-    pairs: np.ndarray  # 2 x 2 x buckets
-
-    def losses(self, texts: list[str], halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each text, and the mean loss per word under both models (0 without words)."""
-        words, pairs, owner = _tokens(texts, self.known)
-        n = np.bincount(owner, minlength=len(texts))
-        begin = len(self.known) + 1
-        before = _before(words, owner, begin)
-        other = 1 - halves[owner]
-        out = np.zeros((2, len(texts)))
-        for m in range(2):
-            seen = self.words[:, m]
-            total = seen[:, :begin].sum(axis=1, keepdims=True)
-            unigram = (seen + UNIFORM_WEIGHT / begin) / (total + UNIFORM_WEIGHT)
-            p = (self.pairs[other, m, pairs] + UNIGRAM_WEIGHT * unigram[other, words]) / (seen[other, before] + UNIGRAM_WEIGHT)
-            out[m] = np.bincount(owner, -np.log(np.minimum(p, 1.0)), len(texts)) / np.maximum(n, 1)
-        return n, out
+def _sums(keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys, in order of the first, and the column sums of ``values`` for each."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    starts = np.flatnonzero(np.any([np.diff(k, prepend=~k[:1]) != 0 for k in keys], axis=0))
+    return [k[starts] for k in keys], np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
 
 
-def fit(docs: DataFrame, target: DataFrame) -> Models:
-    """Counts all of ``docs`` for the background and those whose doc_id is in ``target`` for the target."""
-    known = vocabulary(docs)
-    width = len(known) + 2
-    size = width + (1 << BUCKET_BITS)
+def _counted(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(word, pair, c0 .. c3) of all words, with pair 0, and of the bigrams seen by both halves; BEGIN counts texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     marks = target.select("doc_id").distinct().withColumn("wanted", F.lit(1))
     marked = (
         docs.select("doc_id", text_of().alias("text"), F.coalesce(half(), F.lit(0)).alias("half"))
         .join(marks, "doc_id", "left").select("text", (F.col("half") * 2 + F.coalesce("wanted", F.lit(0))).alias("kind"))
     )
 
+    def rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        word, pair, kind = (np.concatenate(x) for x in zip(*held))
+        seen = np.zeros((len(word), 4), np.int64)
+        wanted = kind % 2 == 1
+        seen[np.arange(len(word)), kind // 2 * 2 + 1] = 1
+        seen[np.flatnonzero(wanted), kind[wanted] // 2 * 2] = 1
+        (word, pair), seen = _sums((word, pair), seen)
+        arrays = [pa.array(word.view(np.int64)), pa.array(pair.view(np.int64)), *(pa.array(seen[:, i]) for i in range(4))]
+        whole = pa.RecordBatch.from_arrays(arrays, ["word", "pair", *COUNTS])
+        for i in range(0, len(word), 100_000):
+            yield whole.slice(i, 100_000)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((4, size), np.int64)  # by half, then without and with the target
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
             for part in slices(batch):
-                words, pairs, owner = _tokens(part.column("text").to_pylist(), known)
-                kinds = part.column("kind").to_numpy()
-                for kind in range(4):
-                    mine = kinds[owner] == kind
-                    counts[kind] += np.bincount(np.concatenate((words[mine], pairs[mine] + width)), minlength=size)
-                    counts[kind, width - 1] += len(np.unique(owner[mine]))  # texts begun
-        kind, place = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(place), pa.array(counts[kind, place])], ["kind", "place", "count"])
-
-    total = marked.mapInArrow(work, "kind long, place long, count long").groupBy("kind", "place").agg(F.sum("count").alias("count"))
-    counts = np.zeros((2, 2, size))
-    for batch in total.toArrow().to_batches():  # at most one row per kind and place: bounded by vocabulary and buckets
-        kind, place, n = (batch.column(c).to_numpy() for c in ("kind", "place", "count"))
-        np.add.at(counts, (kind // 2, 1, place), n)  # a place comes without and with the target
-        wanted = kind % 2 == 1
-        counts[kind[wanted] // 2, 0, place[wanted]] += n[wanted]
-    sizes = counts[:, :, : width - 1].sum(axis=2)
-    counts[:, 1] *= (sizes[:, 0] / np.maximum(1.0, sizes[:, 1]))[:, None]
-    return Models(known, counts[:, :, :width].astype(np.float32), counts[:, :, width:].astype(np.float32))
+                words, pairs, first, owner = _tokens(part.column("text").to_pylist())
+                kinds = part.column("kind").to_numpy().astype(np.int8)[owner]
+                none = np.zeros(len(words), np.uint64)
+                held += [(words, pairs, kinds), (words, none, kinds), (np.full(first.sum(), BEGIN), none[first], kinds[first])]
+                n += 2 * len(words)
+                if n >= HELD:
+                    yield from rows(held)
+                    held, n = [], 0
+        if held:
+            yield from rows(held)
+
+    each = marked.mapInArrow(work, "word long, pair long, " + ", ".join(f"{c} long" for c in COUNTS))
+    found = each.groupBy("word", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return found.filter((F.col("pair") == 0) | ((F.col("c1") > 0) & (F.col("c3") > 0)))
+
+
+@dataclass
+class Models:
+    """Counts by key, a word or a bigram: w0 .. w3 of the word, c0 .. c3 of the bigram, null for words themselves."""
+
+    table: DataFrame
+    keys: np.ndarray  # the most frequent keys in rising order
+    uses: np.ndarray  # 2 halves of the reader x 2 models x keys: loss of a use as a word or bigram
+    before: np.ndarray  # the same of a use as the word before
+    scale: np.ndarray  # of counts, by half and model
+    total: np.ndarray  # scaled words, by half and model
+    begin: int  # distinct words and an unknown one
+
+
+def _loss(scale: float, total: float, begin: int, word: Column, pair: Column) -> tuple[Column, Column]:
+    """Loss of a use as a word or bigram, and of one as the word before."""
+    unigram = UNIGRAM_WEIGHT * (word * scale + UNIFORM_WEIGHT / begin) / (total + UNIFORM_WEIGHT)
+    use = F.when(pair.isNull(), -F.log(unigram)).otherwise(-F.log1p(pair * scale / unigram))
+    return use, F.when(pair.isNull(), F.log(word * scale + UNIGRAM_WEIGHT)).otherwise(0.0)
+
+
+def _losses(models: Models, h: int, m: int) -> tuple[Column, Column]:
+    """Those of model ``m`` for a reader of half ``h``: counts of the other half."""
+    i = 2 * (1 - h) + m
+    return _loss(float(models.scale[1 - h, m]), float(models.total[1 - h, m]), models.begin, F.col(f"w{i}"), F.col(f"c{i}"))
+
+
+def fit(docs: DataFrame, target: DataFrame) -> Models:
+    """Counts all of ``docs`` for the background and those whose doc_id is in ``target`` for the target."""
+    spark = docs.sparkSession
+    first, second = Scratch(spark), Scratch(spark)
+    counted = first.stored(_counted(docs, target))
+    begin = int(BEGIN.astype(np.int64))
+    words = counted.filter("pair = 0").select("word", *[F.col(c).alias(w) for c, w in zip(COUNTS, WORD_COUNTS)])
+    sums = words.filter(F.col("word") != begin).agg(F.count("*"), *[F.coalesce(F.sum(w), F.lit(0)) for w in WORD_COUNTS]).first()
+    sizes = np.array(sums[1:], float).reshape(2, 2)
+    scale = np.stack((np.ones(2), sizes[:, 0] / np.maximum(1.0, sizes[:, 1])), axis=1)
+    pairs = counted.filter("pair <> 0")
+    # words with many bigrams are few and meet them without an exchange
+    hot = F.broadcast(words.orderBy(F.desc(F.col("w1") + F.col("w3")), "word").limit(10_000))
+    rest = pairs.join(hot.select("word"), "word", "left_anti").join(words, "word")
+    columns = [F.col("pair").alias("key"), *WORD_COUNTS, *COUNTS]
+    own = words.select(F.col("word").alias("key"), *WORD_COUNTS, *[F.lit(None).cast("long").alias(c) for c in COUNTS])
+    table = second.stored(own.unionByName(pairs.join(hot, "word").select(columns)).unionByName(rest.select(columns)))
+    first.clear()
+    models = Models(table, np.zeros(0), np.zeros(0), np.zeros(0), scale, sizes * scale, sums[0] + 1)
+    often = F.coalesce(F.col("c1") + F.col("c3"), F.col("w1") + F.col("w3"))
+    losses = [c.alias(f"l{h}{m}{i}") for h in range(2) for m in range(2) for i, c in enumerate(_losses(models, h, m))]
+    top = table.orderBy(F.desc(often), "key").limit(FREQUENT).select("key", *losses).toArrow()
+    keys = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    models.keys = keys[order]
+    models.uses, models.before = (
+        np.array([[top.column(f"l{h}{m}{i}").to_numpy()[order] for m in range(2)] for h in range(2)]) for i in range(2)
+    )
+    return models
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -154,14 +178,64 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     results; an empty table gives none; without target documents every score is that of an unseen target.  A null doc_id
     counts to the first half.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size: vocabulary and buckets
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    # of a fixed size; all other keys meet the table of the counts
+    shared = docs.sparkSession.sparkContext.broadcast((models.keys, models.uses, models.before))
+    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(half(), F.lit(0)).alias("half"))
+    # rows that share a doc_id are told apart by their text; equal rows are summed up and divided
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    made = "key long, uses long, before long, n_words long, loss0 double, loss1 double"
+    out = StructType([*rows.select("doc_id", "mark", "half").schema.fields, *_parse_datatype_string(made).fields])
+    arrow = to_arrow_schema(out)
+
+    def one(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, halves = part.column("text").to_pylist(), part.column("half").to_numpy().astype(np.int64)
+        words, pairs, first, owner = _tokens(texts)
+        n, zero, one = len(words), np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        last = np.append(first[1:], True)[:n]
+        key = np.concatenate((words, pairs, np.full(first.sum(), BEGIN)))
+        owners = np.concatenate((owner, owner, owner[first]))
+        uses = np.concatenate((one, one, zero[first]))
+        before = np.concatenate((1 - last, zero, one[first]))
+        keys, use, as_before = shared.value
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+        mine, place = owners[known], at[known]
+        losses = [
+            np.bincount(mine, uses[known] * use[halves[mine], m, place] + before[known] * as_before[halves[mine], m, place], len(texts))
+            for m in range(2)
+        ]
+        (owners, key), sums = _sums((owners[~known], key[~known]), np.stack((uses[~known], before[~known]), axis=1))
+        owners = np.concatenate((np.arange(len(texts)), owners))
+        # rows of the documents themselves: keys that match nothing and are spread evenly
+        key = np.concatenate((part.column("mark").to_numpy(), key.view(np.int64)))
+        further = len(key) - len(texts)
+        given = np.concatenate((np.zeros(len(texts), bool), np.ones(further, bool)))
+        fill = lambda x: pa.array(np.concatenate((x, np.zeros(further, x.dtype))), mask=given)
+        sums = np.concatenate((np.zeros((len(texts), 2), np.int64), sums))
+        taken = [part.column(c).take(pa.array(owners)) for c in ("doc_id", "mark", "half")]
+        columns = [*taken, pa.array(key), pa.array(sums[:, 0]), pa.array(sums[:, 1]), fill(np.bincount(owner, minlength=len(texts)))]
+        columns += [fill(x) for x in losses]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield from one(part)
 
-    def start() -> Callable[..., dict[str, object]]:
-        def run(texts: list[str], halves: np.ndarray) -> dict[str, object]:
-            n, loss = shared.value.losses(texts, halves)
-            return {"n_words": n, "target_loss": loss[0], "background_loss": loss[1], "score": loss[0] - loss[1]}
+    joined = rows.mapInArrow(work, out).join(models.table, "key", "left")
 
-        return run
+    def loss(m: int) -> Column:
+        each = [use * F.col("uses") + before * F.col("before") for use, before in (_losses(models, h, m) for h in range(2))]
+        met = F.when(F.col("w0").isNull() | F.col("n_words").isNotNull(), 0.0).when(F.col("half") == 0, each[0]).otherwise(each[1])
+        return F.sum(met + F.coalesce(F.col(f"loss{m}"), F.lit(0.0)))
 
-    rows = docs.select("doc_id", "text", F.coalesce(half(), F.lit(0)).alias("half"))
-    return map_texts(rows, ["doc_id"], "n_words long, target_loss double, background_loss double, score double", start, also="half")
+    found = joined.groupBy("doc_id", "mark").agg(
+        F.count("n_words").alias("copies"), F.sum("n_words").alias("n"), loss(0).alias("loss0"), loss(1).alias("loss1")
+    )
+    each = found.select(
+        "doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_words"),
+        *[(F.col(f"loss{m}") / F.greatest(F.col("n"), F.lit(1))).alias(name) for m, name in enumerate(("target_loss", "background_loss"))],
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+    )
+    return each.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -242,6 +242,27 @@ def test_lm_losses_against_plain_counts(spark, table, prose, monkeypatch):
         assert math.isclose(r.background_loss, losses["background"], rel_tol=1e-4) and math.isclose(r.score, r.target_loss - r.background_loss)
 
 
+def test_lm_counts_every_word_and_bigram(spark, table, monkeypatch):
+    """More distinct words and bigrams than any fixed array held: rare words keep counts of their own, in the join too."""
+    rows = [(i, " ".join(f"w{(i // 2) * 300 + j}" for j in range(300)), None, None) for i in range(400)]
+    target = {i for i in range(400) if i % 3 == 0}
+    docs, wanted = table(rows), spark.createDataFrame([(i,) for i in target], "doc_id long")
+    half = {r.doc_id: r.h for r in docs.select("doc_id", lm_difference.half().alias("h")).collect()}
+    monkeypatch.setattr(lm_difference, "FREQUENT", 50, raising=False)
+    out = by_id(lm_difference.score(docs, lm_difference.fit(docs, wanted)))
+    begin = 200 * 300 + 1
+    words = {(h, m): sum(300 for i in range(400) if half[i] == h and (m or i in target)) for h in range(2) for m in range(2)}
+    for i in range(400):
+        h, twin = 1 - half[i], i ^ 1  # the twin is the only other document with these words
+        for m, got in enumerate((out[i][0].target_loss, out[i][0].background_loss)):
+            k = words[h, 0] / words[h, 1] if m else 1.0
+            c = k if half[twin] == h and (m or twin in target) else 0.0
+            texts = k * sum(half[j] == h and (m or j in target) for j in range(400))
+            u = (c + 1 / begin) / (k * words[h, m] + 1)
+            want = -(math.log((c + 8 * u) / (texts + 8)) + 299 * math.log((c + 8 * u) / (c + 8))) / 300
+            assert math.isclose(got, want, rel_tol=1e-9)
+
+
 def test_lm_difference_on_odd_rows(spark, table, odd_rows):
     nothing = spark.createDataFrame([], "doc_id long")
     out = lm_difference.score(table(odd_rows), lm_difference.fit(table(odd_rows), nothing)).collect()
