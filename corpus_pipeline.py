@@ -23,7 +23,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with lines that recur across them left in one only."""
-    rows = line_templates.without_recurring(docs)
+    rows = line_templates.without_recurring(docs, whole=True)
     return rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

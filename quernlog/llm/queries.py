@@ -176,5 +176,5 @@ def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_templates")
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_templates.without_recurring(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = line_templates.without_recurring(documents(spark, sf_dir).select("doc_id", "text"), whole=True)
     return rows.select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_text"))

@@ -269,6 +269,41 @@ def test_line_templates(table, prose):
         assert got[i].text == "\n".join(want) and got[i].n_dropped == sum(a == i for a, _ in gone)
 
 
+def test_whole_line_rule(table, prose):
+    """Equal lines go by documents alone, short ones from a stated count on or with their passage; the first copy stays."""
+    long, digits, unspaced = prose(1, 8), "part 7 of the 20 notes kept here", "这是没有空格的一行文字" * 5
+    passage = [f"line {prose(50 + k, 1)}" for k in range(30)]  # no line of it is long enough by itself
+    field = lambda i: f"Report of the day by {prose(700 + i, 1)} sent to all the readers"
+    texts = collections.defaultdict(lambda: [])
+    for i in (3, 8):
+        texts[i] += [long, digits, unspaced]
+    for i in (5, 9):
+        texts[i] += [*passage[:10], "", *passage[10:]]
+    for i in range(20, 24):
+        texts[i].append(field(i))
+    for i in range(30, 33):
+        texts[i].append(f"Only three of these lines {prose(800 + i, 1)} are there now")
+    for i in range(40, 50):
+        texts[i].append("All rights reserved.")
+    for i in range(60, 69):
+        texts[i].append("Nine of these")
+    rows = [(i, "\n".join([prose(100 * i + 7, 12), *x, prose(100 * i + 8, 12)])) for i, x in texts.items()]
+    rows.append((90, digits.replace("7", "8")))  # another number is another line
+    got = {x.doc_id: x for x in line_templates.without_recurring(table([(i, t, None, None) for i, t in rows]), whole=True).collect()}
+    lost = {i: x.n_dropped for i, x in got.items() if x.n_dropped}
+    assert lost == {8: 3, 9: 30, 21: 1, 22: 1, 23: 1, **{i: 1 for i in range(41, 50)}}
+    assert all(got[i].text == t for i, t in rows if i not in lost) and long not in got[8].text and passage[0] in got[5].text
+
+
+def test_query_of_line_templates_takes_the_whole_rule(spark, tmp_path, prose):
+    import __spark_entry__ as entry
+
+    line = prose(1, 20)
+    spark.createDataFrame([(i, f"{prose(i + 2, 9)}\n{line}") for i in (1, 2)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in entry.queries()["op9_line_templates"](spark, str(tmp_path)).collect()}
+    assert line in out[1].kept_text and line not in out[2].kept_text
+
+
 def test_line_templates_on_odd_rows(table, odd_rows):
     df = table(odd_rows)
     out = line_templates.without_recurring(df)
