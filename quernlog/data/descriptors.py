@@ -20,7 +20,8 @@ LINUX_DPKG = {
 }
 PSHISTORY = {
     "name": "pshistory", "kind": "regex", "log_type": "command_history",
-    "line_regex": r"^\s*(?P<command>(?P<cmdline>\S(?:.*\S)?))\s*$",
+    # not a dot: in Java it stops at U+0085 and U+2028 too
+    "line_regex": r"^\s*(?P<command>(?P<cmdline>\S(?:[^\n]*\S)?))\s*$",
     "field_map": {"command": "command", "cmdline": "cmdline"},
 }
 RAW_TEXT = {

@@ -173,14 +173,25 @@ def multiline(spark: SparkSession, sf: str) -> DataFrame:
     return recs.select("source_id", "line_no", "kind", _us("dt_local"), "continuation_lines")
 
 
-@query("parse_command_history", "SELECT doc_id AS line_no, md5(trim(replace(replace(replace(left(text, 60), chr(10), ' '), chr(13), ' '), chr(9), ' '))) AS digest FROM documents WHERE trim(left(text, 60)) <> ''")
-def history(spark: SparkSession, sf: str) -> DataFrame:
-    flat = F.regexp_replace(F.left("text", F.lit(60)), "[\n\r\t]", " ")
-    rows = table(spark, sf, "documents").select(F.col("lang").alias("source_id"), F.col("doc_id").alias("line_no"), flat.alias("raw"))
+def _history(spark: SparkSession, sf: str, text: Column) -> DataFrame:
+    rows = table(spark, sf, "documents").select(
+        F.col("lang").alias("source_id"), F.col("doc_id").alias("line_no"), F.regexp_replace(text, "[\n\r\t]", " ").alias("raw")
+    )
     recs = descriptors.parse_lines(rows, PSHISTORY).filter("kind = 'event'")
     return recs.select("line_no", F.md5(F.get_json_object(F.to_json("norm"), "$.cmdline")).alias("digest"))
 
 
+# its SQL compares the first 60 characters; parse_command_history_whole has the whole text
+@query("parse_command_history", "SELECT doc_id AS line_no, md5(trim(replace(replace(replace(left(text, 60), chr(10), ' '), chr(13), ' '), chr(9), ' '))) AS digest FROM documents WHERE trim(left(text, 60)) <> ''")
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    return _history(spark, sf, F.left("text", F.lit(60)))
+
+
+@query("parse_command_history_whole", "SELECT doc_id AS line_no, md5(trim(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' '))) AS digest FROM documents WHERE trim(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' ')) <> ''")
+def whole_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _history(spark, sf, F.col("text"))
+
+
 # ---- Linux logs -----------------------------------------------------------------------------------
 
 _MSG = (

@@ -243,3 +243,16 @@ def test_zone_and_canonical_record(spark, lines):
     assert ts("Asia/Shanghai") == ("2025-01-01 19:04:05", "2025-01-01T19:04:05Z")
     assert ts("UTC+8")[0] == ts("Asia/Beijing")[0] == ts("GMT+08:00")[0] == "2025-01-01 19:04:05"
     assert ts("nowhere")[0] == ts("")[0] == "None"
+
+
+def test_whole_command_history(spark, tmp_path):
+    """Texts that differ behind their 60th character differ, and every character counts."""
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    texts = {1: "x" * 60 + " one\ttab\nline ", 2: "x" * 60 + " two", 3: " \n\t", 4: None, 5: "long " * 40000 + "end", 6: " " * 70 + "late", 7: "a\u2028b\u0085c"}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.line_no: r.digest for r in entry.queries()["parse_command_history_whole"](spark, str(tmp_path)).collect()}
+    flat = {i: t.translate({10: " ", 13: " ", 9: " "}).strip(" ") for i, t in texts.items() if t is not None}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in flat.items() if t}
