@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from quernlog.llm import (
     bpe_chunks,
+    epsilon_grid,
     fair_mixing,
     language_id,
     line_templates,
     lm_difference,
     ngram_jaccard,
     order_minhash,
+    periodic_runs,
     rule_ensemble,
     rule_ledger,
+    spelling_variants,
     unigram_counts,
 )
-from quernlog.llm.native import documents
+from quernlog.llm.native import documents, text_of
 from quernlog.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +181,100 @@ def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_templates.without_recurring(documents(spark, sf_dir).select("doc_id", "text"), whole=True)
     return rows.select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = periodic_runs.collapse(docs.select("doc_id", periodic_runs.repeated("doc_id", text_of()).alias("text")))
+    longest = F.array_min(
+        F.transform("runs", lambda r: F.struct((-(r.length.cast("decimal(20,0)") / r.period.cast("decimal(20,0)"))).alias("e"), r.start.alias("start"), r.period.alias("period"), r.length.alias("length")))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), lines.alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("lines", lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of every byte, by the polynomial's rule."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+# letters beyond ASCII stand as one byte each where edits are counted, as SQL's edit distance counts bytes
+_BEYOND = "".join(map(chr, range(0xC0, 0x100)))
+_STAND_INS = "".join(c for c in map(chr, range(33, 127)) if not ("a" <= c <= "z") and c != "'")[: len(_BEYOND)]
+_SPELLING_SQL = rf"""
+with recursive o as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-zÀ-ÿ]+')) w from documents
+), d as (
+  select doc_id, w, count(*) c from o group by all
+), b as (
+  select *, flatten(list_transform(list_transform(string_split(doc_id || ':' || w, ''), lambda x: unicode(x)),
+    lambda u: case when u < 128 then [u::bigint] else [195, u::bigint - 64] end)) bytes from d
+), h as (
+  select *, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::bigint),
+    4294967295::bigint) h from b, (select {_crc_table()}::bigint[] tab)
+), e as (
+  select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end word, c from h
+), v as (
+  select word, sum(c)::bigint n, length(word) l, translate(word, '{_BEYOND}', '{_STAND_INS}') plain
+  from e where length(word) >= 6 group by word having sum(c) >= 5
+), near as (
+  select a.word, a.n, b.word near, b.n m from v a join v b on b.l = a.l and a.word <> b.word where levenshtein(a.plain, b.plain) = 1
+  union all select a.word, a.n, b.word, b.n from v a join v b on b.l = a.l + 1 where levenshtein(a.plain, b.plain) = 1
+  union all select a.word, a.n, b.word, b.n from v a join v b on b.l = a.l - 1 where levenshtein(a.plain, b.plain) = 1
+), best as (
+  select word, count(*) n_near, max(m) m, first(near order by m desc, near) near from near group by word
+), f as (
+  select v.word, n, coalesce(n_near, 0)::bigint n_near, case when m >= 5 * n then near end form, case when m >= 5 * n then m end form_n
+  from v left join best using (word)
+), r(word, reached) as (
+  select word, coalesce(form, word) from f union select r.word, f.form from r join f on f.word = r.reached where f.form is not null
+)
+select f.word, form, root, n, n_near, form_n
+from f join (select r.word, max_by(reached, g.n) root from r join f g on g.word = reached group by r.word) z on z.word = f.word
+"""
+
+
+@query("op12_spelling_variants", _SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.occurrences(documents(spark, sf_dir).select("doc_id", "text"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (F.col("h") % F.length("word")).cast("int")
+    shorter = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    words = found.withColumn("h", h).select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("word")).alias("word"))
+    return spelling_variants.variants(spelling_variants.counted(words))
+
+
+_NEAR_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] e from embeddings
+), u as (
+  select vec_id, e from v
+  where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), links as (
+  select x.vec_id a, y.vec_id b from u x join u y on x.vec_id <> y.vec_id and len(x.e) = len(y.e)
+  where list_cosine_similarity(x.e, y.e) >= 0.95
+), reach(a, b) as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+), n as (select a, count(*) n from links group by a), c as (select a, min(b) c from reach group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(c, vec_id)) component_id,
+  vec_id = least(vec_id, coalesce(c, vec_id)) kept
+from v left join n on n.a = vec_id left join c on c.a = vec_id
+"""
+
+
+@query("op13_epsilon_grid", _NEAR_SQL)
+def op13_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = epsilon_grid.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+    return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

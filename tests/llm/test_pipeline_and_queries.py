@@ -6,7 +6,7 @@ import corpus_pipeline
 
 def test_each_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_stages(spark, table, prose):
