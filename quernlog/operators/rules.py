@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quernlog.data.rules import ALL_RULES, ENTITY_RULES, EVENT_RULES
 from quernlog.functions.fields import computed_once, promote
-from quernlog.functions.net import let
 from quernlog.operators.findings import SNIPPET_CHARS
 from quernlog.session import materialized
 
@@ -19,6 +17,8 @@ SUFFIXES = {"_contains": "contains", "_prefix": "prefix", "_eq": "eq", "_endswit
 KEY = ["case_id", "source_id", "line_no", "rule_id"]
 #: Line numbers of a source that are counted together when a cut-off is looked for.
 PIECE = 4096
+#: Needles of one mask; a mask is a long and its sign stays out of it.
+MASK_BITS = 62
 HIT_COLUMNS = [
     "case_id", "source_id", "line_no", "rule_id", "severity", "matched_field", "matched_value", "snippet",
     "ts", "evidence_grade",
@@ -31,11 +31,6 @@ class Condition:
     op: str
     needles: tuple[str, ...]
 
-    def pattern(self) -> str:
-        """Regular expression of the alternatives, for text that is already lower case."""
-        body = "|".join(re.escape(n) for n in self.needles)
-        return {"contains": f"{body}", "prefix": f"^(?:{body})", "endswith": f"(?:{body})$", "eq": f"^(?:{body})$"}[self.op]
-
 
 def conditions(rule: dict) -> list[Condition]:
     default = "eq" if rule["target"] == "entity" else "contains"
@@ -62,90 +57,141 @@ def _text(field: str) -> Column:
     return F.lower(F.col("raw" if field == "raw" else f"f_{field}"))
 
 
-def _needle_test(text: Column, needle: Column) -> Column:
-    value = needle["needle"]
-    return (
-        F.when(needle["op"] == "eq", text == value)
-        .when(needle["op"] == "prefix", F.startswith(text, value))
-        .when(needle["op"] == "endswith", F.endswith(text, value))
-        .otherwise(F.contains(text, value))
-    )
+def _any_bit(parts: list[str]) -> str:
+    """Bitwise OR of masks as a balanced tree, written as SQL: one call instead of one for each."""
+    while len(parts) > 1:
+        parts = [f"({' | '.join(parts[i : i + 2])})" for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
-def event_rule_hits(events: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """Every (event, rule) match of the event rules.
+class NeedleLedger:
+    """The needles of some rules, each with a bit in a mask of its field.
 
-    Conditions on one field are alternatives, different fields must all hold.  A cheap test first keeps the
-    rows in which the most telling field of some rule holds: one regular expression per field.  Only those rows meet the rule table itself, which is a constant
-    array walked by higher-order functions; the event table is read once for all rules.
+    One regular expression per field and kind of test finds, at every place of the field's lower-cased text, the longest
+    needle that stands there; a constant map turns it into its bits and those of the needles it begins with.  Rules are
+    decided on the masks alone, each with a bit in a mask of rules: alternatives of a field by one AND with a constant,
+    fields by all of them being met.  Only rows with a rule's bit meet the constant table that names needles and rules.
     """
-    picked = [r for r in (EVENT_RULES if rules is None else rules) if r["target"] != "entity"]
-    compiled = [(r, conditions(r)) for r in picked]
-    fields = sorted({c.field for _, cs in compiled for c in cs} - {"raw"})
-    rows = promote(events.filter(F.col("kind") == "event"), fields)
-
-    telling: dict[str, list[str]] = {}
-    for _, conds in compiled:
-        groups = by_field_of(conds)
-        best = max(groups, key=lambda f: min(len(n) for c in groups[f] for n in c.needles))
-        telling.setdefault(best, []).extend(c.pattern() for c in groups[best])
-    worth = F.lit(False)
-    for field, patterns in telling.items():
-        worth = worth | _text(field).rlike("|".join(f"(?:{p})" for p in dict.fromkeys(patterns)))
-    rows = rows.filter(worth)
-
-    by_field: dict[str, list[dict]] = {}
-    for index, (_, conds) in enumerate(compiled):
-        for place, (field, group) in enumerate(by_field_of(conds).items()):
-            alternatives = [(c.op, n) for c in group for n in c.needles]
-            for rank, (op, needle) in enumerate(alternatives):
-                by_field.setdefault(field, []).append(
-                    {"rule": index, "place": place, "rank": rank, "field": field, "needle": needle, "op": op}
-                )
 
-    def constant(rows_: list[dict], layout: str) -> Column:
+    def __init__(self, picked: list[dict]):
+        self.rules = [(r, by_field_of(conditions(r))) for r in picked]
+        self.fields = list(dict.fromkeys(f for _, groups in self.rules for f in groups))
+        self.bits: dict[str, dict[tuple[str, str], int]] = {f: {} for f in self.fields}
+        for _, groups in self.rules:
+            for field, group in groups.items():
+                for c in group:
+                    for needle in c.needles:
+                        self.bits[field].setdefault((c.op, needle), len(self.bits[field]))
+        self.words = [(f, w) for f in self.fields for w in range(-(-len(self.bits[f]) // MASK_BITS))]
+        self.tests = [(f, op) for f in self.fields for op in dict.fromkeys(op for op, _ in self.bits[f])]
+
+    def found(self) -> dict[str, Column]:
+        """The needles found by each test; those that another found needle begins with are left to :meth:`masks`."""
+        out = {}
+        for i, (field, op) in enumerate(self.tests):
+            if op == "eq":
+                out[f"_f{i}"] = F.array(_text(field))
+                continue
+            needles = sorted((n for o, n in self.bits[field] if o == op), key=len, reverse=True)
+            body = "|".join(f"\\Q{n}\\E" for n in needles)
+            pattern = {"contains": f"(?=({body}))", "prefix": f"^(?=({body}))", "endswith": f"(?=((?:{body})\\z))"}[op]
+            out[f"_f{i}"] = F.regexp_extract_all(_text(field), F.lit(pattern), F.lit(1))
+        return out
+
+    def masks(self) -> dict[str, Column]:
+        """One mask per field and ``MASK_BITS`` of its needles, from :meth:`found`; an absent or empty field holds none."""
+        out = {}
+        for m, (field, word) in enumerate(self.words):
+            parts = []
+            for i, (f, op) in enumerate(self.tests):
+                if f != field:
+                    continue
+                needles = [n for o, n in self.bits[f] if o == op]
+                held: dict[str, int] = {}
+                for n in needles:
+                    inside = [n] if op in ("eq", "endswith") else [x for x in needles if n.startswith(x)]
+                    for x in inside:
+                        k = self.bits[f][op, x]
+                        if k // MASK_BITS == word:
+                            held[n] = held.get(n, 0) | 1 << (k % MASK_BITS)
+                if held:
+                    # folded to one literal when the plan is optimized
+                    table = json.dumps(held).replace("\\", "\\\\").replace("'", "\\'")
+                    table = f"from_json('{table}', 'map<string,bigint>')"
+                    parts.append(f"aggregate(_f{i}, 0L, (a, x) -> a | coalesce(try_element_at({table}, x), 0L))")
+            out[f"_m{m}"] = F.coalesce(F.expr(_any_bit(parts)), F.lit(0).cast("bigint"))
+        return out
+
+    def _alternatives(self, field: str, group: list[Condition]) -> list[dict]:
+        """Needles of a rule's field in the order they are named, with the mask and bit of each."""
+        places = [(n, self.bits[field][c.op, n]) for c in group for n in c.needles]
+        return [{"needle": n, "mask": self.words.index((field, k // MASK_BITS)), "bit": 1 << (k % MASK_BITS)} for n, k in places]
+
+    def _holds(self, groups: dict[str, list[Condition]]) -> str:
+        met = []
+        for field, group in groups.items():
+            wanted: dict[int, int] = {}
+            for a in self._alternatives(field, group):
+                wanted[a["mask"]] = wanted.get(a["mask"], 0) | a["bit"]
+            met.append(f"{_any_bit([f'(_m{m} & {bits}L)' for m, bits in wanted.items()])} <> 0")
+        return " AND ".join(met)
+
+    def decided(self) -> dict[str, Column]:
+        """Masks of the rules that hold, from :meth:`masks`, and those as an array."""
+        out = {}
+        for word in range(-(-len(self.rules) // MASK_BITS)):
+            mine = self.rules[word * MASK_BITS : (word + 1) * MASK_BITS]
+            tests = [f"CASE WHEN {self._holds(g)} THEN {1 << k}L ELSE 0L END" for k, (_, g) in enumerate(mine)]
+            out[f"_r{word}"] = F.expr(_any_bit(tests))
+        return out | {"_masks": F.array(*[f"_m{m}" for m in range(len(self.words))])}
+
+    def hits(self) -> Column:
+        """Array of (rule_id, severity, matched_field, matched_value) of the rules that hold, from :meth:`decided`."""
+        rows = []
+        for k, (rule, groups) in enumerate(self.rules):
+            field, group = next(iter(groups.items()))
+            rows.append(
+                {"word": k // MASK_BITS, "bit": 1 << (k % MASK_BITS), "rule_id": rule["id"], "severity": rule["severity"],
+                 "matched_field": field, "needles": self._alternatives(field, group)}
+            )
         # folded to one literal when the plan is optimized
-        return F.from_json(F.lit(json.dumps(rows_)), f"array<struct<{layout}>>")
-
-    def found_in(field: str) -> Column:
-        table = constant(by_field[field], "rule:int,place:int,rank:int,field:string,needle:string,op:string")
-        return let(
-            F.coalesce(_text(field), F.lit("")),
-            lambda text: F.filter(table, lambda n: (text != "") & _needle_test(text, n)),
+        table = F.from_json(
+            F.lit(json.dumps(rows)),
+            "array<struct<word:int,bit:long,rule_id:string,severity:string,matched_field:string,"
+            "needles:array<struct<needle:string,mask:int,bit:long>>>>",
         )
+        words = F.array(*self.rule_masks())
+        held = F.filter(table, lambda r: F.get(words, r["word"]).bitwiseAND(r["bit"]) != 0)
 
-    rule_table = constant(
-        [
-            {"rule_id": r["id"], "severity": r["severity"], "places": len({c.field for c in conds})}
-            for r, conds in compiled
-        ],
-        "rule_id:string,severity:string,places:int",
-    )
-
-    def complete(found: Column) -> Column:
-        def judge(index: Column) -> Column:
-            mine = F.filter(found, lambda n: n["rule"] == index)
+        def named(rule: Column) -> Column:
+            found = F.filter(rule["needles"], lambda n: F.get(F.col("_masks"), n["mask"]).bitwiseAND(n["bit"]) != 0)
             return F.struct(
-                F.get(rule_table, index).alias("rule"),
-                F.array_min(mine).alias("first"),
-                F.size(F.array_distinct(F.transform(mine, lambda n: n["place"]))).alias("held"),
+                rule["rule_id"].alias("rule_id"), rule["severity"].alias("severity"),
+                rule["matched_field"].alias("matched_field"), F.get(found, F.lit(0))["needle"].alias("matched_value"),
             )
 
-        judged = F.transform(F.array_distinct(F.transform(found, lambda n: n["rule"])), judge)
-        return F.filter(judged, lambda j: j["held"] == j["rule"]["places"])
+        return F.transform(held, named)
+
+    def rule_masks(self) -> list[str]:
+        return [f"_r{word}" for word in range(-(-len(self.rules) // MASK_BITS))]
+
 
-    hits = let(F.concat(*[found_in(f) for f in by_field]), complete)
-    return computed_once(rows, {"_hits": hits}).select(
-        "case_id", "source_id", "line_no", "ts", "raw", F.explode("_hits").alias("_hit")
+def event_rule_hits(events: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+    """Every (event, rule) match of the event rules.
+
+    Conditions on one field are alternatives, different fields must all hold; ``matched_value`` is the first alternative
+    of the first field that holds.  The event table is read once for all rules, see :class:`NeedleLedger`.
+    """
+    ledger = NeedleLedger([r for r in (EVENT_RULES if rules is None else rules) if r["target"] != "entity"])
+    rows = promote(events.filter(F.col("kind") == "event"), sorted(set(ledger.fields) - {"raw"}))
+    for step in (ledger.found, ledger.masks, ledger.decided):
+        rows = computed_once(rows, step())
+    rows = rows.filter(f"{_any_bit(ledger.rule_masks())} <> 0")
+    return rows.select(
+        "case_id", "source_id", "line_no", "ts", F.left("raw", F.lit(SNIPPET_CHARS)).alias("snippet"), F.explode(ledger.hits()).alias("_hit")
     ).select(
-        "case_id", "source_id", "line_no",
-        F.col("_hit.rule.rule_id").alias("rule_id"),
-        F.col("_hit.rule.severity").alias("severity"),
-        F.col("_hit.first.field").alias("matched_field"),
-        F.col("_hit.first.needle").alias("matched_value"),
-        F.left("raw", F.lit(SNIPPET_CHARS)).alias("snippet"),
-        "ts",
-        F.lit("suspect").alias("evidence_grade"),
+        "case_id", "source_id", "line_no", "_hit.rule_id", "_hit.severity", "_hit.matched_field", "_hit.matched_value",
+        "snippet", "ts", F.lit("suspect").alias("evidence_grade"),
     )
 
 

@@ -27,6 +27,7 @@ def load() -> None:
     """Import the modules that register queries."""
     from quernlog.plans import (  # noqa: F401
         q_candidates,
+        q_catalogue,
         q_detect,
         q_review,
         q_rules,
