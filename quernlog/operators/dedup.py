@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlog.functions.fields import computed_once
-from quernlog.session import ensure_checkpoint_dir
+from quernlog.session import materialized
 
 THRESHOLD = 0.85
 SWEEP = (0.85, 0.7, 0.6, 0.5)
@@ -46,127 +44,122 @@ def exact_groups(texts: DataFrame) -> DataFrame:
     )
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return common / F.nullif(F.size(a) + F.size(b) - common, F.lit(0))
-
-
-def _signatures(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(representatives, blocking tokens).
+def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, reps): every text with the earliest one of equal form and keywords, and those earliest ones.
 
-    Texts with the same normalized form and the same keywords share one fate, so only the earliest takes
-    part.  Keywords are ordered from rare to common: two sets as similar as the threshold share one of their
-    first ``n - ceil(t n) + 1`` keywords, so these, and the normalized form, are the blocking tokens.
+    Keywords stand as sorted 64-bit hashes.  Texts without a letter or digit have no representative.  A null case is a
+    case of its own.
     """
     rows = computed_once(
-        texts.select("case_id", "id", "text"), {"norm": normalized_text(F.col("text")), "kw": keywords(F.col("text"))}
-    ).withColumn("kw", F.array_sort("kw"))
-    twins = rows.withColumn("_sig", F.sha2(F.concat_ws("\u0000", "norm", F.array_join("kw", "\u0001")), 256))
-    reps = (
-        twins.filter(F.col("norm") != "")
-        .groupBy("case_id", "_sig")
-        .agg(F.min("id").alias("id"), F.first("norm").alias("norm"), F.first("kw").alias("kw"))
-        .checkpoint()
+        texts.select(F.struct("case_id").alias("case"), "id", "text"),
+        {"norm": normalized_text(F.col("text")), "kw": F.array_sort(F.transform(keywords(F.col("text")), lambda k: F.xxhash64(k)))},
     )
-    exploded = reps.select("case_id", "id", F.size("kw").alias("_n"), F.explode("kw").alias("token"))
-    freq = exploded.groupBy("case_id", "token").agg(F.count(F.lit(1)).alias("_df"))
-    ordered = (
-        exploded.join(freq, ["case_id", "token"])
-        .groupBy("case_id", "id", "_n")
-        .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_t"))
-    )
-    prefix = (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int")
-    # sets whose sizes differ by more than the threshold allows cannot be similar: size classes one threshold
-    # wide keep them apart, and every set also stands in the next class up
-    width = math.log(1 / threshold) * (1 + 1e-9)
-    size_class = F.floor(F.log(F.col("_n").cast("double")) / width)
-    blocks = ordered.select(
-        "case_id", "id", F.explode(F.slice("_t", F.lit(1), prefix)).alias("_e"), size_class.alias("_class")
-    ).select(
-        "case_id", "id", F.explode(F.array(F.col("_class"), F.col("_class") + 1)).alias("_class"), "_e.token"
-    ).select("case_id", "id", F.concat_ws(":", F.lit("k"), F.col("_class").cast("string"), "token").alias("token"))
-    same = reps.select("case_id", "id", F.concat(F.lit("n:"), F.sha2("norm", 256)).alias("token"))
-    return reps, blocks.unionByName(same).checkpoint()
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (case_id, id, other) that are exact or similar, with the score."""
-    left = reps.select("case_id", "id", F.col("norm").alias("_na"), F.col("kw").alias("_ka"))
-    right = reps.select("case_id", F.col("id").alias("other"), F.col("norm").alias("_nb"), F.col("kw").alias("_kb"))
-    joined = pairs.join(left, ["case_id", "id"]).join(right, ["case_id", "other"])
-    score = F.when(F.col("_na") == F.col("_nb"), 1.0).otherwise(F.coalesce(_similarity(F.col("_ka"), F.col("_kb")), F.lit(0.0)))
-    return (
-        joined.withColumns({"score": score, "exact": F.col("_na") == F.col("_nb")})
-        .filter(F.col("exact") | (F.col("score") >= threshold))
-        .select("case_id", "id", "other", "score", "exact")
+    rows = rows.select(
+        "case", "id", "kw", F.when(F.col("norm") != "", F.sha2("norm", 256)).alias("norm"),
+        F.md5(F.concat_ws(",", "norm", F.array_join(F.transform("kw", lambda k: k.cast("string")), ","))).alias("form"),
     )
+    forms = rows.filter("norm is not null").groupBy("case", "form").agg(F.min("id").alias("rep"))
+    members = materialized(rows.select("case", "id", "norm", "form").join(forms, ["case", "form"], "left").select("case", "id", "norm", "rep"))
+    reps = rows.join(forms, ["case", "form"]).filter("id = rep").select("case", "id", "norm", "kw").dropDuplicates(["case", "id"])
+    return members, materialized(reps)
 
 
-def replay(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verdict per text in order of ``id``: 'exact', 'similar' or 'none' against the earlier accepted texts.
+def _needed(n: Column, m: Column, threshold: float) -> Column:
+    """Least number of common keywords of two sets of n and m that are as similar as the threshold."""
+    return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+
 
-    Columns: case_id, id, verdict, blocked_by, score.  Works in rounds.  In each round a text that is the
-    earliest open one in all its blocks cannot be blocked any more and is accepted; open texts are then
-    compared with the newly accepted ones only.  Pairs therefore always have an accepted text on one side,
-    and a crowd of near copies is settled by its first member instead of being compared with itself.
+def links(reps: DataFrame, threshold: float) -> DataFrame:
+    """(case, id, other, score, exact) for every two representatives, other the earlier, that are exact or similar.
+
+    Keywords are ordered from rare to common.  Two sets as similar as the threshold share one of their first
+    ``n - ceil(t n) + 1`` keywords, so only these are joined, where lengths and the places of the shared keyword still
+    allow the similarity; each pair is then verified once on the whole sets.
     """
-    ensure_checkpoint_dir(texts.sparkSession)
-    reps, blocks = _signatures(texts, threshold)
-    open_blocks = blocks
+    sized = reps.select("case", "id", F.size("kw").alias("n"), F.explode("kw").alias("token"))
+    counted = sized.join(sized.groupBy("case", "token").agg(F.count(F.lit(1)).alias("df")), ["case", "token"])
+    ordered = counted.groupBy("case", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    index = materialized(
+        ordered.select("case", "id", "n", F.posexplode(F.slice("t", F.lit(1), prefix)).alias("place", "e"))
+        .filter("e.df > 1").select("case", "id", "n", "place", F.col("e.token").alias("token"))
+    )
+    one = index.select("case", "token", "id", "n", "place")
+    two = index.select("case", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
+    common = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    near = one.join(two, ["case", "token"]).filter((F.col("other") < F.col("id")) & (common >= _needed(F.col("n"), F.col("m"), threshold)))
+    forms = reps.select("case", "norm", "id")
+    same = forms.join(forms.withColumnRenamed("id", "other"), ["case", "norm"]).filter("other < id")
+    pairs = near.select("case", "id", "other").union(same.select("case", "id", "other")).distinct()
+    left = reps.select("case", "id", F.col("norm").alias("na"), F.col("kw").alias("ka"))
+    right = reps.select("case", F.col("id").alias("other"), F.col("norm").alias("nb"), F.col("kw").alias("kb"))
+    both = pairs.join(left, ["case", "id"]).join(right, ["case", "other"])
+    both = computed_once(both, {"common": F.size(F.array_intersect("ka", "kb"))})
+    score = F.col("common") / F.nullif(F.size("ka") + F.size("kb") - F.col("common"), F.lit(0))
+    exact = F.col("na") == F.col("nb")
+    scored = both.select("case", "id", "other", F.when(exact, 1.0).otherwise(F.coalesce(score, F.lit(0.0))).alias("score"), exact.alias("exact"))
+    return scored.filter(F.col("exact") | (F.col("score") >= threshold))
+
+
+def settled(texts: DataFrame, thresholds: tuple[float, ...] = SWEEP) -> DataFrame:
+    """Verdict per threshold and text in order of ``id``: 'exact', 'similar' or 'none' against the earlier accepted texts.
+
+    Columns: threshold, case_id, id, verdict, blocked_by, score; the blocking text is the exact one, else the most
+    similar, the earliest of equals.  One table of verified links at the lowest threshold serves all thresholds at once.
+    They are settled in rounds: a text whose earlier links are all settled and blocked is accepted, one with an
+    accepted earlier link is blocked.  Rounds end with the longest chain of links, not with the number of texts.
+    """
+    members, reps = _representatives(texts)
+    wanted = F.array(*[F.lit(float(t)) for t in thresholds])
+    found = materialized(links(reps, min(thresholds)))
+    meets = F.explode(F.filter(wanted, lambda t: F.col("exact") | (F.col("score") >= t))).alias("threshold")
+    key = ["threshold", "case", "id"]
+    open_links = found.select(meets, "case", "id", "other")
     blocked = None
-    while not open_blocks.isEmpty():
-        first = open_blocks.groupBy("case_id", "token").agg(F.min("id").alias("_first"))
-        accepted = (
-            open_blocks.join(first, ["case_id", "token"])
-            .groupBy("case_id", "id")
-            .agg(F.min("_first").alias("_first"))
-            .filter(F.col("_first") == F.col("id"))
-            .select("case_id", "id")
-            .checkpoint()
-        )
-        leaders = open_blocks.join(accepted, ["case_id", "id"], "left_semi").select("case_id", "token", F.col("id").alias("other"))
-        waiting = open_blocks.join(accepted, ["case_id", "id"], "left_anti")
-        pairs = waiting.join(leaders, ["case_id", "token"]).select("case_id", "id", "other").distinct()
-        stopped = _verified(pairs, reps, threshold).checkpoint()
-        blocked = stopped if blocked is None else blocked.unionByName(stopped).checkpoint()
-        open_blocks = waiting.join(stopped.select("case_id", "id").distinct(), ["case_id", "id"], "left_anti").checkpoint()
-    verdicts = (
-        blocked.groupBy("case_id", "id").agg(
-            F.max("exact").alias("_exact"),
-            F.max(F.struct(F.col("exact"), "score", (-F.col("other")).alias("_neg"))).alias("_best"),
+    while True:
+        open_links = materialized(open_links)
+        if open_links.isEmpty():
+            break
+        waiting = open_links.select(*key).distinct()
+        leaders = open_links.select("threshold", "case", "other").distinct().join(
+            waiting.withColumnRenamed("id", "other"), ["threshold", "case", "other"], "left_anti"
         )
-        if blocked is not None
-        else None
+        stopped = materialized(open_links.join(leaders, ["threshold", "case", "other"]).select(*key).distinct())
+        blocked = stopped if blocked is None else blocked.union(stopped)
+        rest = open_links.join(stopped, key, "left_anti")
+        open_links = rest.join(stopped.withColumnRenamed("id", "other"), ["threshold", "case", "other"], "left_anti")
+    every = members.select("*", F.explode(wanted).alias("threshold"))
+    if blocked is None:
+        blocked = every.select(*key).limit(0)
+    # links of a blocked representative to accepted ones, earlier and later: its twins may stand behind those too
+    either = found.select(meets, "case", F.col("id").alias("rep"), "other", "score", "exact").union(
+        found.select(meets, "case", F.col("other").alias("rep"), F.col("id").alias("other"), "score", "exact")
     )
-    # every text shares the fate of its representative, later twins of an accepted one are blocked by it
-    rows = computed_once(
-        texts.select("case_id", "id", "text"), {"norm": normalized_text(F.col("text")), "kw": keywords(F.col("text"))}
+    stopped = blocked.withColumnRenamed("id", "rep")
+    standing = either.join(blocked.withColumnRenamed("id", "other"), ["threshold", "case", "other"], "left_anti")
+    standing = standing.join(stopped, ["threshold", "case", "rep"], "left_semi")
+    best = (
+        every.join(standing, ["threshold", "case", "rep"]).filter("other < id").groupBy(*key)
+        .agg(F.max(F.struct("exact", "score", (-F.col("other")).alias("neg"))).alias("best"))
     )
-    sig = F.sha2(F.concat_ws("\u0000", "norm", F.array_join(F.array_sort("kw"), "\u0001")), 256)
-    members = rows.select("case_id", "id", "norm", sig.alias("_sig"))
-    rep_ids = reps.select("case_id", "_sig", F.col("id").alias("_rep"))
-    joined = members.join(rep_ids, ["case_id", "_sig"], "left")
-    if verdicts is None:
-        verdict_rows = joined.withColumn("_best", F.lit(None).cast("struct<exact:boolean,score:double,_neg:bigint>"))
-    else:
-        verdict_rows = joined.join(verdicts.select("case_id", F.col("id").alias("_rep"), "_best"), ["case_id", "_rep"], "left")
-    twin = F.col("_best").isNull() & F.col("_rep").isNotNull() & (F.col("id") != F.col("_rep"))
-    hit = F.col("_best").isNotNull()
-    return verdict_rows.select(
-        "case_id", "id",
-        F.when(twin | (hit & F.col("_best.exact")), "exact").when(hit, "similar").otherwise("none").alias("verdict"),
-        F.when(twin, F.col("_rep")).when(hit, -F.col("_best._neg")).alias("blocked_by"),
-        F.when(twin, 1.0).when(hit, F.col("_best.score")).alias("score"),
+    out = every.join(best, key, "left")
+    hit, twin = F.col("best").isNotNull(), F.col("best").isNull() & (F.col("id") != F.col("rep"))
+    return out.select(
+        "threshold", F.col("case.case_id").alias("case_id"), "id",
+        F.when(twin | (hit & F.col("best.exact")), "exact").when(hit, "similar").otherwise("none").alias("verdict"),
+        F.when(hit, -F.col("best.neg")).when(twin, F.col("rep")).alias("blocked_by"),
+        F.when(hit, F.col("best.score")).when(twin, 1.0).alias("score"),
     )
 
 
+def replay(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(case_id, id, verdict, blocked_by, score): :func:`settled` at one threshold."""
+    return settled(texts, (threshold,)).drop("threshold")
+
+
 def threshold_sweep(texts: DataFrame, thresholds: tuple[float, ...] = SWEEP) -> DataFrame:
     """How many texts each threshold would block: (threshold, total, exact, similar)."""
-    out = None
-    for t in thresholds:
-        one = replay(texts, t).agg(
-            F.lit(t).alias("threshold"), F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("verdict") == "exact").alias("exact"), F.count_if(F.col("verdict") == "similar").alias("similar"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return settled(texts, thresholds).groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "exact").alias("exact"),
+        F.count_if(F.col("verdict") == "similar").alias("similar"),
+    )

@@ -13,6 +13,7 @@ from quernlog.plans.adapters import WINDOWS, duck_cte, source_table, table, web_
 from quernlog.plans.pipeline import DOMAINS, scan_case
 from quernlog.plans.registry import query
 from quernlog.plans.q_detect import WIN_CTE
+from quernlog.plans.q_review import DEDUP_SQL
 
 _RULE_IDS = " UNION ALL ".join(f"SELECT '{r['id']}' AS rule_id, '{r['title'].replace(chr(39), chr(39) * 2)}' AS title" for r in ALL_RULES)
 
@@ -110,7 +111,11 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("source_id", "line_no", "path", base_name(F.col("path")).alias("base"), extension(F.col("path")).alias("ext"))
 
 
-@query("dedup_threshold_sweep")
+@query(
+    "dedup_threshold_sweep",
+    DEDUP_SQL % "0.85, 0.7, 0.6, 0.5"
+    + "SELECT threshold, count(*) AS total, count_if(verdict = 'exact')::BIGINT AS exact, count_if(verdict = 'similar')::BIGINT AS similar FROM v GROUP BY threshold",
+)
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("lang").alias("case_id"), F.col("doc_id").alias("id"), "text")
     return dedup.threshold_sweep(docs)

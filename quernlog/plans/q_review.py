@@ -489,7 +489,35 @@ def keyword_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("id", F.size(kw).alias("keyword_count"), F.md5(F.array_join(F.array_sort(kw), ",")).alias("digest"))
 
 
-@query("dedup_replay")
+#: Texts are taken one by one in their order; ``acc`` holds the places of those accepted so far, per threshold.
+DEDUP_SQL = """WITH RECURSIVE k AS (
+  SELECT lang AS case_id, doc_id AS id, regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]', '', 'g') AS norm,
+    list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS kw, row_number() OVER (ORDER BY lang, doc_id) AS pos FROM documents),
+p AS (
+  SELECT a.pos, b.pos AS other, a.norm = b.norm AS exact, len(list_intersect(a.kw, b.kw)) AS c, len(a.kw) + len(b.kw) AS s
+  FROM k a JOIN k b ON a.case_id IS NOT DISTINCT FROM b.case_id AND b.pos < a.pos
+  WHERE a.norm <> '' AND b.norm <> '' AND (a.norm = b.norm OR 2 * least(len(a.kw), len(b.kw)) >= greatest(len(a.kw), len(b.kw)))),
+l AS (SELECT pos, other, exact, CASE WHEN exact THEN 1.0::DOUBLE WHEN s > c THEN c / (s - c) ELSE 0.0 END AS score FROM p),
+t AS (SELECT unnest([%s]::DOUBLE[]) AS threshold),
+n AS (
+  SELECT threshold, k.pos, list(other) FILTER (WHERE exact OR score >= threshold) AS others
+  FROM t CROSS JOIN k LEFT JOIN l USING (pos) GROUP BY threshold, k.pos),
+r(threshold, pos, acc) AS (
+  SELECT threshold, 0::BIGINT, []::BIGINT[] FROM t
+  UNION ALL SELECT r.threshold, n.pos, CASE WHEN list_has_any(acc, coalesce(n.others, [])) THEN acc ELSE list_append(acc, n.pos) END
+  FROM r JOIN n ON n.threshold = r.threshold AND n.pos = r.pos + 1),
+a AS (SELECT threshold, unnest(acc) AS other FROM r WHERE pos = (SELECT max(pos) FROM k)),
+h AS (
+  SELECT a.threshold, l.pos, max(exact) AS exact, max(score) AS score, arg_min(other, (NOT exact, -score, other)) AS other
+  FROM l JOIN a USING (other) WHERE exact OR score >= a.threshold GROUP BY a.threshold, l.pos),
+v AS (
+  SELECT t.threshold, k.case_id, k.id, CASE WHEN h.exact THEN 'exact' WHEN h.pos IS NOT NULL THEN 'similar' ELSE 'none' END AS verdict,
+    b.id AS blocked_by, h.score
+  FROM t CROSS JOIN k LEFT JOIN h ON h.threshold = t.threshold AND h.pos = k.pos LEFT JOIN k b ON b.pos = h.other)
+"""
+
+
+@query("dedup_replay", DEDUP_SQL % "0.85" + "SELECT case_id, id, verdict, blocked_by, score FROM v")
 def replay(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.replay(_texts(spark, sf))
 

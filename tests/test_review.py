@@ -105,19 +105,22 @@ def plain_keywords(text):
 
 
 def plain_replay(texts, t):
+    """(verdict, blocked_by, score) by id, one text after the other."""
     accepted, out = [], {}
     for i, text in texts:
         norm = "".join(ch for ch in text.lower() if ch.isalnum())
         kw = plain_keywords(text)
-        verdict = "none"
-        if norm:
-            if any(n == norm for n, _ in accepted):
-                verdict = "exact"
-            elif kw and any(k and len(kw & k) / len(kw | k) >= t for _, k in accepted):
-                verdict = "similar"
-        out[i] = verdict
-        if verdict == "none":
-            accepted.append((norm, kw))
+        same = [k for k, n, _ in accepted if norm and n == norm]
+        scores = [(-len(kw & w) / len(kw | w), k) for k, n, w in accepted if norm and kw | w]
+        best = min(scores, default=(0.0, None))
+        if same:
+            out[i] = ("exact", same[0], 1.0)
+        elif best[0] <= -t:
+            out[i] = ("similar", best[1], -best[0])
+        else:
+            out[i] = ("none", None, None)
+            if norm:
+                accepted.append((i, norm, kw))
     return out
 
 
@@ -125,7 +128,7 @@ def test_duplicate_replay_matches_sequential_rule(spark):
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(40)] + ["计划任务", "检查可疑", "排查持久化"]
     texts, base = [], []
-    for i in range(150):
+    for i in range(250):
         if base and rng.random() < 0.6:
             words = list(rng.choice(base))
             for _ in range(rng.choice([0, 0, 1, 2])):
@@ -134,12 +137,22 @@ def test_duplicate_replay_matches_sequential_rule(spark):
             words = [rng.choice(vocabulary) for _ in range(rng.randint(2, 14))]
         base.append(words)
         texts.append((i, rng.choice([" ", "  ", ", "]).join(words)))
-    texts += [(150, ""), (151, "!!"), (152, "!!"), (153, "ab c"), (154, "a bc")]
-    df = spark.createDataFrame([("c", i, t) for i, t in texts], "case_id string, id bigint, text string")
-    for t in (0.85, 0.5):
-        got = {r.id: r.verdict for r in dedup.replay(df, t).collect()}
-        assert got == plain_replay(texts, t)
-    assert len(dedup.threshold_sweep(df, (0.85, 0.5)).collect()) == 2
+    texts += [(250, ""), (251, "!!"), (252, "!!"), (253, "ab c"), (254, "a bc"), (255, "ab c"), (256, "a bc")]
+    df = spark.createDataFrame([(None, i, t) for i, t in texts] + [("d", i, t) for i, t in texts[::3]], "case_id string, id bigint, text string")
+    thresholds = (0.85, 0.7, 0.5)
+    got = {(r.threshold, r.case_id, r.id): (r.verdict, r.blocked_by, r.score) for r in dedup.settled(df, thresholds).collect()}
+    want = {(t, c, i): v for t in thresholds for c, rows in ((None, texts), ("d", texts[::3])) for i, v in plain_replay(rows, t).items()}
+    assert got == want
+    sums = {r.threshold: (r.total, r.exact, r.similar) for r in dedup.threshold_sweep(df, thresholds).collect()}
+    for t in thresholds:
+        kinds = [v[0] for k, v in want.items() if k[0] == t]
+        assert sums[t] == (len(kinds), kinds.count("exact"), kinds.count("similar"))
+
+
+def test_duplicate_replay_without_links(spark):
+    df = spark.createDataFrame([("c", 1, "one two"), ("c", 2, "three four"), ("c", 3, None)], "case_id string, id bigint, text string")
+    assert [r.verdict for r in dedup.replay(df).collect()] == ["none"] * 3
+    assert dedup.replay(df.limit(0)).collect() == []
 
 
 def test_paths_survive_loops_and_missing_parents(spark):
