@@ -77,6 +77,23 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.apply_policy(rows, "strict-1")
 
 
+_ABLATION_SQL = _RULE_SQL.replace("select *, fail_bits & 3 <> 0 base_failed, fail_bits = 0 kept from b\n", "") + """
+, r as (
+  select unnest(['few_words', 'repeated_words', 'symbols', 'exclamations', 'capitals', 'word_length', 'duplicate_lines']) rule,
+    unnest([1, 2, 4, 8, 16, 32, 64]) bit
+)
+select rule, count_if(fail_bits & bit <> 0)::bigint n_failed, count_if(fail_bits = bit)::bigint n_only_this,
+  count_if(fail_bits & ~bit = 0)::bigint n_kept_without
+from b, r group by rule
+"""
+
+
+@query("rule_ledger_ablation", _ABLATION_SQL)
+def rule_ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy changes, from the bits of the whole ledger."""
+    return rule_ledger.ablation(rule_ledger.ledger(documents(spark, sf_dir)), "strict-1")
+
+
 @query("op1_language_id")
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")

@@ -16,7 +16,8 @@ from quernlog.llm.native import indices, text_of, words
 #: Characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
 #: Low bits of a packed window that hold its place; Spark's own row size ends before 2**28 words.
-_PLACES, _HASHES = 1 << 28, 1 << 35
+_PLACE_BITS = 28
+_PLACES, _HASHES = 1 << _PLACE_BITS, 1 << 35
 
 
 @dataclass(frozen=True)
@@ -54,16 +55,26 @@ def with_measures(docs: DataFrame) -> DataFrame:
     """``docs`` without its text, with the measurements as columns.
 
     Null text counts as empty: every count is 0.  Texts of any length are measured whole.  Windows of three words are
-    sorted by a hash with their place in the low bits, so equal windows are neighbours; neighbours are then compared
-    word by word.  A row's work stays in that row.
+    sorted by a hash with their place in the low bits and neighbours compared word by word; where different windows share
+    a hash, all windows of that hash are compared, so counts are exact.  A row's work stays in that row.
     """
     text = F.col("_text")
     w, order, size = F.col("_words"), F.col("_order"), F.size("_order")
 
     def same(a: Column, b: Column) -> Column:
-        """``a`` before ``b`` in hash order: the subtraction settles nearly every pair, the words the rest."""
+        """The hash settles nearly every pair, the words the rest."""
         i, j = F.pmod(a, F.lit(_PLACES)).cast("int"), F.pmod(b, F.lit(_PLACES)).cast("int")
-        return (b - a < _PLACES) & (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
+        return one_hash(a, b) & (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
+
+    def one_hash(a: Column, b: Column) -> Column:
+        return F.shiftright(a, _PLACE_BITS) == F.shiftright(b, _PLACE_BITS)
+
+    def repeated(v: Column, i: Column) -> Column:
+        before, after = order[i - 1], order[i + 1]
+        beside = ((i > 0) & same(before, v)) | ((i < size - 1) & same(v, after))
+        # a neighbour of the same hash that isn't equal: an equal window may stand behind it
+        hidden = ((i > 0) & one_hash(before, v)) | ((i < size - 1) & one_hash(v, after))
+        return beside | (hidden & F.exists(order, lambda u: (u != v) & same(u, v)))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     first = docs.withColumn("_text", text_of()).drop("text")
@@ -101,9 +112,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
             "_places",
             F.sort_array(
                 F.transform(
-                    F.filter(
-                        order, lambda v, i: ((i > 0) & same(order[i - 1], v)) | ((i < size - 1) & same(v, order[i + 1]))
-                    ),
+                    F.filter(order, repeated),
                     lambda v: F.pmod(v, F.lit(_PLACES)),
                 )
             ),

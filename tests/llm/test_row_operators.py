@@ -39,6 +39,18 @@ def test_ledger_on_odd_rows(table, odd_rows):
     assert {r.fail_bits for r in rows if r.n_words == 0} == {1}
 
 
+@pytest.mark.parametrize("hashes", [1, 3, 1 << 35])
+def test_repeated_words_are_exact_where_hashes_collide(table, monkeypatch, hashes):
+    monkeypatch.setattr(rule_ledger, "_HASHES", hashes)
+    r = random.Random(hashes)
+    texts = ["A p q B r s A", "A p q B r s A p q", *(" ".join(r.choice("abcd") for _ in range(r.randint(0, 40))) for _ in range(60))]
+    got = {x.doc_id: x.n_repeat_words for x in rule_ledger.ledger(table([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        assert got[i] == len({p for k, g in enumerate(grams) if grams.count(g) > 1 for p in (k, k + 1, k + 2)}), t
+
+
 def test_ledger_of_nothing_and_unknown_policy(table):
     rows = rule_ledger.apply_policy(rule_ledger.ledger(table([])), "strict-1")
     assert rows.count() == 0 and rule_ledger.ablation(rows, "strict-1").count() == 0
