@@ -33,4 +33,5 @@ def load() -> None:
         q_rules,
         q_search,
         q_sources,
+        q_streaming,
     )
