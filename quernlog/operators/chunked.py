@@ -116,48 +116,42 @@ def follow(edges: DataFrame, group: list[str], start: int = 0) -> DataFrame:
     return edges.join(reached, [*group, "src"], "left_semi")
 
 
+#: A range with at most so many values, or one only, is counted value by value; larger ones are cut into so many bins.
+SETTLED, BINS = 65_536, 4096
+
+
 def exact_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """Exact median and count per group: (group, n, median), the middle two averaged when n is even.
 
-    Two counting passes: values are first counted in about 0.07 % wide magnitude steps, then only the
-    one or two steps that hold the middle ranks are counted value by value.  Group size does not matter
-    to any task; only the number of magnitude steps does, and that is fixed by the number range.
+    The range that holds a middle rank is narrowed by counting: first by magnitude, in steps of about 1 %, then, on the rows
+    of that step alone, into ``BINS`` bins of equal width until at most ``SETTLED`` values or a single one is
+    left.  No task sees more than the bins of a group or those last values, whatever the group's size and values.
     """
-    v = F.col(value)
-    step = (
-        F.when(v > 0, F.floor(F.log2(v) * 1024))
-        .when(v < 0, -F.floor(F.log2(-v) * 1024) - 10_000_000)
-        .otherwise(-5_000_000)
-        .cast("bigint")
-    )
-    stepped = rows.select(*group, v.alias("_v"), step.alias("_step"))
-    coarse = stepped.groupBy(*group, "_step").agg(F.count(F.lit(1)).alias("_c"))
-    by_step = Window.partitionBy(*group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    placed = coarse.withColumns(
-        {"_before": F.coalesce(F.sum("_c").over(by_step), F.lit(0)), "n": F.sum("_c").over(whole)}
-    ).withColumns({"_lo": F.floor((F.col("n") + 1) / 2), "_hi": F.floor((F.col("n") + 2) / 2)})
-
-    def holds(rank: str) -> Column:
-        return (F.col("_before") < F.col(rank)) & (F.col(rank) <= F.col("_before") + F.col("_c"))
-
-    picked = placed.filter(holds("_lo") | holds("_hi")).select(*group, "_step", "_before", "n", "_lo", "_hi")
-    fine = (
-        stepped.join(picked, [*group, "_step"])
-        .groupBy(*group, "_step", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_before", "n", "_lo", "_hi")])
-    )
-    by_value = (
-        Window.partitionBy(*group, "_step").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    fine = fine.withColumn(
-        "_before", F.col("_before") + F.coalesce(F.sum("_c").over(by_value), F.lit(0))
-    )
-    return fine.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        (
-            (
-                F.max(F.when(holds("_lo"), F.col("_v"))) + F.max(F.when(holds("_hi"), F.col("_v")))
-            ) / 2
-        ).alias("median"),
-    )
+    v = F.col("_v")
+    step = F.when(v > 0, F.floor(F.log2(v) * 64)).when(v < 0, -F.floor(F.log2(-v) * 64) - 1_000_000).otherwise(-500_000)
+    stepped = rows.select(*group, F.col(value).cast("double").alias("_v")).filter("_v is not null").withColumn("_bin", step.cast("bigint"))
+    by_bin = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stepped.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumns(
+        {"_before": F.coalesce(F.sum("_c").over(by_bin), F.lit(0)), "n": F.sum("_c").over(Window.partitionBy(*group))}
+    )
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
+    holds = (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_c"))
+    picked = counts.withColumn("_rank", F.explode(ranks)).filter(holds).drop("_c")
+    target = [*group, "_rank"]
+    inside = materialized(stepped.join(picked, [*group, "_bin"]).drop("_bin"))
+    while True:
+        span = materialized(inside.groupBy(*target).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_k")))
+        wide = (F.col("_k") > SETTLED) & (F.col("_low") < F.col("_high"))
+        if span.filter(wide).isEmpty():
+            break
+        part = F.least(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS), F.lit(BINS - 1))
+        binned = inside.join(span, target).withColumn("_bin", F.when(wide, part).otherwise(0).cast("bigint"))
+        along = Window.partitionBy(*target).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = binned.groupBy(*target, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"))
+        counts = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_c").over(along), F.lit(0)))
+        picked = counts.filter(holds).select(*target, "_bin", "_before")
+        inside = materialized(binned.drop("_before", "_low", "_high", "_k").join(picked, [*target, "_bin"]).drop("_bin"))
+    by_value = Window.partitionBy(*target).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = inside.groupBy(*target, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("n").alias("n"))
+    values = values.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_c").over(by_value), F.lit(0))).filter(holds)
+    return values.groupBy(*group).agg(F.max("n").alias("n"), F.avg("_v").alias("median"))

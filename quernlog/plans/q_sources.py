@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlog.data.descriptors import LINUX_DPKG, PSHISTORY, RAW_TEXT, TOMCAT_CATALINA
 from quernlog.operators.search import line_range
 from quernlog.sources import access_log, descriptors, file_lists, linux_logs, packages, snapshots
-from quernlog.sources.lines import decode_bytes, sniff_text, split_lines
+from quernlog.sources.lines import decode_bytes, read_lines, sniff_text, split_lines, store_lines, stored_range
 from quernlog.sources.records import canonical_records, to_events
 from quernlog.plans.adapters import K_DUCK, K_SPARK, table
 from quernlog.plans.registry import query
+from quernlog.session import ensure_checkpoint_dir
 
 
 def _lines(spark: SparkSession, sf: str, raw: str, name: str = "events", key: str = "event_id", source: str = "user_id % 3") -> DataFrame:
@@ -53,6 +56,24 @@ def read_back(spark: SparkSession, sf: str) -> DataFrame:
     return line_range(rows, None, 2, 5).select("source_id", "line_no", "raw")
 
 
+@query(
+    "lines_stored_range",
+    """WITH n AS (SELECT coalesce(source, 'none') AS source, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS line_no,
+  regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS raw FROM documents)
+SELECT source, line_no, md5(raw) AS digest FROM n WHERE line_no BETWEEN 3 AND 40""",
+)
+def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One text file per source, numbered once, stored with its index, and a range of lines read back."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/lines-{uuid.uuid4().hex}"
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ").alias("value")
+    docs = table(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", line)
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(f"{place}/files")
+    store_lines(read_lines(spark, f"{place}/files"), place)
+    found = stored_range(spark, place, None, 3, 40)
+    return found.select(F.regexp_extract("source_id", "source=([^/]*)/", 1).alias("source"), "line_no", F.md5("raw").alias("digest"))
+
+
 @query("lines_decoded", "SELECT doc_id, md5(text) AS digest FROM documents")
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
@@ -181,12 +202,6 @@ def _history(spark: SparkSession, sf: str, text: Column) -> DataFrame:
     return recs.select("line_no", F.md5(F.get_json_object(F.to_json("norm"), "$.cmdline")).alias("digest"))
 
 
-# its SQL compares the first 60 characters; parse_command_history_whole has the whole text
-@query("parse_command_history", "SELECT doc_id AS line_no, md5(trim(replace(replace(replace(left(text, 60), chr(10), ' '), chr(13), ' '), chr(9), ' '))) AS digest FROM documents WHERE trim(left(text, 60)) <> ''")
-def history(spark: SparkSession, sf: str) -> DataFrame:
-    return _history(spark, sf, F.left("text", F.lit(60)))
-
-
 @query("parse_command_history_whole", "SELECT doc_id AS line_no, md5(trim(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' '))) AS digest FROM documents WHERE trim(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' ')) <> ''")
 def whole_history(spark: SparkSession, sf: str) -> DataFrame:
     return _history(spark, sf, F.col("text"))

@@ -49,6 +49,38 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "utf
     )
 
 
+def store_lines(lines: DataFrame, place: str, rows_per_file: int = 1_000_000) -> None:
+    """Keep numbered lines (source_id, line_no, raw) for reading ranges: ordered files and a sparse index of them.
+
+    Lines are numbered and counted once, when they are stored.  Files hold consecutive lines, many sources or a part of
+    one, as no source is kept together on purpose; the index has one row per file and source with the range of lines.
+    """
+    ordered = lines.repartitionByRange("source_id", "line_no").sortWithinPartitions("source_id", "line_no")
+    ordered.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{place}/lines")
+    spark = lines.sparkSession
+    stored = spark.read.schema(lines.schema).parquet(f"{place}/lines")
+    index = stored.groupBy(F.col("_metadata.file_path").alias("file"), "source_id").agg(
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
+    )
+    index.write.parquet(f"{place}/index")
+
+
+def stored_range(spark: SparkSession, place: str, source_id: str | None, first: int, last: int) -> DataFrame:
+    """Lines ``first`` to ``last`` of a stored source (or of each), from the files the index names; none where it names none.
+
+    Within a file the range is pushed to the scan, so its other row groups are skipped.
+    """
+    wanted = spark.read.parquet(f"{place}/index").filter((F.col("last_line") >= first) & (F.col("first_line") <= last))
+    if source_id is not None:
+        wanted = wanted.filter(F.col("source_id") == source_id)
+    rows = spark.read.parquet(f"{place}/lines").filter(F.col("line_no").between(first, last))
+    if source_id is None:
+        return rows
+    # the files of one source that meet the range
+    files = [r["file"] for r in wanted.select("file").distinct().collect()]
+    return rows.filter(F.col("source_id") == source_id).filter(F.col("_metadata.file_path").isin(files)) if files else rows.limit(0)
+
+
 def sniff_text(content: Column) -> Column:
     """Whether bytes look like text: a BOM, or no NUL and at most 1 % control bytes in the first 8 KB."""
     head = F.substring(content, 1, 8192)
