@@ -116,6 +116,24 @@ def follow(edges: DataFrame, group: list[str], start: int = 0) -> DataFrame:
     return edges.join(reached, [*group, "src"], "left_semi")
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place in the order of their group, from 1; ties must be settled by ``order``.
+
+    Rows are sorted over ranges, numbered within each, and raised by the counts of the ranges before, so a group of any
+    size is spread over many tasks.
+    """
+    spread = rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    spread = materialized(spread)
+    counts = spread.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_k"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_range", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
+    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in [*group, "_range"]]
+    numbered = spread.withColumn(name, F.row_number().over(inside)).alias("l")
+    joined = numbered.join(offsets.alias("r"), same)
+    return joined.select("l.*", "_offset").withColumn(name, (F.col(name) + F.col("_offset")).cast("int")).drop("_offset", "_range")
+
+
 #: A range with at most so many values, or one only, is counted value by value; larger ones are cut into so many bins.
 SETTLED, BINS = 65_536, 4096
 

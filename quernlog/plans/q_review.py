@@ -6,9 +6,10 @@ fact nodes of an investigation, parts for a directory tree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernlog.functions.times import rfc3339_nano
 from quernlog.operators import audit, dedup, files, graph, report, review
 from quernlog.plans.adapters import duck_cte, table
 from quernlog.plans.registry import query
@@ -432,6 +433,54 @@ def chain_links(spark: SparkSession, sf: str) -> DataFrame:
     return audit.chain_breaks(rows, chunk=1000)
 
 
+def _sealed_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Real chains, one per user: every entry's hash goes into the next.  Some are tampered with afterwards."""
+    place = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("case_id"), (F.row_number().over(place) - 1).cast("bigint").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.lit("a").alias("actor"), F.col("event_type").alias("action"), F.lit("").alias("scope"),
+        F.col("props").alias("detail_json"),
+    )
+    fields = ["case_id", "seq", "ts", "actor", "action", "scope", "detail_json"]
+
+    def seal(done: Column, entry: Column) -> Column:
+        before = F.coalesce(F.get(done, F.size(done) - 1)["entry_hash"], F.lit("GENESIS"))
+        digest = F.sha2(
+            F.concat_ws(
+                "\u0000", entry["seq"].cast("string"), entry["case_id"], rfc3339_nano(entry["ts"]), entry["actor"], entry["action"],
+                entry["scope"], entry["detail_json"], before,
+            ),
+            256,
+        )
+        return F.concat(done, F.array(F.struct(*[entry[f].alias(f) for f in fields], before.alias("prev_hash"), digest.alias("entry_hash"))))
+
+    layout = "array<struct<case_id:string,seq:bigint,ts:timestamp,actor:string,action:string,scope:string,detail_json:string,prev_hash:string,entry_hash:string>>"
+    chains = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", *[f for f in fields if f != "seq"]))).alias("e"))
+    return chains.select(F.inline(F.aggregate("e", F.array().cast(layout), seal)))
+
+
+# a third of the chains has an entry changed, another third a link cut, where they are long enough
+@query(
+    "audit_chains_verified",
+    """WITH n AS (SELECT 'c' || CAST(user_id AS VARCHAR) AS case_id, user_id % 3 AS kind, count(*) AS entries FROM events GROUP BY user_id)
+SELECT case_id, CAST(entries AS BIGINT) AS entries, CASE WHEN entries > 4 AND kind = 1 THEN 4 WHEN entries > 3 AND kind = 2 THEN 3 END::BIGINT AS first_break,
+ CASE WHEN entries > 4 AND kind = 1 THEN 'content' WHEN entries > 3 AND kind = 2 THEN 'link' END AS problem,
+ NOT ((entries > 4 AND kind = 1) OR (entries > 3 AND kind = 2)) AS intact FROM n""",
+)
+def chains_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of each chain's first six entries and of those appended later, verified together."""
+    kind = F.substring("case_id", 2, 99).cast("bigint") % 3
+    rows = _sealed_chains(spark, sf).withColumns(
+        {
+            "action": F.when((kind == 1) & (F.col("seq") == 4), "forged").otherwise(F.col("action")),
+            "prev_hash": F.when((kind == 2) & (F.col("seq") == 3), "cut").otherwise(F.col("prev_hash")),
+        }
+    )
+    stored = audit.segment_digests(rows.filter("seq < 6"), size=4)
+    appended = audit.segment_digests(rows.filter("seq >= 6"), size=4)
+    return audit.verify_segments(stored.unionByName(appended))
+
+
 # entries whose hash leaves the previous one out can be valid without a running chain of digests
 _SEALED = """s AS (SELECT event_id AS seq, ts, 'u' || CAST(user_id AS VARCHAR) AS actor, event_type, props,
   'GENESIS' AS prev_hash FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernlog.functions.fields import computed_once
 from quernlog.functions.times import filetime
+from quernlog.operators.chunked import ranked
 from quernlog.sources.descriptors import cells
 from quernlog.sources.records import is_blank, record
 
@@ -86,9 +87,11 @@ def usn_summary(records: DataFrame) -> DataFrame:
 def top_values(rows: DataFrame, group: list[str], key: str, top: int | None) -> DataFrame:
     """The most frequent keys per group with their rank, ties by key; all of them without ``top``."""
     counted = rows.groupBy(*group, key).agg(F.count(F.lit(1)).alias("count"))
-    ranked = Window.partitionBy(*group).orderBy(F.col("count").desc(), key)
-    counted = counted.withColumn("rank", F.row_number().over(ranked))
-    return counted if top is None else counted.filter(F.col("rank") <= top)
+    order = [F.col("count").desc(), F.col(key)]
+    if top is None:
+        return ranked(counted, group, order)
+    # only the first rows of each task's part of a group reach the window
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= top)
 
 
 def usn_reason_histogram(records: DataFrame, top: int | None = None) -> DataFrame:
