@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlog.plans.adapters import web_events
+from quernlog.plans.adapters import WEB, duck_cte, web_events
 from quernlog.plans.q_detect import _BF_SQL
 from quernlog.plans.q_rules import _WEB_HITS
 from quernlog.plans.registry import query
 from quernlog.session import ensure_checkpoint_dir
+from quernlog.sources.event_store import EventStore
 from quernlog.streaming import incremental
 
 SLICES = 4
@@ -68,3 +69,22 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     slices[1].write.mode("append").parquet(f"{place}/events")
     run()
     return spark.read.parquet(f"{place}/hits").select("source_id", "line_no", "rule_id", "severity", "matched_field", "matched_value")
+
+
+@query(
+    "events_source_renewed",
+    f"""WITH {duck_cte(WEB)}, e AS (SELECT source_id, line_no, kind, f_status FROM ev WHERE source_id <> 's1' OR line_no % 3 <> 0)
+SELECT source_id, count(*) AS events, CAST(sum(line_no) AS BIGINT) AS lines, count(CASE WHEN f_status = '401' THEN 1 END) AS refused,
+ min(line_no) AS first_line, max(line_no) AS last_line FROM e GROUP BY source_id""",
+)
+def source_renewed(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored in two appends, then one source renewed by two thirds of its lines: all other sources stay whole."""
+    events = web_events(spark, sf)
+    store = EventStore(spark, f"{_folder(spark)}/events")
+    store.append(events.filter("line_no % 2 = 0"))
+    store.append(events.filter("line_no % 2 = 1"))
+    store.replace_sources(events.filter("source_id = 's1' AND line_no % 3 <> 0"))
+    return store.read().groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("line_no").alias("lines"), F.count_if(F.col("f_status") == "401").alias("refused"),
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
+    )

@@ -4,7 +4,10 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from quernlog.sources.event_store import EventStore
 from quernlog.streaming import incremental
 from quernlog.streaming.incremental import NO_TIME, ChainStep
 
@@ -117,3 +120,34 @@ def test_store_reads_touched_buckets_only(spark, events, tmp_path):
     assert spark.read.parquet(hits).count() == 5 and spark.read.parquet(ents).count() == 4
     step(events([]), 10)
     assert spark.read.parquet(hits).count() == 5
+
+
+def test_readers_never_meet_half_of_a_change(spark, events, tmp_path, monkeypatch):
+    store = EventStore(spark, str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    rows = events([(f"s{k}", line, None, {"n": line}) for k in range(6) for line in range(1, 11)]).withColumn("case_id", F.lit("7"))
+    store.append(rows.filter("line_no <= 5"))
+    store.append(rows.filter("line_no > 5"))
+    kept = ["case_id", "source_id", "line_no", "fields"]
+
+    def content():
+        return sorted(map(tuple, store.read().select(*kept).collect()))
+
+    before = content()
+    assert before == sorted(map(tuple, rows.select(*kept).collect()))
+    fresh = rows.filter("source_id = 's2' AND line_no = 3").withColumn("fields", F.lit("{}"))
+    want = sorted([x for x in before if x[1] != "s2"] + [("7", "s2", 3, "{}")])
+
+    def fails(*_):
+        raise RuntimeError("lost before the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(EventStore, "_commit", fails)
+        with pytest.raises(RuntimeError):
+            store.replace_sources(fresh)
+    assert content() == before
+    store.replace_sources(fresh)
+    assert content() == want
+    store.append(rows.filter("source_id = 's0' AND line_no = 1").withColumn("line_no", F.lit(11).cast("bigint")))
+    assert len(content()) == len(want) + 1
