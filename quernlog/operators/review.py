@@ -114,9 +114,13 @@ def rule_statistics(hits: DataFrame, rules: DataFrame, since: Column | str) -> D
 
 def list_hits(
     hits: DataFrame, *, status: str | None = None, round_no: int | None = None, source_ids: tuple[str, ...] = (),
-    limit: int = 100, offset: int = 0,
+    limit: int | None = 100, offset: int = 0, after: tuple | None = None,
 ) -> DataFrame:
-    """One page of candidates in creation order."""
+    """One page of candidates in creation order, all of them without a limit.
+
+    ``after`` is the (created_at, source_id, line_no, rule_id) of the last candidate seen; going on from there is a
+    filter, while ``offset`` passes over all rows before.
+    """
     rows = hits
     if status:
         rows = rows.filter(F.col("status") == status)
@@ -124,7 +128,12 @@ def list_hits(
         rows = rows.filter(F.col("round_no") == round_no)
     if source_ids:
         rows = rows.filter(F.col("source_id").isin(*source_ids))
-    return rows.orderBy("created_at", "source_id", "line_no", "rule_id").offset(offset).limit(limit)
+    order = ("created_at", "source_id", "line_no", "rule_id")
+    if after is not None:
+        rows = rows.filter(F.struct(*order) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after)]))
+    rows = rows.orderBy(*order)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def rule_seeds(summary: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ fact nodes of an investigation, parts for a directory tree.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +168,16 @@ def hit_page(spark: SparkSession, sf: str) -> DataFrame:
     return review.list_hits(hits(spark, sf), status="pending", round_no=1, limit=100, offset=40).select("hit_id", "rule_id", "source_id")
 
 
+@query(
+    "review_hits_after",
+    f"""WITH {H} SELECT hit_id, rule_id, source_id FROM h WHERE status = 'pending' AND
+ (created_at > TIMESTAMP '1995-06-17' OR (created_at = TIMESTAMP '1995-06-17' AND (source_id > 's3' OR (source_id = 's3' AND line_no > 100))))""",
+)
+def hits_after(spark: SparkSession, sf: str) -> DataFrame:
+    after = (datetime(1995, 6, 17, tzinfo=UTC), "s3", 100, "~")
+    return review.list_hits(hits(spark, sf), status="pending", limit=None, after=after).select("hit_id", "rule_id", "source_id")
+
+
 @query(
     "review_severity_order",
     f"WITH {H} SELECT hit_id, severity FROM h WHERE status = 'accepted' ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'info' THEN 3 ELSE 4 END, created_at, hit_id",

@@ -14,7 +14,6 @@ from quernlog.session import materialized
 from quernlog.sources.records import groups, is_blank, record
 
 MAP = "map<string,variant>"
-MAX_CONTINUATION, MAX_BLOCK = 2000, 1_000_000
 
 
 def _named_groups(pattern: str) -> tuple[str, dict[str, int], int]:
@@ -162,12 +161,11 @@ def parse_lines(lines: DataFrame, desc: dict) -> DataFrame:
 def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
     """Continuation lines joined to the line that opens their block; blank lines stay on their own.
 
-    A block holds at most ``max_continuation_lines`` further lines and ``max_block_bytes`` characters; the
-    line that would exceed either opens an orphan block.  Counters are chunked and each gathered text is
-    bounded by the caps, so one huge source or one endless block is shared out over many tasks.
+    A block is whole unless the descriptor names caps: then it holds at most ``max_continuation_lines`` further
+    lines and ``max_block_bytes`` characters, and the line that would exceed either opens an orphan block.  Counters are
+    chunked, so one huge source is shared out over many tasks; only the text of a single block is put together in one.
     """
-    max_cont = desc.get("max_continuation_lines", MAX_CONTINUATION)
-    max_chars = desc.get("max_block_bytes", MAX_BLOCK)
+    max_cont, max_chars = desc.get("max_continuation_lines"), desc.get("max_block_bytes")
     start, _, _ = _named_groups(desc["start_regex"])
     start = start if start.startswith("^") else "^(?:" + start + ")"
     blank_lines = lines.filter(is_blank(F.col("raw"))).select("source_id", "line_no", "raw")
@@ -189,15 +187,17 @@ def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
     placed = counted.join(islands, ["source_id", "_island"]).withColumns(
         {"_i": F.col("_row") - F.col("_row0"), "_upto": F.col("_chars") - F.col("_chars0")}
     )
-    by_count = placed.withColumn("_part", F.floor(F.col("_i") / (max_cont + 1)))
-    sizes = by_count.groupBy("source_id", "_island", "_part").agg(
-        F.sum("_len").alias("_size"), F.count(F.lit(1)).alias("_n")
-    )
-    # an island is cut by line count alone unless some count-sized piece is too long
-    long_islands = sizes.filter((F.col("_size") > max_chars) & (F.col("_n") > 1)).select("source_id", "_island").distinct()
-    plain = by_count.join(long_islands, ["source_id", "_island"], "left_anti")
-    pieces = plain.select("source_id", "line_no", "_island", "_part")
-    if not long_islands.isEmpty():
+    by_count = placed.withColumn("_part", (F.lit(0) if max_cont is None else F.floor(F.col("_i") / (max_cont + 1))).cast("bigint"))
+    pieces = by_count.select("source_id", "line_no", "_island", "_part")
+    long_islands = None
+    if max_chars is not None:
+        sizes = by_count.groupBy("source_id", "_island", "_part").agg(
+            F.sum("_len").alias("_size"), F.count(F.lit(1)).alias("_n")
+        )
+        # an island is cut by line count alone unless some count-sized piece is too long
+        long_islands = sizes.filter((F.col("_size") > max_chars) & (F.col("_n") > 1)).select("source_id", "_island").distinct()
+    if long_islands is not None and not long_islands.isEmpty():
+        pieces = pieces.join(long_islands, ["source_id", "_island"], "left_anti")
         tight = placed.join(long_islands, ["source_id", "_island"], "left_semi")
         cuts = _cuts(tight, max_cont, max_chars, chunk).select("source_id", "_island", F.col("src").alias("_i"))
         flagged = tight.join(cuts.withColumn("_cut", F.lit(1)), ["source_id", "_island", "_i"], "left")
@@ -235,7 +235,7 @@ def merge_blocks(lines: DataFrame, desc: dict, chunk: int = CHUNK) -> DataFrame:
     return merged.unionByName(alone(lost, True)).unionByName(alone(blank_lines, False))
 
 
-def _cuts(tight: DataFrame, max_cont: int, max_chars: int, chunk: int) -> DataFrame:
+def _cuts(tight: DataFrame, max_cont: int | None, max_chars: int, chunk: int) -> DataFrame:
     """Lines at which the pieces of long islands begin (as edges src -> dst, the first src is 0)."""
     group = ["source_id", "_island"]
     before = F.col("_upto") - F.col("_len")
@@ -253,8 +253,8 @@ def _cuts(tight: DataFrame, max_cont: int, max_chars: int, chunk: int) -> DataFr
     edges = nearest.join(ends, group).select(
         *group, "src",
         F.least(
-            F.col("src") + max_cont + 1,
-            F.coalesce(F.greatest("_over", F.col("src") + 1), F.col("_end") + 1),
+            F.col("_end") + 1 if max_cont is None else F.col("src") + max_cont + 1,
+            F.when(F.col("_over").isNull(), F.col("_end") + 1).otherwise(F.greatest("_over", F.col("src") + 1)),
         ).alias("dst"),
     )
     return follow(edges, group)

@@ -56,6 +56,16 @@ def test_multiline_caps(lines):
     assert [r.line_no for r in by_size] == want
 
 
+def test_blocks_are_whole_without_named_caps(lines):
+    plain = {k: v for k, v in TOMCAT_CATALINA.items() if not k.startswith("max_")}
+    texts = ["01-Oct-2025 10:00:00.000 INFO a.B - start", *(f"  at line {k} " + "x" * 600 for k in range(2500)), "01-Oct-2025 10:00:01.000 INFO a.B - end"]
+    rows = descriptors.parse_lines(lines(texts), plain).orderBy("line_no").collect()
+    assert [(r.line_no, r.kind, r.continuation_lines) for r in rows] == [(1, "event", 2500), (2502, "event", 0)]
+    assert len(rows[0].raw) > 1_500_000
+    cut = descriptors.parse_lines(lines(texts), {**plain, "max_block_bytes": 1_000_000}).collect()
+    assert len(cut) == 3 and max(len(r.raw) for r in cut) <= 1_010_000
+
+
 def test_json_csv_and_text_descriptors(lines):
     js = {"kind": "json", "field_map": {"t": "ts_raw", "lvl": "level"}, "ts_field": "t", "ts_formats": ["%Y-%m-%d %H:%M:%S"]}
     rows = got(descriptors.parse_lines(lines(
