@@ -52,11 +52,11 @@ def _node(found: np.ndarray) -> int:
 
 def _texts(docs: DataFrame) -> DataFrame:
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return docs.select("doc_id", text_of().alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), text_of().alias("text"))
 
 
 def _named_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per document (doc_id, n, node), and per task the shingle counts (bucket, count)."""
+    """Per document (doc_id, key, n, node), key its text's hash, and per task the shingle counts (bucket, count)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shift = np.uint64(64 - FREQUENCY_BITS)
 
@@ -73,23 +73,23 @@ def _named_sets(docs: DataFrame, size: int) -> DataFrame:
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                        part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                     ],
-                    ["doc_id", "n", "node", "bucket", "count"],
+                    ["doc_id", "key", "n", "node", "bucket", "count"],
                 )
                 ids = part.schema.field("doc_id").type
         filled = np.flatnonzero(counts)
         if len(filled):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.nulls(len(filled), ids), pa.nulls(len(filled), pa.int64()), pa.nulls(len(filled), pa.int64()),
+                    pa.nulls(len(filled), ids), *(pa.nulls(len(filled), pa.int64()) for _ in range(3)),
                     pa.array(filled), pa.array(counts[filled]),
                 ],
-                ["doc_id", "n", "node", "bucket", "count"],
+                ["doc_id", "key", "n", "node", "bucket", "count"],
             )
 
-    return _texts(docs).mapInArrow(work, f"doc_id {kind}, n long, node long, bucket long, count long")
+    return _texts(docs).mapInArrow(work, f"doc_id {kind}, key long, n long, node long, bucket long, count long")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, rank: np.ndarray) -> DataFrame:
@@ -202,13 +202,18 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     component_id, else null.  An empty table gives no rows; columns beside doc_id and text are left out.  Sets and shingles are told
     apart by 64-bit hashes.
     """
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """As :func:`groups`, with the hash of the row's text as ``key`` and a name of its group as ``class``, null without words."""
     docs = docs.select("doc_id", "text")
     named = materialized(_named_sets(docs, size))
     counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
     for row in named.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toLocalIterator():
         counts[row["bucket"]] = row["count"]  # as many rows as buckets
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
-    rows = named.filter("bucket is null").select("doc_id", "n", "node")
+    rows = named.filter("bucket is null").select("doc_id", "key", "n", "node")
     representatives = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     scratch = Scratch(docs.sparkSession)
     index = scratch.stored(_prefixes(docs, size, percent, rank))
@@ -233,13 +238,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         links = links.union(_link(docs, size, percent, more, representatives))
         labels = components(links)
     scratch.clear()
-    named_groups = rows.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("class"))
+    named_groups = rows.join(labels, "node", "left").select("doc_id", "key", "n", F.coalesce("label", "node").alias("class"))
     named_groups = materialized(named_groups)
     smallest = materialized(
         named_groups.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("k")).filter("k > 1").drop("k")
     )
     return named_groups.join(smallest, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id")
+        "doc_id", "key", "class", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id")
     )
 
 
@@ -265,11 +270,16 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFram
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id is the group's.
+    """``docs`` with one document of each group: one whose doc_id is the group's.
 
-    Of rows equal in doc_id and text one stays.  Documents without words and rows without doc_id all stay.
+    Of rows equal in doc_id and text one stays; a row that shares its doc_id with one of another group is judged by its
+    own text, and of several texts of a group under its doc_id one stays.  Documents without words and rows without
+    doc_id all stay.
     """
-    kept = groups(docs, size, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    found = _grouped(docs, size, percent).filter("doc_id = component_id")
+    wordless = found.filter("class is null").select("doc_id", "key")
+    chosen = found.filter("class is not null").groupBy("class", "doc_id").agg(F.min("key").alias("key")).select("doc_id", "key")
+    kept = wordless.union(chosen).distinct().select(F.col("doc_id").alias("_kept"), F.col("key").alias("_key"))
     repeated = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    named = docs.filter("doc_id is not null").join(kept, (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
     return named.withColumn("_row", F.row_number().over(repeated)).filter("_row = 1").drop("_row").unionByName(docs.filter("doc_id is null"))

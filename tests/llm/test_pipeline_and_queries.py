@@ -37,6 +37,25 @@ def test_copies_leave_one(spark, table, prose):
     assert sorted(r.doc_id for r in out.collect()) == [2, 3]
 
 
+def test_copies_under_a_repeated_id_go(spark, table, prose):
+    a, b = prose(1, 100), prose(2, 100)
+    near = a.replace(a.split(" ")[50], "changed", 1)
+    out = corpus_pipeline.without_copies(spark, table([(1, a, "en", "s"), (7, a, "en", "s"), (7, b, "en", "s"), (1, near, "en", "s"), (8, None, "en", "s")]), "")
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(kept) == 3 and (7, b) in kept and (8, None) in kept and {(1, a), (1, near)} & set(kept)
+
+
+def test_boilerplate_keeps_columns_of_any_name(spark, prose):
+    line = prose(3, 30)
+    rows = [(i, f"{prose(i + 10, 40)}\n{line}", "x", i) for i in range(3)] + [(9, None, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_dropped long")
+    out = corpus_pipeline.without_boilerplate(spark, docs, "")
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and [line in got[i].text for i in range(3)] == [True, False, False]
+    assert [(got[i].n_lines, got[i].n_dropped) for i in (0, 1, 9)] == [("x", 0), ("x", 1), ("y", None)] and got[9].text is None
+    assert corpus_pipeline.without_boilerplate(spark, docs.limit(0), "").collect() == []
+
+
 def test_run_on_a_small_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
