@@ -22,9 +22,17 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with lines that recur across them left in one only."""
-    rows = line_templates.without_recurring(docs, whole=True)
-    return rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, with lines that recur across them left in one only; ``n_chars``, where there is one, follows the text.
+
+    Null texts and rows without doc_id stay as they are, an empty table stays empty.
+    """
+    # other columns go along as one, so that no name of them meets one of the result
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = line_templates.without_recurring(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_none"), *others).alias("_row")), whole=True)
+    columns = {c: F.col(f"_row.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(columns["n_chars"])
+    return rows.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
