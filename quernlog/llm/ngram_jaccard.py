@@ -1,8 +1,9 @@
 """Exact Jaccard join of documents on word n-grams, with rare-first prefix filtering.
 
 Shingles are put into one global order, rare ones first.  Two sets that are alike enough share a shingle of their
-prefixes, so only prefixes are indexed and joined; length, positional and suffix filters drop most of what meets, and a
-pair is verified once on the whole sets.
+prefixes, so only prefixes are indexed and joined; length and positional filters drop most of what meets.  What is left is
+compared by parity maps, one bit or two for each shingle, whose differing bits are a lower bound of the differing shingles;
+so the whole sets are read for few pairs but true ones, pass the suffix filter and are verified once per pair.
 
 Groups of copies never give all their pairs.  Equal sets are one node.  A first round compares every node of a bucket
 (the nodes with a prefix shingle) with one hub, the node in which that shingle stands first, which in a group of near
@@ -13,6 +14,7 @@ bucket that are still in different components, so no link between components is
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,14 @@ from quernlog.llm.native import Scratch, text_of
 from quernlog.llm.textarrays import code_points, lower_ascii, mix64, word_hashes
 from quernlog.session import materialized
 
-#: Shingle frequencies are counted in so many buckets of the hash; the order they give need not be exact.
-FREQUENCY_BITS = 17
-#: Most bits of the filter that picks the texts to read again; more nodes only make it pass more.
-FILTER_BITS = 27
+#: Shingle frequencies are counted in 2 ** FREQUENCY_BITS counters by hash, sent in pieces of 2 ** PIECE_BITS; the order
+#: they give need not be exact.  A shingle much more frequent than the square root of the shingles per counter stands out.
+FREQUENCY_BITS = 24
+PIECE_BITS = 14
+#: Steps of the order in which a frequency doubles; 8 of them fit 32 doublings into a byte.
+STEPS = 8
+#: Bits per wanted row of the filter that picks the texts to read again, and most bits; more nodes only make it pass more.
+ROW_BITS, FILTER_BITS = 64, 27
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -55,48 +61,82 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), text_of().alias("text"))
 
 
+def parity_map(s: np.ndarray) -> bytes:
+    """One bit for each of 64 or more buckets of the hash, as many as shingles or up to twice that: whether their number is odd."""
+    m = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Lower bound of the size of the symmetric difference of two sets, from their parity maps."""
+    x, y = (np.frombuffer(v, np.uint8) for v in ((a, b) if len(a) >= len(b) else (b, a)))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _named_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per document (doc_id, key, n, node), key its text's hash, and per task the shingle counts (bucket, count)."""
+    """Per document (doc_id, key, n, node, map), key its text's hash, and per task the shingle counts (piece, counts)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "key", "n", "node", "map", "piece", "counts"]
     shift = np.uint64(64 - FREQUENCY_BITS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        counts = np.zeros(1 << FREQUENCY_BITS, np.uint16)
         for batch in batches:
+            ids = batch.schema.field("doc_id").type
             for part in slices(batch):
                 sets = [shingles(t, size) for t in part.column("text").to_pylist()]
-                for s in sets:
-                    counts += np.bincount((s >> shift).astype(np.int64), minlength=len(counts)) if len(s) > 50_000 else 0
-                small = [s for s in sets if len(s) <= 50_000]
-                if small:
-                    counts += np.bincount((np.concatenate(small) >> shift).astype(np.int64), minlength=len(counts))
+                if not sets:
+                    continue
+                at, found = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+                counts[at] = np.minimum(counts[at].astype(np.int64) + found, 0xFFFF)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                        pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([parity_map(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                     ],
-                    ["doc_id", "key", "n", "node", "bucket", "count"],
+                    names,
                 )
-                ids = part.schema.field("doc_id").type
-        filled = np.flatnonzero(counts)
-        if len(filled):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(filled), ids), *(pa.nulls(len(filled), pa.int64()) for _ in range(3)),
-                    pa.array(filled), pa.array(counts[filled]),
-                ],
-                ["doc_id", "key", "n", "node", "bucket", "count"],
-            )
+        for i, piece in enumerate(counts.reshape(-1, 1 << PIECE_BITS)):
+            if piece.any():
+                packed = pa.compress(piece.tobytes(), "zstd", asbytes=True)
+                empty = [pa.nulls(1, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([i], pa.int32()), pa.array([packed])], names)
+
+    return _texts(docs).mapInArrow(work, f"doc_id {kind}, key long, n long, node long, map binary, piece int, counts binary")
+
+
+def _frequencies(named: DataFrame) -> np.ndarray:
+    """For each counter, the steps of its sum over all tasks: of a fixed size whatever the input."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, packed in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
+                found = np.frombuffer(pa.decompress(packed, 2 << PIECE_BITS, "zstd"), np.uint16)
+                sums[piece] = sums[piece] + found if piece in sums else found.astype(np.int64)
+        for piece, found in sums.items():
+            level = np.minimum(STEPS * np.log2(1 + found), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level.tobytes()])], ["piece", "level"])
 
-    return _texts(docs).mapInArrow(work, f"doc_id {kind}, key long, n long, node long, bucket long, count long")
+    pieces = named.filter("piece is not null").select("piece", "counts").repartition("piece")
+    levels = np.zeros((1 << (FREQUENCY_BITS - PIECE_BITS), 1 << PIECE_BITS), np.uint8)
+    for row in pieces.mapInArrow(work, "piece int, level binary").toLocalIterator():
+        levels[row["piece"]] = np.frombuffer(row["level"], np.uint8)
+    return levels.reshape(-1)
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, rank: np.ndarray) -> DataFrame:
     """Index rows (shingle, node, n, pos) of the prefix of every set, rare shingles first."""
     shift = np.uint64(64 - FREQUENCY_BITS)
+    levels = docs.sparkSession.sparkContext.broadcast(rank)  # 16 MB
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = levels.value
         seen: set[int] = set()  # equal sets have equal rows: once in a task is enough
         for batch in batches:
             for part in slices(batch):
@@ -128,8 +168,8 @@ def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, percen
 
 def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, representatives: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, shingles) of the given nodes, from the texts of their representatives; twice where a row is there twice."""
-    wanted = materialized(representatives.join(nodes, "node", "left_semi"))
-    bits = min(1 << FILTER_BITS, 1 << max(16, (8 * wanted.count()).bit_length()))
+    wanted = materialized(representatives.select("node", "doc_id").join(nodes, "node", "left_semi"))
+    bits = min(1 << FILTER_BITS, 1 << max(16, (ROW_BITS * wanted.count()).bit_length()))
 
     def place(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(bits))
@@ -177,6 +217,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return int(np.isin(a, b, assume_unique=True, kind="sort").sum()) >= need
 
 
+def _alike(pairs: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity maps leave it open that they link."""
+    one = representatives.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma"))
+    two = representatives.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            apart = [differing(x, y) for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(work, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -208,15 +263,15 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """As :func:`groups`, with the hash of the row's text as ``key`` and a name of its group as ``class``, null without words."""
     docs = docs.select("doc_id", "text")
-    named = materialized(_named_sets(docs, size))
-    counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    for row in named.filter("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toLocalIterator():
-        counts[row["bucket"]] = row["count"]  # as many rows as buckets
-    rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
-    rows = named.filter("bucket is null").select("doc_id", "key", "n", "node")
-    representatives = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    table = Scratch(docs.sparkSession)
+    named = table.stored(_named_sets(docs, size))
     scratch = Scratch(docs.sparkSession)
-    index = scratch.stored(_prefixes(docs, size, percent, rank))
+    rows = named.filter("piece is null").select("doc_id", "key", "n", "node")
+    representatives = scratch.stored(
+        named.filter("node is not null and doc_id is not null").groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("map").alias("map"))
+    )
+    index = scratch.stored(_prefixes(docs, size, percent, _frequencies(named)))
     # most shingles stand in one prefix: they go first, and what follows is worked out on few rows
     shared = materialized(
         index.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("shingle")
@@ -240,6 +295,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     scratch.clear()
     named_groups = rows.join(labels, "node", "left").select("doc_id", "key", "n", F.coalesce("label", "node").alias("class"))
     named_groups = materialized(named_groups)
+    table.clear()
     smallest = materialized(
         named_groups.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("k")).filter("k > 1").drop("k")
     )
@@ -249,6 +305,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _link(docs: DataFrame, size: int, percent: int, pairs: DataFrame, representatives: DataFrame) -> DataFrame:
+    pairs = materialized(_alike(pairs, representatives, percent))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     scratch = Scratch(docs.sparkSession)
     links = materialized(_verified(pairs, _sets_of(docs, size, nodes, representatives, scratch), percent))
@@ -257,15 +314,24 @@ def _link(docs: DataFrame, size: int, percent: int, pairs: DataFrame, representa
 
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket, its hub aside, that may link and are in different components."""
+    """Pairs of a bucket, its hub aside, that may link and are in different components.
+
+    Buckets are split by classes of the sets' sizes, so wide that sets which may link are in the same or in adjacent ones.
+    """
     rows = buckets.join(labels, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     split = rows.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
     rows = materialized(rows.join(split, "shingle"))
-    one = rows.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    two = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    width = 1.0001 * math.log(100 / percent)
+    rows = rows.withColumn("class", F.floor(F.log("n") / width) if width else F.col("n").cast("long"))
+    one = rows.select("shingle", "class", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    two = rows.select(
+        "shingle", F.explode(F.array("class", F.col("class") - 1)).alias("class"),
+        F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"),
+    )
     return (
-        one.join(two, "shingle").filter("a < b and la <> lb")
-        .filter(_may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)).select("a", "b").distinct()
+        one.join(two, ["shingle", "class"]).filter("la <> lb and (na < nb or (na = nb and a < b))")
+        .filter(_may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
 
 

@@ -88,6 +88,8 @@ def test_suffix_bound_never_exceeds_the_difference():
     for _ in range(300):
         a, b = (np.array(sorted(r.sample(range(60), r.randrange(1, 40))), np.uint64) for _ in range(2))
         assert ngram_jaccard._suffix_bound(a, b, 2) <= len(set(a.tolist()) ^ set(b.tolist()))
+        if len(a) and len(b):  # maps of any two sizes
+            assert ngram_jaccard.differing(ngram_jaccard.parity_map(a), ngram_jaccard.parity_map(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
         for percent in (50, 80, 90):
             both = len(set(a.tolist()) & set(b.tolist()))
             assert ngram_jaccard.linked(a, b, percent) == (100 * both >= percent * (len(a) + len(b) - both))
