@@ -29,6 +29,7 @@ def load() -> None:
         q_candidates,
         q_catalogue,
         q_detect,
+        q_host_texts,
         q_review,
         q_rules,
         q_search,
