@@ -4,8 +4,9 @@ A text is the mean of the embeddings of its character n-grams (two to four chara
 included), hashed into a fixed number of buckets; a linear layer on the mean gives the languages.  Both are trained by
 stochastic gradient descent in numpy.  As both are linear, one table of bucket by language scores texts.
 
-Probabilities are calibrated with one temperature on rows kept out of training, and a text is rejected where its
-probability is below nearly all of those rows.
+Probabilities are calibrated with one temperature on rows kept out of training and on short cuts of them, which are told
+less surely than whole texts.  A text is rejected where the log-odds of its language are too low.  The bound is learnt from
+languages that are left out of training, a group at a time: what is left in is told apart, what is left out has to go.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ PARTS, ROWS_PER_PART = 16, 75
 EPOCHS = 12
 BATCH = 32
 RATE = 60.0
-#: Share of calibration rows below the rejection threshold.
-REJECTED = 0.001
+#: Code points of the cut from the middle of a text that calibrates besides the whole text.
+CUT = 60
+#: Languages are left out in so many groups to learn the rejection bound.
+LEFT_OUT_GROUPS = 4
+#: The bound rejects this share of the left-out texts if it can, but of the rightly told ones never more than the second share.
+FOREIGN, REJECTED = 0.95, 0.004
 UNKNOWN = "und"
 
 
@@ -73,12 +78,12 @@ class Model:
     table: np.ndarray  # bucket by language, a last row of zeros
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # of the log-odds
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language (``und`` without a letter) and calibrated probability (0 without a letter) of each text."""
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language (``und`` without a letter), calibrated probability (0 without a letter) and whether it is rejected."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         grams, owner = subwords(texts)
         starts = np.searchsorted(owner, np.arange(len(texts)))
         per_place = self.table[grams[:, 0]] + self.table[grams[:, 1]] + self.table[grams[:, 2]]
@@ -88,7 +93,11 @@ class Model:
         p = softmax(logits)
         best = p.argmax(axis=1)
         known = counts > 0
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, p.max(axis=1), 0.0)
+        return (
+            [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)],
+            np.where(known, p.max(axis=1), 0.0),
+            ~known | (odds(logits) < self.threshold),
+        )
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -96,12 +105,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def odds(logits: np.ndarray) -> np.ndarray:
+    """Log-odds of the likeliest language against all others; 0 where there are no others."""
+    if logits.shape[1] < 2:
+        return np.zeros(len(logits))
+    order = np.sort(logits, axis=1)
+    rest = order[:, :-1]
+    return order[:, -1] - rest[:, -1] - np.log(np.exp(rest - rest[:, -1:]).sum(axis=1))
+
+
 def fold(key: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
 
 
 def learning_rows(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Bucket counts of the bounded sample: the rows with the smallest hashes of each part of a language."""
+    """Bucket counts of whole texts and of cuts of the bounded sample: the rows with the smallest hashes of each part."""
     key = F.xxhash64(F.col("doc_id").cast("string"))
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out & F.col("text").rlike("\\p{L}"))
     usable = usable.withColumns({"key": key, "part": F.pmod(F.xxhash64(F.lit(1), key), F.lit(PARTS)).cast("int")})
@@ -118,64 +136,124 @@ def learning_rows(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def start() -> Callable[[list[str]], dict[str, list]]:
         def run(texts: list[str]) -> dict[str, list]:
-            out: dict[str, list] = {"buckets": [], "counts": []}
+            out: dict[str, list] = {"buckets": [], "counts": [], "cut_buckets": [], "cut_counts": []}
             for t in texts:
-                found, n = np.unique(subwords([t])[0], return_counts=True)
-                out["buckets"].append(found[found < BUCKETS])
-                out["counts"].append(n[found < BUCKETS].astype(np.int32))
+                begin = max(0, len(t) - CUT) // 2
+                for prefix, part in (("", t), ("cut_", t[begin : begin + CUT])):
+                    found, n = np.unique(subwords([part])[0], return_counts=True)
+                    out[prefix + "buckets"].append(found[found < BUCKETS])
+                    out[prefix + "counts"].append(n[found < BUCKETS].astype(np.int32))
             return out
 
         return run
 
     chosen_docs = usable.join(F.broadcast(last), ["lang", "part"]).filter("key <= last").select("doc_id", "lang", "text")
-    return map_texts(chosen_docs, ["doc_id", "lang"], "buckets array<int>, counts array<int>", start)
+    return map_texts(chosen_docs, ["doc_id", "lang"], "buckets array<int>, counts array<int>, cut_buckets array<int>, cut_counts array<int>", start)
+
+
+@dataclass
+class _Rows:
+    """Bucket shares of texts, one after the other."""
+
+    starts: np.ndarray
+    buckets: np.ndarray
+    shares: np.ndarray
+
+    @classmethod
+    def of(cls, buckets: pa.Array, counts: pa.Array) -> _Rows:
+        starts, values = buckets.offsets.to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.float32)
+        starts = starts - starts[0]
+        total = np.add.reduceat(np.append(values, 0), starts[:-1]) * (np.diff(starts) > 0)
+        return cls(starts, buckets.flatten().to_numpy(), values / np.repeat(np.maximum(total, 1), np.diff(starts)))
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(at), BUCKETS), np.float32)
+        for i, row in enumerate(at):
+            part = slice(self.starts[row], self.starts[row + 1])
+            x[i, self.buckets[part]] = self.shares[part]
+        return x
+
+    def logits(self, at: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        parts = np.array_split(at, max(1, len(at) // 256))
+        return np.concatenate([self.dense(p).astype(float) @ table + bias for p in parts])
+
+
+def _trained(x: _Rows, y: np.ndarray, rows: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table of bucket by language and bias, by stochastic gradient descent."""
+    random = np.random.default_rng(seed)
+    embed = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    linear = random.normal(0, 0.1, (DIMENSIONS, n)).astype(np.float32)
+    bias = np.zeros(n, np.float32)
+    hot = np.eye(n, dtype=np.float32)
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        for at in np.array_split(random.permutation(rows), max(1, len(rows) // BATCH)):
+            part = x.dense(at)
+            v = part @ embed
+            error = (softmax(v @ linear + bias) - hot[y[at]]) / len(at)
+            back = error @ linear.T
+            linear -= 0.02 * rate * (v.T @ error)
+            bias -= 0.001 * rate * error.sum(axis=0)
+            embed -= rate * (part.T @ back)
+    return embed.astype(float) @ linear.astype(float), bias.astype(float)
+
+
+def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The one under which the true languages are likeliest."""
+
+    def loss(t: float) -> float:
+        return -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
+
+    return float(min(np.geomspace(0.05, 20, 60), key=loss))
 
 
 def fit(docs: DataFrame, held_out: Column, seed: int = 7) -> Model:
     """Learns from rows with a language that ``held_out`` does not hold for; a fifth of them calibrates.
 
-    Without such rows the model knows no language and answers ``und`` for every text.
+    Without such rows the model knows no language and answers ``und`` for every text.  With one or two languages there is
+    nothing to leave out, and only the log-odds of rightly told rows bound the rejection.
     """
     rows = learning_rows(docs.select("doc_id", "lang", "text"), held_out).toArrow()  # numbers stay in arrays
     order = sorted(range(rows.num_rows), key=list(zip(map(str, rows["doc_id"].to_pylist()), rows["lang"].to_pylist())).__getitem__)
-    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
+    rows = rows.take(pa.array(order, pa.int64()))
     found = rows["lang"].to_pylist()
     languages = sorted(set(found))
     if not found:
         return Model([], np.zeros((BUCKETS + 1, 1)), np.zeros(0), 1.0, 0.0)
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, (buckets, counts) in enumerate(zip(rows["buckets"], rows["counts"])):
-        x[i, buckets.values.to_numpy()] = counts.values.to_numpy()
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    whole, cut = (_Rows.of(*(rows[f"{p}{c}"].combine_chunks() for c in ("buckets", "counts"))) for p in ("", "cut_"))
     y = np.array([languages.index(f) for f in found])
-    random = np.random.default_rng(seed)
-    order = random.permutation(len(y))
+    order = np.random.default_rng(seed).permutation(len(y))
     calibrating, training = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)
-    embed = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    linear = random.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
-    bias = np.zeros(len(languages), np.float32)
-    hot = np.eye(len(languages), dtype=np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in np.array_split(random.permutation(training), max(1, len(training) // BATCH)):
-            v = x[at] @ embed
-            error = (softmax(v @ linear + bias) - hot[y[at]]) / len(at)
-            back = error @ linear.T
-            linear -= 0.02 * rate * (v.T @ error)
-            bias -= 0.001 * rate * error.sum(axis=0)
-            embed -= rate * (x[at].T @ back)
-    table = np.zeros((BUCKETS + 1, len(languages) + 1))
-    table[:BUCKETS, :-1] = embed.astype(float) @ linear.astype(float)
-    table[:BUCKETS, -1] = 1
-    logits = x[calibrating].astype(float) @ table[:BUCKETS, :-1] + bias
-    truth = y[calibrating]
-
-    def loss(t: float) -> float:
-        return -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
 
-    temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    right = np.sort(softmax(logits / temperature).max(axis=1))
-    return Model(languages, table, bias.astype(float), float(temperature), float(right[int(REJECTED * len(right))]) * 0.999)
+    def learnt(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Table, bias and temperature of a model of the languages ``kept``, by their numbers."""
+        number = np.full(len(languages), -1)
+        number[kept] = np.arange(len(kept))
+        mine = number[y]
+        table, bias = _trained(whole, mine, training[mine[training] >= 0], len(kept), seed)
+        at = calibrating[mine[calibrating] >= 0]
+        logits = np.concatenate([x.logits(at, table, bias) for x in (whole, cut)])
+        return table, bias, _temperature(logits, np.tile(mine[at], 2)) if len(at) else 1.0
+
+    every = np.arange(len(languages))
+    table, bias, temperature = learnt(every)
+    logits = whole.logits(calibrating, table, bias) / temperature
+    right = np.sort(odds(logits)[logits.argmax(axis=1) == y[calibrating]])
+    threshold = float(right[int(REJECTED * len(right))]) if len(right) else 0.0
+    if len(languages) > 2:
+        foreign = []
+        for group in range(min(LEFT_OUT_GROUPS, len(languages))):
+            out = every % min(LEFT_OUT_GROUPS, len(languages)) == group
+            at = calibrating[out[y[calibrating]]]
+            if len(at):
+                part, shift, t = learnt(every[~out])
+                foreign.append(odds(whole.logits(at, part, shift) / t))
+        if foreign:
+            threshold = min(threshold, float(np.quantile(np.concatenate(foreign), FOREIGN)))
+    padded = np.zeros((BUCKETS + 1, len(languages) + 1))
+    padded[:BUCKETS, :-1] = table
+    padded[:BUCKETS, -1] = 1
+    return Model(languages, padded, bias, temperature, threshold)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -187,8 +265,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def start() -> Callable[[list[str]], dict[str, list]]:
         def run(texts: list[str]) -> dict[str, list]:
-            found, score = model.score(texts)
-            return {"lang_pred": found, "score": score, "rejected": (score < model.threshold) | np.array([f == UNKNOWN for f in found])}
+            found, score, rejected = model.score(texts)
+            return {"lang_pred": found, "score": score, "rejected": rejected}
 
         return run
 

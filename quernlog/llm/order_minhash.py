@@ -20,6 +20,8 @@ PICKS = 2
 _PLACE_BITS, _HASH_BITS = 27, 36
 _PLACES, _HASHES = 1 << _PLACE_BITS, 1 << _HASH_BITS
 _TUPLE_BITS = 24
+#: Tokens of more characters are cut into overlapping pieces of so many characters each.
+LONGEST_TOKEN, PIECE = 40, 4
 
 
 def _bin(packed: Column) -> Column:
@@ -76,16 +78,24 @@ def _tuples(picked: Column) -> Column:
     return F.filter(heads, lambda x: x.isNotNull())
 
 
+def _tokens(text: Column) -> Column:
+    """What stands between blanks; the pieces of a long token, as in scripts without blanks, take its place."""
+    pieces = lambda c: F.transform(c, lambda _, i: F.array_join(F.slice(c, i + 1, PIECE), ""))
+    cut = lambda w: F.when(F.length(w) > LONGEST_TOKEN, let(F.split(w, ""), pieces)).otherwise(F.array(w))
+    words = F.split(text, " ")
+    return F.when(text.rlike(f"[^ ]{{{LONGEST_TOKEN + 1}}}"), F.flatten(F.transform(words, cut))).otherwise(words)
+
+
 def fingerprint(text: Column) -> Column:
     """Fingerprint of a text as a sorted array of at most BINS numbers; an empty text counts as one empty token.
 
-    Tokens are what stands between blanks; a k-mer is a token with the next one (the last token alone).  Places are kept
-    modulo 2**27, so order is exact up to so many tokens.
+    Tokens are what stands between blanks, those of over LONGEST_TOKEN characters cut into pieces; a k-mer is a token with
+    the next one (the last token alone).  Places are kept modulo 2**27, so order is exact up to so many tokens.
     """
     kmers = lambda w: F.sort_array(F.transform(w, lambda x, i: _packed(F.xxhash64(x, F.get(w, i + 1)), i)))
     picked = lambda s: F.filter(s, lambda v, i: (i < PICKS) | (_bin(F.get(s, i - PICKS)) != _bin(v)))
     return let(
-        F.split(text, " "),
+        _tokens(text),
         lambda w: let(kmers(w), lambda order: let(F.sort_array(_numbered(order)), lambda s: let(picked(s), _tuples))),
     )
 

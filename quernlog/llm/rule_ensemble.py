@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quernlog.llm.native import text_of, words
 
-#: At most so many labelled rows (statistics only, no text) are collected for learning.
+#: At most so many labelled documents (statistics only, no text) are collected for learning.
 LEARNING_ROWS = 20_000
 TREES = 40
 DEPTH = 3
@@ -32,7 +32,11 @@ STATISTICS = (
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """Adds the statistics and drops the text; a null text counts as empty, for which every statistic is 0."""
+    """Adds the statistics and drops the text; a null text counts as empty, for which every statistic is 0.
+
+    Texts are measured whole; repeated rows get equal statistics; an empty table gives none.  Other columns stay, but a
+    column that has the name of a statistic gives way to it.
+    """
     text = F.col("_text")
 
     def count(pattern: str) -> Column:
@@ -156,19 +160,27 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ensemble:
     return Ensemble(float(weights[0]), [(r, float(w)) for r, w in zip(rules, weights[1:]) if w != 0])
 
 
+def learning_rows(statistics: DataFrame, labels: DataFrame, label: str = "quality", most: int = LEARNING_ROWS) -> DataFrame:
+    """(statistics, _label), one row for each of at most ``most`` labelled doc_ids, chosen by a bound on their hash.
+
+    Null labels are left out.  A doc_id with several labels takes the largest, one with several rows the smallest of them.
+    """
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
+    wanted = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_label"))
+    n = wanted.count()
+    if n > most:  # expects most rows less six standard deviations, so that more than most never come
+        wanted = wanted.filter(part < int((most - 6 * most**0.5) / n * (1 << 20)))
+    rows = statistics.join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*STATISTICS, "_label")).alias("_row"))
+    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").select("_row.*")
+
+
 def fit(statistics: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
-    """Learns from the labelled rows with the smallest hashes, at most LEARNING_ROWS; null labels are left out."""
-    rows = (
-        statistics.join(labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label")), "doc_id")
-        .select("doc_id", *STATISTICS, "_label")
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "_label", "n_words")
-        .limit(LEARNING_ROWS)
-        .collect()
-    )
-    x = np.array([[r[s] for s in STATISTICS] for r in rows], float).reshape(len(rows), len(STATISTICS))
-    return learn(x, np.array([r["_label"] for r in rows], float))
+    """Learns from :func:`learning_rows`; no such row gives a constant score."""
+    rows = learning_rows(statistics, labels, label).toArrow()
+    x = np.array([rows[s].to_numpy() for s in STATISTICS], float).reshape(len(STATISTICS), rows.num_rows).T.copy()
+    return learn(x, rows["_label"].to_numpy().astype(float))
 
 
 def score(statistics: DataFrame, ensemble: Ensemble) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from GOOD on)."""
+    """Adds score (0 to 1) and predicted (1 from GOOD on), in place of columns of these names; one row for each row."""
     return statistics.withColumn("score", ensemble.column()).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))

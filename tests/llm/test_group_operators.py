@@ -86,7 +86,8 @@ def test_suffix_bound_never_exceeds_the_difference():
 
     r = random.Random(1)
     for _ in range(300):
-        a, b = (np.array(sorted(r.sample(range(60), r.randrange(1, 40))), np.uint64) for _ in range(2))
+        span = r.choice([60, 600])
+        a, b = (np.array(sorted(r.sample(range(span), r.randrange(1, span * 2 // 3))), np.uint64) for _ in range(2))
         assert ngram_jaccard._suffix_bound(a, b, 2) <= len(set(a.tolist()) ^ set(b.tolist()))
         if len(a) and len(b):  # maps of any two sizes
             assert ngram_jaccard.differing(ngram_jaccard.parity_map(a), ngram_jaccard.parity_map(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
@@ -153,6 +154,13 @@ def test_order_minhash_fingerprint_by_hand(spark):
     assert df.select(order_minhash.fingerprint(F.col("t"))).first()[0] == want
 
 
+def test_order_minhash_of_texts_without_blanks(table):
+    r = random.Random(3)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(400)) for _ in range(4)] + ["\n".join(f"w{r.randrange(500)}" for _ in range(300))]
+    for row in order_minhash.edited_pairs(table([(i, t, None, None) for i, t in enumerate(texts)])).collect():
+        assert row.near_edited > max(0.03, row.near_next)
+
+
 def test_order_minhash_on_odd_rows(table, odd_rows):
     rows = order_minhash.edited_pairs(table(odd_rows)).collect()
     assert len(rows) == len(odd_rows)

@@ -179,6 +179,38 @@ def test_language_id_scores_do_not_depend_on_the_batch(table, prose):
     assert [model.score([t])[1][0] for t in texts] == list(model.score(texts)[1])
 
 
+def test_language_id_rejects_languages_it_has_not_learnt(table, prose):
+    """One language is left out of learning; most of its texts go, nearly all others stay."""
+    rows = [(i, prose(i, 60, lang), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    foreign = {"pl": ["szcz", "owie", "ły", "prz", "ką", "dzi"], "xx": ["\u0436\u0430", "\u043b\u043e", "\u0449\u0438", "\u043d\u043a"]}
+    strange = [(1000 + i, " ".join("".join(random.Random(i * 99 + k).choices(parts, k=3)) for k in range(60)), None, "s") for i, parts in enumerate(list(foreign.values()) * 20)]
+    model = language_id.fit(table(rows), language_id.fold("doc_id", 5) == 0)
+    out = language_id.identify(table(rows + strange), model, ["doc_id"]).collect()
+    assert sum(r.rejected for r in out if r.doc_id < 1000) <= 3
+    assert sum(r.rejected for r in out if r.doc_id >= 1000) >= 30
+    assert max(r.score for r in out if r.doc_id >= 1000) < 0.99
+
+
+def test_language_id_buckets_by_hand():
+    """N-grams of two to four characters inside a word and its borders, in plain Python."""
+    def mixed(v):
+        return int(textarrays.mix64(np.array([v & (2**64 - 1)], np.uint64))[0]) >> (64 - language_id.BUCKET_BITS)
+
+    want = []
+    for word in ("ab", "Ünïx"):
+        points = [0, *(ord(c) for c in word.lower()), 0]
+        for size in (2, 3, 4):
+            for at in range(len(points) - size + 1):
+                gram, value = points[at : at + size], points[at]
+                if 0 in gram[1:-1]:
+                    continue
+                for k in range(1, size):
+                    value = value * 0x9E3779B97F4A7C15 + gram[k] + k
+                want.append(mixed(value))
+    grams = language_id.subwords(["ab 12 Ünïx"])[0]
+    assert sorted(grams[grams < language_id.BUCKETS].tolist()) == sorted(want)
+
+
 def test_language_id_without_labels(table, prose):
     model = language_id.fit(table([(1, prose(1), None, "s")]), F.lit(False))
     assert [r.lang_pred for r in language_id.identify(table([(1, prose(1), None, "s")]), model, ["doc_id"]).collect()] == ["und"]
@@ -200,6 +232,28 @@ def test_rule_ensemble_learns_held_out_rows(spark, table, prose):
         assert 0 <= r.score <= 1 and r.predicted == (0 if r.doc_id % 4 == 0 else 1)
 
 
+def test_rule_ensemble_learns_from_a_bounded_sample(spark, table, prose):
+    rows = [(i, prose(i, 5 + i % 7), None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] * 3 + [(3, 0), (4, None)], "doc_id long, quality int")
+    statistics = rule_ensemble.with_statistics(table(rows + rows[:50]).select("doc_id", "text"))
+    assert rule_ensemble.learning_rows(statistics, labels).count() == 400
+    some = rule_ensemble.learning_rows(statistics, labels, most=200).collect()
+    assert 50 <= len(some) <= 200 and some == rule_ensemble.learning_rows(statistics.repartition(3), labels, most=200).collect()
+
+
+def test_rule_ensemble_statistics_by_hand(table):
+    text = "Ab, cd! cd $9\n\nlonger.word Ab,\n cd"
+    w = text.split()
+    letters = sum(map(len, w))
+    r = rule_ensemble.with_statistics(table([(1, text, None, None)]).select("doc_id", "text")).first()
+    want = {
+        "n_words": len(w), "word_length": letters / len(w), "distinct_words": len(set(w)) / len(w), "symbols_per_word": 1 / len(w),
+        "exclamations_per_word": 1 / len(w), "capitals_per_letter": 2 / letters, "stops_per_word": 3 / len(w), "digits_per_letter": 1 / letters,
+        "line_words": len(w) / 3, "repeated_lines": 0.0, "longest_word": 11,
+    }
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: r[k] for k in rule_ensemble.STATISTICS}
+
+
 def test_rule_ensemble_column_equals_plain_sum(spark):
     rule = (("n_words", True, 3.0), ("word_length", False, 5.0))
     model = rule_ensemble.Ensemble(0.5, [(rule, -2.0), ((("n_words", False, 1.0),), 1.0)])
