@@ -144,3 +144,17 @@ def rule_scan_units(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("systemd_unit").alias("artifact_type"), F.lit("h").alias("host"),
     )
     return event_rule_hits(to_events(records, sources)).select("rule_id", "source_id", "line_no")
+
+
+@query(
+    "parse_shell_settings",
+    """SELECT 'x/Persistence/home/' || c_mktsegment || '/' || CAST(c_custkey AS VARCHAR) AS source_id, c_mktsegment AS owner, 7::BIGINT AS line_count, 5::BIGINT AS non_comment_lines,
+ 'export LD_PRELOAD=/tmp/' || CAST(c_custkey AS VARCHAR) || chr(10) || 'P_2=$P:/x=1' AS exports, 'alias ll=ls -l ' || c_name AS aliases FROM customer""",
+)
+def shell_settings(spark: SparkSession, sf: str) -> DataFrame:
+    lines = ["'# export A=1'", "' export LD_PRELOAD=/tmp/' || c_custkey", "''", "'alias ll=ls -l ' || c_name || ' '", "'P_2=$P:/x=1'", "'if [ 1 = 1 ]'", "'9A=1'"]
+    rows = table(spark, sf, "customer").selectExpr("c_custkey", "c_mktsegment", f"posexplode(array({', '.join(lines)})) AS (place, raw)")
+    files = rows.selectExpr("concat('x/Persistence/home/', c_mktsegment, '/', c_custkey) AS source_id", "CAST(place + 1 AS BIGINT) AS line_no", "raw")
+    return host_texts.parse_shell_settings(files).select(
+        "source_id", "norm.owner", "norm.line_count", "norm.non_comment_lines", "norm.exports", "norm.aliases"
+    )

@@ -236,6 +236,16 @@ def directives(lines: DataFrame, continued: bool = True, chunk: int = CHUNK) ->
     )
 
 
+def _whole_files(lines: DataFrame, shown: int) -> DataFrame:
+    """One row per file: line_no 1, and the first ``shown`` characters as raw."""
+    # a line has a character at least, its end
+    top = lines.filter(F.col("line_no") <= shown).select("source_id", F.struct("line_no", F.left("raw", F.lit(shown)).alias("raw")).alias("x"))
+    files = lines.select("source_id").distinct().join(
+        top.groupBy("source_id").agg(F.sort_array(F.collect_list("x")).alias("x")), "source_id", "left"
+    )
+    return files.select("source_id", F.lit(1).cast("long").alias("line_no"), F.left(F.array_join("x.raw", "\n"), F.lit(shown)).alias("raw"))
+
+
 def parse_units(lines: DataFrame, drop_in: bool = False, shown: int = 2000, chunk: int = CHUNK) -> DataFrame:
     """One event per unit file, or per fragment that overrides one: what it starts, when, and for whom.
 
@@ -260,12 +270,7 @@ def parse_units(lines: DataFrame, drop_in: bool = False, shown: int = 2000, chun
         *[F.min(those(*v))["value"].alias(k) for k, v in firsts.items()],
         *[v.alias(k) for k, v in text.items()],
     )
-    # a line has a character at least, its end
-    top = lines.filter(F.col("line_no") <= shown).select("source_id", F.struct("line_no", F.left("raw", F.lit(shown)).alias("raw")).alias("x"))
-    files = lines.select("source_id").distinct().join(
-        top.groupBy("source_id").agg(F.sort_array(F.collect_list("x")).alias("x")), "source_id", "left"
-    )
-    rows = files.select("source_id", F.lit(1).cast("long").alias("line_no"), F.left(F.array_join("x.raw", "\n"), F.lit(shown)).alias("raw"))
+    rows = _whole_files(lines, shown)
     rows = rows.join(made, "source_id", "left")
     norm = {
         "source": _file(), "unit": _file(), "sections": F.coalesce("sections", F.array().cast("array<string>")),
@@ -274,3 +279,36 @@ def parse_units(lines: DataFrame, drop_in: bool = False, shown: int = 2000, chun
     if drop_in:
         norm |= {"drop_in": F.lit("true"), "directives_text": F.coalesce("directives_text", F.lit(""))}
     return record(rows, F.lit("event"), norm)
+
+
+def parse_shell_settings(lines: DataFrame, shown: int = 2000) -> DataFrame:
+    """One event per start file of a shell: all variables it sets and all aliases, and whose it is.
+
+    The owner is named by a path below ``Persistence/home/<name>`` or ``Persistence/root``.
+    """
+    text = _bare(F.col("raw"))
+    name = F.regexp_replace(F.substring_index(text, "=", 1), r"^export\s+", "")
+    assigned = F.contains(text, F.lit("="))
+    rows = computed_once(lines.select("source_id", "line_no", "raw"), {"_text": text, "_quiet": _quiet(F.col("raw"))})
+    rows = computed_once(rows, {
+        "_alias": ~F.col("_quiet") & assigned & F.substring_index(text, "=", 1).rlike(r"^alias\s+\S"),
+        "_set": ~F.col("_quiet") & assigned & name.rlike(r"^\w+$") & ~name.rlike(r"^\d"),
+    })
+
+    def listed(test: Column) -> Column:
+        found = F.sort_array(F.collect_list(F.when(test, F.struct("line_no", "_text"))))
+        return F.when(F.size(found) > 0, F.array_join(found["_text"], "\n"))
+
+    made = rows.groupBy("source_id").agg(
+        F.count("*").alias("line_count"), F.count_if(~F.col("_quiet")).alias("non_comment_lines"),
+        listed(F.col("_set") & ~F.col("_alias")).alias("exports"), listed(F.col("_alias")).alias("aliases"),
+    )
+    rows = computed_once(_whole_files(lines, shown).join(made, "source_id"), {"_path": F.split("source_id", "/")})
+    at = F.array_position("_path", F.lit("Persistence")).cast("int")
+    place, below = F.when(at > 0, F.get("_path", at)), F.get("_path", at + 1)
+    norm = {
+        "source": _file(), "file": _file(), "line_count": F.col("line_count"), "non_comment_lines": F.col("non_comment_lines"),
+        "owner": F.when(place == "home", below).when((place == "root") & below.isNotNull(), "root"),
+        "exports": F.col("exports"), "aliases": F.col("aliases"),
+    }
+    return record(rows, F.lit("event"), norm)

@@ -49,11 +49,20 @@ def test_unit_files_and_fragments(lines):
     assert host_texts.parse_units(lines([])).count() == 0
 
 
+def test_shell_settings(lines):
+    row = got(host_texts.parse_shell_settings(lines(["export LD_PRELOAD=/x", "alias  a=b=c", "alias = x", "aliasing=1", "echo a=b"], "p/Persistence/root/.bashrc")))[0]
+    assert row == {
+        "source": ".bashrc", "file": ".bashrc", "line_count": 5, "non_comment_lines": 5, "owner": "root",
+        "exports": "export LD_PRELOAD=/x\naliasing=1", "aliases": "alias  a=b=c",
+    }
+
+
 def test_rules_fire_on_parsed_lines(spark, lines):
     parsed = {
         "linux-pam-exec-hook": (host_texts.parse_authentication_rules, "auth optional pam_exec.so /x", "auth optional pam_unix.so"),
         "linux-udev-exec-shm": (host_texts.parse_device_rules, 'RUN+="/dev/shm/x"', 'NAME="/dev/shm/x"'),
         "linux-systemd-suspicious-path": (host_texts.parse_units, "[Service]\nExecStart=/tmp/x", "[Service]\nExecStart=/usr/bin/x"),
+        "linux-ld-preload-export": (host_texts.parse_shell_settings, "export LD_PRELOAD=/x", "# export LD_PRELOAD=/x"),
     }
     for rule, (parse, hit, miss) in parsed.items():
         records = parse(lines(hit.split("\n"), "hit")).unionByName(parse(lines(miss.split("\n"), "miss")))
