@@ -72,6 +72,36 @@ def _sums(keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[list[np.nda
     return [k[starts] for k in keys], np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
 
 
+def _tallied(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the held words, pairs and kinds, which are given free: only sorted copies and runs are in memory."""
+    word, pair, kind = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    if not len(word):
+        return
+    order = np.lexsort((kind, pair, word))
+    word, pair, kind = word[order], pair[order], kind[order]
+    del order
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])
+    run = new.copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(run)
+    kind, key = kind[at], np.cumsum(new[at], dtype=np.int32) - 1
+    n = np.diff(at, append=len(word)).astype(np.int32)
+    del at, run
+    word, pair = word[new], pair[new]
+    seen = np.zeros((4, len(word)), np.int32)
+    for k in range(4):
+        mine = kind == k
+        seen[k // 2 * 2 + 1, key[mine]] += n[mine]
+        if k % 2 == 1:
+            seen[k // 2 * 2, key[mine]] = n[mine]
+    for i in range(0, len(word), 100_000):
+        part = slice(i, i + 100_000)
+        arrays = [pa.array(word[part].view(np.int64)), pa.array(pair[part].view(np.int64)), *(pa.array(c[part].astype(np.int64)) for c in seen)]
+        yield pa.RecordBatch.from_arrays(arrays, ["word", "pair", *COUNTS])
+
+
 def _counted(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(word, pair, c0 .. c3) of all words, with pair 0, and of the bigrams seen by both halves; BEGIN counts texts."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
@@ -81,18 +111,6 @@ def _counted(docs: DataFrame, target: DataFrame) -> DataFrame:
         .join(marks, "doc_id", "left").select("text", (F.col("half") * 2 + F.coalesce("wanted", F.lit(0))).alias("kind"))
     )
 
-    def rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        word, pair, kind = (np.concatenate(x) for x in zip(*held))
-        seen = np.zeros((len(word), 4), np.int64)
-        wanted = kind % 2 == 1
-        seen[np.arange(len(word)), kind // 2 * 2 + 1] = 1
-        seen[np.flatnonzero(wanted), kind[wanted] // 2 * 2] = 1
-        (word, pair), seen = _sums((word, pair), seen)
-        arrays = [pa.array(word.view(np.int64)), pa.array(pair.view(np.int64)), *(pa.array(seen[:, i]) for i in range(4))]
-        whole = pa.RecordBatch.from_arrays(arrays, ["word", "pair", *COUNTS])
-        for i in range(0, len(word), 100_000):
-            yield whole.slice(i, 100_000)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
@@ -104,10 +122,10 @@ def _counted(docs: DataFrame, target: DataFrame) -> DataFrame:
                 held += [(words, pairs, kinds), (words, none, kinds), (np.full(first.sum(), BEGIN), none[first], kinds[first])]
                 n += 2 * len(words)
                 if n >= HELD:
-                    yield from rows(held)
-                    held, n = [], 0
+                    yield from _tallied(held)
+                    n = 0
         if held:
-            yield from rows(held)
+            yield from _tallied(held)
 
     each = marked.mapInArrow(work, "word long, pair long, " + ", ".join(f"{c} long" for c in COUNTS))
     found = each.groupBy("word", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS])

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -329,6 +330,25 @@ def test_lm_counts_every_word_and_bigram(spark, table, monkeypatch):
             assert math.isclose(got, want, rel_tol=1e-9)
 
 
+def test_lm_counts_in_little_memory():
+    random = np.random.default_rng(5)
+    held = [(random.integers(0, 300, n).astype(np.uint64), random.integers(0, 300, n).astype(np.uint64), random.integers(0, 4, n).astype(np.int8)) for n in (0, 9000, 1)]
+    want = collections.defaultdict(lambda: [0] * 4)
+    for part in held:
+        for word, pair, kind in zip(*(x.tolist() for x in part)):
+            want[word, pair][kind // 2 * 2 + 1] += 1
+            want[word, pair][kind // 2 * 2] += kind % 2
+    got = [r for b in lm_difference._tallied(held) for r in zip(*b.to_pydict().values())]
+    assert len(got) == len(want) and {r[:2]: list(r[2:]) for r in got} == want and not held
+    assert not list(lm_difference._tallied([(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8))]))
+    held = [(np.arange(10_000, dtype=np.uint64) + 10_000 * i, np.ones(10_000, np.uint64), np.ones(10_000, np.int8)) for i in range(lm_difference.HELD // 10_000)]
+    tracemalloc.start()
+    assert sum(b.num_rows for b in lm_difference._tallied(held)) == lm_difference.HELD
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160_000_000
+
+
 def test_lm_difference_on_odd_rows(spark, table, odd_rows):
     nothing = spark.createDataFrame([], "doc_id long")
     out = lm_difference.score(table(odd_rows), lm_difference.fit(table(odd_rows), nothing)).collect()
