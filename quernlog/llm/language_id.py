@@ -119,7 +119,7 @@ def fold(key: str, parts: int) -> Column:
 
 
 def learning_rows(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Bucket counts of whole texts and of cuts of the bounded sample: the rows with the smallest hashes of each part."""
+    """Bucket shares of whole texts and of cuts of the bounded sample: the rows with the smallest hashes of each part."""
     key = F.xxhash64(F.col("doc_id").cast("string"))
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out & F.col("text").rlike("\\p{L}"))
     usable = usable.withColumns({"key": key, "part": F.pmod(F.xxhash64(F.lit(1), key), F.lit(PARTS)).cast("int")})
@@ -136,40 +136,42 @@ def learning_rows(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def start() -> Callable[[list[str]], dict[str, list]]:
         def run(texts: list[str]) -> dict[str, list]:
-            out: dict[str, list] = {"buckets": [], "counts": [], "cut_buckets": [], "cut_counts": []}
+            out: dict[str, list] = {"buckets": [], "shares": [], "cut_buckets": [], "cut_shares": []}
             for t in texts:
                 begin = max(0, len(t) - CUT) // 2
                 for prefix, part in (("", t), ("cut_", t[begin : begin + CUT])):
                     found, n = np.unique(subwords([part])[0], return_counts=True)
-                    out[prefix + "buckets"].append(found[found < BUCKETS])
-                    out[prefix + "counts"].append(n[found < BUCKETS].astype(np.int32))
+                    found, n = found[found < BUCKETS], n[found < BUCKETS]
+                    out[prefix + "buckets"].append(found.astype(np.int16))
+                    out[prefix + "shares"].append((n / max(1, n.sum())).astype(np.float32))
             return out
 
         return run
 
     chosen_docs = usable.join(F.broadcast(last), ["lang", "part"]).filter("key <= last").select("doc_id", "lang", "text")
-    return map_texts(chosen_docs, ["doc_id", "lang"], "buckets array<int>, counts array<int>, cut_buckets array<int>, cut_counts array<int>", start)
+    return map_texts(chosen_docs, ["doc_id", "lang"], "buckets array<smallint>, shares array<float>, cut_buckets array<smallint>, cut_shares array<float>", start)
 
 
 @dataclass
 class _Rows:
-    """Bucket shares of texts, one after the other."""
+    """Bucket shares of texts: those of a text lie together, the texts in any order."""
 
     starts: np.ndarray
+    ends: np.ndarray
     buckets: np.ndarray
     shares: np.ndarray
 
     @classmethod
-    def of(cls, buckets: pa.Array, counts: pa.Array) -> _Rows:
-        starts, values = buckets.offsets.to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.float32)
-        starts = starts - starts[0]
-        total = np.add.reduceat(np.append(values, 0), starts[:-1]) * (np.diff(starts) > 0)
-        return cls(starts, buckets.flatten().to_numpy(), values / np.repeat(np.maximum(total, 1), np.diff(starts)))
+    def of(cls, buckets: pa.Array, shares: pa.Array, order: np.ndarray) -> _Rows:
+        """The texts ``order`` of the columns, whose numbers are read where they are."""
+        borders = buckets.offsets.to_numpy().astype(np.int64)
+        borders = borders - borders[0]
+        return cls(borders[:-1][order], borders[1:][order], buckets.flatten().to_numpy(), shares.flatten().to_numpy())
 
     def dense(self, at: np.ndarray) -> np.ndarray:
         x = np.zeros((len(at), BUCKETS), np.float32)
         for i, row in enumerate(at):
-            part = slice(self.starts[row], self.starts[row + 1])
+            part = slice(self.starts[row], self.ends[row])
             x[i, self.buckets[part]] = self.shares[part]
         return x
 
@@ -214,13 +216,14 @@ def fit(docs: DataFrame, held_out: Column, seed: int = 7) -> Model:
     nothing to leave out, and only the log-odds of rightly told rows bound the rejection.
     """
     rows = learning_rows(docs.select("doc_id", "lang", "text"), held_out).toArrow()  # numbers stay in arrays
-    order = sorted(range(rows.num_rows), key=list(zip(map(str, rows["doc_id"].to_pylist()), rows["lang"].to_pylist())).__getitem__)
-    rows = rows.take(pa.array(order, pa.int64()))
     found = rows["lang"].to_pylist()
+    by_id = sorted(range(rows.num_rows), key=list(zip(map(str, rows["doc_id"].to_pylist()), found)).__getitem__)
+    found = [found[i] for i in by_id]
     languages = sorted(set(found))
     if not found:
         return Model([], np.zeros((BUCKETS + 1, 1)), np.zeros(0), 1.0, 0.0)
-    whole, cut = (_Rows.of(*(rows[f"{p}{c}"].combine_chunks() for c in ("buckets", "counts"))) for p in ("", "cut_"))
+    whole, cut = (_Rows.of(*(rows[f"{p}{c}"].combine_chunks() for c in ("buckets", "shares")), np.array(by_id)) for p in ("", "cut_"))
+    del rows
     y = np.array([languages.index(f) for f in found])
     order = np.random.default_rng(seed).permutation(len(y))
     calibrating, training = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)

@@ -8,6 +8,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -212,6 +213,25 @@ def test_language_id_buckets_by_hand():
     assert sorted(grams[grams < language_id.BUCKETS].tolist()) == sorted(want)
 
 
+def test_language_id_learning_rows_are_not_copied(table, prose):
+    rows = [(i, prose(i, 40), "en", None) for i in range(6)]
+    made = language_id.learning_rows(table(rows).select("doc_id", "lang", "text"), F.lit(False)).toArrow()
+    order = sorted(range(6), key=made["doc_id"].to_pylist().__getitem__)
+    buckets, shares = (made[c].combine_chunks() for c in ("buckets", "shares"))
+    dense = language_id._Rows.of(buckets, shares, np.array(order)).dense(np.arange(6))
+    for i, text, _, _ in rows:
+        grams = language_id.subwords([text])[0]
+        counts = np.bincount(grams[grams < language_id.BUCKETS], minlength=language_id.BUCKETS)
+        assert np.array_equal(dense[i], (counts / counts.sum()).astype(np.float32))
+    borders = pa.array(np.arange(0, 2_000_001, 1000), pa.int32())
+    large = [pa.ListArray.from_arrays(borders, pa.array(np.ones(2_000_000, kind))) for kind in (np.int16, np.float32)]
+    tracemalloc.start()
+    language_id._Rows.of(*large, np.arange(2000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
+
+
 def test_language_id_without_labels(table, prose):
     model = language_id.fit(table([(1, prose(1), None, "s")]), F.lit(False))
     assert [r.lang_pred for r in language_id.identify(table([(1, prose(1), None, "s")]), model, ["doc_id"]).collect()] == ["und"]
