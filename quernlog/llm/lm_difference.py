@@ -6,8 +6,9 @@ word under the target model less that under the background model: the lower, the
 
 A model that has seen a document knows it too well, so each half of the documents is scored by the models counted on the
 other half.  Counts cover all documents, all words and all bigrams; words and bigrams are named by 64-bit hashes.  They
-stay a Spark table: the losses of a document are summed up over a join with it.  Only the most frequent words and bigrams
-go to the tasks as arrays, which gives the same sums and keeps hot keys out of the join.
+stay a Spark table, grouped by ranges of the hashes.  A chunk of documents asks each range once for the words and bigrams
+that it holds, whatever their number in the chunk, and gets their counts back.  Hashes and counts travel as sorted arrays
+of a range, about 6 bytes for each, not as rows of 20 bytes and more.
 
 The loss of a word x after v is -log((c(v, x) + W u(x)) / (c(v) + W)), taken as -log(W u(x)), plus log(c(v) + W), less
 log(1 + c(v, x) / (W u(x))).  So a bigram that one half alone has seen changes nothing and its count can go.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +29,13 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quernlog.llm.arrow import slices
 from quernlog.llm.native import Scratch, text_of
+from quernlog.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from quernlog.llm.textarrays import code_points, lower_ascii, mix64, prefix_sums, span_hashes, word_spans
 
-#: Words and bigrams that go to the tasks as arrays; a matter of speed alone.
-FREQUENT = 200_000
+#: Bytes of text for each range of the hashes, and of a chunk of documents scored together; matters of memory and speed alone.
+RANGE, CHUNK = 16_000_000, 8_000_000
+#: Most bits of the filter of target documents; where there are more than a sixteenth as many, more texts are moved in vain.
+FILTER_BITS = 1 << 26
 #: Words counted in a task before their counts go out.
 HELD = 2_000_000
 #: Weight of the unigram model in words seen, and of the uniform model in the unigram one.
@@ -39,7 +44,13 @@ UNIGRAM_WEIGHT, UNIFORM_WEIGHT = 8.0, 1.0
 BEGIN = np.uint64(0x5851F42D4C957F2D)
 #: By half, then target and all documents.
 COUNTS = ["c0", "c1", "c2", "c3"]
-WORD_COUNTS = ["w0", "w1", "w2", "w3"]
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_BLOCKS = "part int, pair boolean, keys binary, " + ", ".join(f"{c} binary" for c in COUNTS)
+_TABLE = _BLOCKS + ", words long, " + ", ".join(f"n{i} long" for i in range(4))
+_ASKING = "chunk int, part int, pair boolean, keys binary"
+_ANSWERS = "chunk int, part int, pair boolean, found binary, target binary, background binary"
+#: Frees the files of the exchanges of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +75,6 @@ def half(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(2)).cast("int")
 
 
-def _sums(keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys, in order of the first, and the column sums of ``values`` for each."""
-    order = np.lexsort(keys[::-1])
-    keys = tuple(k[order] for k in keys)
-    starts = np.flatnonzero(np.any([np.diff(k, prepend=~k[:1]) != 0 for k in keys], axis=0))
-    return [k[starts] for k in keys], np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
-
-
 def _tallied(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Counts of the held words, pairs and kinds, which are given free: only sorted copies and runs are in memory."""
     word, pair, kind = (np.concatenate(x) for x in zip(*held))
@@ -102,13 +105,91 @@ def _tallied(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[
         yield pa.RecordBatch.from_arrays(arrays, ["word", "pair", *COUNTS])
 
 
-def _counted(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(word, pair, c0 .. c3) of all words, with pair 0, and of the bigrams seen by both halves; BEGIN counts texts."""
+def _pieces(docs: DataFrame, size: int) -> int:
+    """How many pieces of ``size`` bytes the texts make, at least 1."""
+    return 1 + (docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0) // size
+
+
+def _rows(made: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*made) if made else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[kind]) for x, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def _ranges(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The ranges of the hashes that occur in sorted ``keys``, with their place there."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield int(part[start]), slice(start, end)
+
+
+def _packed_counts(tallied: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple]:
+    """(part, pair, keys, c0 .. c3) of the counts of a task, words and bigrams apart."""
+    parts_of = []
+    for b in tallied:
+        word, pair, *counts = (c.to_numpy() for c in b.columns)
+        parts_of.append((np.where(pair == 0, word, pair).view(np.uint64), pair != 0, *(c.astype(np.int32) for c in counts)))
+    if not parts_of:
+        return
+    keys, pairs, *counts = (np.concatenate(x) for x in zip(*parts_of))
+    parts_of.clear()
+    for kind in (False, True):
+        order = np.flatnonzero(pairs == kind)
+        order = order[np.argsort(keys[order])]
+        mine = keys[order]
+        for part, at in _ranges(mine, parts):
+            yield part, kind, pack_sorted(mine[at]), *(pack(c[order[at]]) for c in counts)
+
+
+def _merged(key: tuple, group: pa.Table) -> pa.Table:
+    """Sums of the counts of a range; of bigrams those seen by both halves."""
+    pair = key[1].as_py()
+    keys = np.concatenate([unpack_sorted(x.as_py()) for x in group.column("keys")])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys = keys[starts]
+    sums = [np.add.reduceat(np.concatenate([unpack(x.as_py()) for x in group.column(c)])[order], starts) for c in COUNTS]
+    if pair:
+        both = (sums[1] > 0) & (sums[3] > 0)
+        keys, sums = keys[both], [x[both] for x in sums]
+    real = (keys != BEGIN) & (not pair)
+    row = (key[0].as_py(), pair, pack_sorted(keys), *map(pack, sums), int(real.sum()), *(int(x[real].sum()) for x in sums))
+    return pa.Table.from_batches([_rows([row], _TABLE)])
+
+
+def _filter(docs: DataFrame, target: DataFrame) -> Column:
+    """False only for documents that are none of ``target``: a bit for the hash of each of those."""
+    kind = docs.schema["doc_id"].dataType
+    if kind != target.schema["doc_id"].dataType:
+        return F.lit(True)
+    bits = min(FILTER_BITS, 1 << max(15, (16 * target.count()).bit_length()))
+    place = 1 + F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bucket, bit = F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place)
+    maps = target.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    seen = np.zeros((max(1, bits >> 15), 4096), np.uint8)
+    for r in maps.toLocalIterator():
+        seen[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(seen.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def maybe(place: pd.Series) -> pd.Series:
+        at = place.to_numpy() - 1
+        return pd.Series(shared.value[at >> 3] >> (at & 7) & 1 == 1)
+
+    return maybe(place)
+
+
+def _counted(docs: DataFrame, target: DataFrame, parts: int) -> DataFrame:
+    """Counts of all words and of the bigrams seen by both halves, a row for each range of their hashes; BEGIN counts texts."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     marks = target.select("doc_id").distinct().withColumn("wanted", F.lit(1))
-    marked = (
-        docs.select("doc_id", text_of().alias("text"), F.coalesce(half(), F.lit(0)).alias("half"))
-        .join(marks, "doc_id", "left").select("text", (F.col("half") * 2 + F.coalesce("wanted", F.lit(0))).alias("kind"))
+    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(half(), F.lit(0)).alias("half"))
+    rows = rows.withColumn("maybe", _filter(docs, target))
+    # texts move to their mark only where there may be one
+    marked = rows.filter("not maybe").select("text", (F.col("half") * 2).alias("kind")).unionByName(
+        rows.filter("maybe").join(marks, "doc_id", "left").select("text", (F.col("half") * 2 + F.coalesce("wanted", F.lit(0))).alias("kind"))
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,71 +203,101 @@ def _counted(docs: DataFrame, target: DataFrame) -> DataFrame:
                 held += [(words, pairs, kinds), (words, none, kinds), (np.full(first.sum(), BEGIN), none[first], kinds[first])]
                 n += 2 * len(words)
                 if n >= HELD:
-                    yield from _tallied(held)
+                    yield from sent(held)
                     n = 0
         if held:
-            yield from _tallied(held)
+            yield from sent(held)
 
-    each = marked.mapInArrow(work, "word long, pair long, " + ", ".join(f"{c} long" for c in COUNTS))
-    found = each.groupBy("word", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return found.filter((F.col("pair") == 0) | ((F.col("c1") > 0) & (F.col("c3") > 0)))
+    def sent(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        made = list(_packed_counts(_tallied(held), parts))
+        if made:
+            yield _rows(made, _BLOCKS)
+
+    return marked.mapInArrow(work, _BLOCKS).groupBy("part", "pair").applyInArrow(_merged, _TABLE)
 
 
 @dataclass
 class Models:
-    """Counts by key, a word or a bigram: w0 .. w3 of the word, c0 .. c3 of the bigram, null for words themselves."""
+    """Counts by range of the hashes, words and bigrams apart."""
 
     table: DataFrame
-    keys: np.ndarray  # the most frequent keys in rising order
-    uses: np.ndarray  # 2 halves of the reader x 2 models x keys: loss of a use as a word or bigram
-    before: np.ndarray  # the same of a use as the word before
+    parts: int  # ranges
     scale: np.ndarray  # of counts, by half and model
     total: np.ndarray  # scaled words, by half and model
     begin: int  # distinct words and an unknown one
 
 
-def _loss(scale: float, total: float, begin: int, word: Column, pair: Column) -> tuple[Column, Column]:
-    """Loss of a use as a word or bigram, and of one as the word before."""
-    unigram = UNIGRAM_WEIGHT * (word * scale + UNIFORM_WEIGHT / begin) / (total + UNIFORM_WEIGHT)
-    use = F.when(pair.isNull(), -F.log(unigram)).otherwise(-F.log1p(pair * scale / unigram))
-    return use, F.when(pair.isNull(), F.log(word * scale + UNIGRAM_WEIGHT)).otherwise(0.0)
-
-
-def _losses(models: Models, h: int, m: int) -> tuple[Column, Column]:
-    """Those of model ``m`` for a reader of half ``h``: counts of the other half."""
-    i = 2 * (1 - h) + m
-    return _loss(float(models.scale[1 - h, m]), float(models.total[1 - h, m]), models.begin, F.col(f"w{i}"), F.col(f"c{i}"))
-
-
 def fit(docs: DataFrame, target: DataFrame) -> Models:
     """Counts all of ``docs`` for the background and those whose doc_id is in ``target`` for the target."""
     spark = docs.sparkSession
-    first, second = Scratch(spark), Scratch(spark)
-    counted = first.stored(_counted(docs, target))
-    begin = int(BEGIN.astype(np.int64))
-    words = counted.filter("pair = 0").select("word", *[F.col(c).alias(w) for c, w in zip(COUNTS, WORD_COUNTS)])
-    sums = words.filter(F.col("word") != begin).agg(F.count("*"), *[F.coalesce(F.sum(w), F.lit(0)) for w in WORD_COUNTS]).first()
+    parts = _pieces(docs, RANGE)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        table = Scratch(spark).stored(_counted(docs, target, parts))
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n0", "n1", "n2", "n3")]).first()
     sizes = np.array(sums[1:], float).reshape(2, 2)
     scale = np.stack((np.ones(2), sizes[:, 0] / np.maximum(1.0, sizes[:, 1])), axis=1)
-    pairs = counted.filter("pair <> 0")
-    # words with many bigrams are few and meet them without an exchange
-    hot = F.broadcast(words.orderBy(F.desc(F.col("w1") + F.col("w3")), "word").limit(10_000))
-    rest = pairs.join(hot.select("word"), "word", "left_anti").join(words, "word")
-    columns = [F.col("pair").alias("key"), *WORD_COUNTS, *COUNTS]
-    own = words.select(F.col("word").alias("key"), *WORD_COUNTS, *[F.lit(None).cast("long").alias(c) for c in COUNTS])
-    table = second.stored(own.unionByName(pairs.join(hot, "word").select(columns)).unionByName(rest.select(columns)))
-    first.clear()
-    models = Models(table, np.zeros(0), np.zeros(0), np.zeros(0), scale, sizes * scale, sums[0] + 1)
-    often = F.coalesce(F.col("c1") + F.col("c3"), F.col("w1") + F.col("w3"))
-    losses = [c.alias(f"l{h}{m}{i}") for h in range(2) for m in range(2) for i, c in enumerate(_losses(models, h, m))]
-    top = table.orderBy(F.desc(often), "key").limit(FREQUENT).select("key", *losses).toArrow()
-    keys = top.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    models.keys = keys[order]
-    models.uses, models.before = (
-        np.array([[top.column(f"l{h}{m}{i}").to_numpy()[order] for m in range(2)] for h in range(2)]) for i in range(2)
-    )
-    return models
+    return Models(table, parts, scale, sizes * scale, sums[0] + 1)
+
+
+def _asked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, BEGIN among them, and distinct bigrams of the texts, in order."""
+    words, pairs = [np.full(1, BEGIN)], [np.zeros(0, np.uint64)]
+    for batch in group.to_batches():
+        for part in slices(batch):
+            found = _tokens(part.column("text").to_pylist())
+            words.append(np.unique(found[0]))
+            pairs.append(np.unique(found[1]))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
+
+def _answered(asked: pa.Table, held: pa.Table) -> Iterator[tuple]:
+    """(chunk, part, pair, found, target, background) for each chunk that asks: counts of the other half, of the keys found."""
+    if not held.num_rows or not asked.num_rows:
+        return  # words that the models lack give no loss, nor do their bigrams
+    keys, *counts = (unpack_sorted(held.column("keys")[0].as_py()), *(unpack(held.column(c)[0].as_py()) for c in COUNTS))
+    for chunk, part, pair, wanted in zip(*(asked.column(c).to_pylist() for c in ("chunk", "part", "pair", "keys"))):
+        wanted = unpack_sorted(wanted)
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        other = 2 * (1 - chunk % 2)
+        yield chunk, part, pair, pack(np.packbits(found)), *(pack(counts[other + m][at[found]]) for m in range(2))
+
+
+def _losses(models: tuple, chunk: int, group: pa.Table, answers: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+    """Slices of the documents with the number of words and both losses of each."""
+    parts, scale, total, begin = models
+    other = 1 - chunk % 2
+    keys = _asked(group)
+    places = [dict(_ranges(k, parts)) for k in keys]
+    known = np.zeros(len(keys[0]), bool)
+    counts = [[np.zeros(len(k)) for _ in range(2)] for k in keys]
+    for part, pair, found, *given in zip(*(answers.column(c).to_pylist() for c in ("part", "pair", "found", "target", "background"))):
+        at = places[pair][part]
+        hits = at.start + np.flatnonzero(np.unpackbits(unpack(found).astype(np.uint8), count=at.stop - at.start))
+        for m in range(2):
+            counts[pair][m][hits] = unpack(given[m])
+        if not pair:
+            known[hits] = True
+    unigram = [
+        UNIGRAM_WEIGHT * (counts[0][m] * scale[other, m] + UNIFORM_WEIGHT / begin) / (total[other, m] + UNIFORM_WEIGHT) for m in range(2)
+    ]
+    use = [np.where(known, -np.log(u), 0.0) for u in unigram]
+    before = [np.where(known, np.log(counts[0][m] * scale[other, m] + UNIGRAM_WEIGHT), 0.0) for m in range(2)]
+    start = np.searchsorted(keys[0], BEGIN)
+    for batch in group.to_batches():
+        for part in slices(batch):
+            words, pairs, first, owner = _tokens(part.column("text").to_pylist())
+            x, both = np.searchsorted(keys[0], words), np.searchsorted(keys[1], pairs)
+            v = np.where(first, start, np.roll(x, 1)) if len(x) else x
+            sums = [
+                np.bincount(owner, use[m][x] + before[m][v] - np.log1p(counts[1][m][both] * scale[other, m] / unigram[m][x]), part.num_rows)
+                for m in range(2)
+            ]
+            yield part, np.bincount(owner, minlength=part.num_rows), sums
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -197,63 +308,36 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     counts to the first half.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    # of a fixed size; all other keys meet the table of the counts
-    shared = docs.sparkSession.sparkContext.broadcast((models.keys, models.uses, models.before))
+    chunks = _pieces(docs, 2 * CHUNK)
+    # chunks hold one half; rows that share doc_id and text are spread by where they stand in the input
+    place = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(half(), F.lit(0)).alias("half"))
-    # rows that share a doc_id are told apart by their text; equal rows are summed up and divided
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    made = "key long, uses long, before long, n_words long, loss0 double, loss1 double"
-    out = StructType([*rows.select("doc_id", "mark", "half").schema.fields, *_parse_datatype_string(made).fields])
+    # both steps read this exchange of the texts
+    rows = rows.select("doc_id", "text", (place * 2 + F.col("half")).alias("chunk")).repartition("chunk")
+    parts, numbers = models.parts, (models.parts, models.scale, models.total, models.begin)
+
+    made = "n_words long, target_loss double, background_loss double, score double"
+    out = StructType([*rows.select("doc_id").schema.fields, *_parse_datatype_string(made).fields])
     arrow = to_arrow_schema(out)
 
-    def one(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, halves = part.column("text").to_pylist(), part.column("half").to_numpy().astype(np.int64)
-        words, pairs, first, owner = _tokens(texts)
-        n, zero, one = len(words), np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
-        last = np.append(first[1:], True)[:n]
-        key = np.concatenate((words, pairs, np.full(first.sum(), BEGIN)))
-        owners = np.concatenate((owner, owner, owner[first]))
-        uses = np.concatenate((one, one, zero[first]))
-        before = np.concatenate((1 - last, zero, one[first]))
-        keys, use, as_before = shared.value
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        mine, place = owners[known], at[known]
-        losses = [
-            np.bincount(mine, uses[known] * use[halves[mine], m, place] + before[known] * as_before[halves[mine], m, place], len(texts))
-            for m in range(2)
+    def ask(key: tuple, group: pa.Table) -> pa.Table:
+        made = [
+            (key[0].as_py(), part, pair, pack_sorted(keys[at]))
+            for pair, keys in zip((False, True), _asked(group.select(["text"]))) for part, at in _ranges(keys, parts)
         ]
-        (owners, key), sums = _sums((owners[~known], key[~known]), np.stack((uses[~known], before[~known]), axis=1))
-        owners = np.concatenate((np.arange(len(texts)), owners))
-        # rows of the documents themselves: keys that match nothing and are spread evenly
-        key = np.concatenate((part.column("mark").to_numpy(), key.view(np.int64)))
-        further = len(key) - len(texts)
-        given = np.concatenate((np.zeros(len(texts), bool), np.ones(further, bool)))
-        fill = lambda x: pa.array(np.concatenate((x, np.zeros(further, x.dtype))), mask=given)
-        sums = np.concatenate((np.zeros((len(texts), 2), np.int64), sums))
-        taken = [part.column(c).take(pa.array(owners)) for c in ("doc_id", "mark", "half")]
-        columns = [*taken, pa.array(key), pa.array(sums[:, 0]), pa.array(sums[:, 1]), fill(np.bincount(owner, minlength=len(texts)))]
-        columns += [fill(x) for x in losses]
-        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                yield from one(part)
-
-    joined = rows.mapInArrow(work, out).join(models.table, "key", "left")
-
-    def loss(m: int) -> Column:
-        each = [use * F.col("uses") + before * F.col("before") for use, before in (_losses(models, h, m) for h in range(2))]
-        met = F.when(F.col("w0").isNull() | F.col("n_words").isNotNull(), 0.0).when(F.col("half") == 0, each[0]).otherwise(each[1])
-        return F.sum(met + F.coalesce(F.col(f"loss{m}"), F.lit(0.0)))
-
-    found = joined.groupBy("doc_id", "mark").agg(
-        F.count("n_words").alias("copies"), F.sum("n_words").alias("n"), loss(0).alias("loss0"), loss(1).alias("loss1")
-    )
-    each = found.select(
-        "doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_words"),
-        *[(F.col(f"loss{m}") / F.greatest(F.col("n"), F.lit(1))).alias(name) for m, name in enumerate(("target_loss", "background_loss"))],
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    )
-    return each.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+        return pa.Table.from_batches([_rows(made, _ASKING)])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rows(list(_answered(asked, held)), _ANSWERS)])
+
+    def lose(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for part, n, (target, background) in _losses(numbers, key[0].as_py(), group, answers):
+            target, background = (x / np.maximum(n, 1) for x in (target, background))
+            columns = [part.column("doc_id"), *map(pa.array, (n, target, background, target - background))]
+            made.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
+        return pa.Table.from_batches(made, arrow)
+
+    asked = rows.groupBy("chunk").applyInArrow(ask, _ASKING)
+    answers = asked.groupBy("part", "pair").cogroup(models.table.groupBy("part", "pair")).applyInArrow(answer, _ANSWERS)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lose, out)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quernlog.llm import bpe_chunks, language_id, lm_difference, rule_ensemble, rule_ledger, textarrays, unigram_counts
+from quernlog.llm import bpe_chunks, language_id, lm_difference, packed, rule_ensemble, rule_ledger, textarrays, unigram_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -369,6 +369,52 @@ def test_lm_counts_in_little_memory():
     assert peak < 160_000_000
 
 
+def test_packed_numbers():
+    r = np.random.default_rng(3)
+    for x in (np.zeros(0, np.int64), np.zeros(5, np.int64), np.array([0, 255, 256, 1 << 40, (1 << 63) - 1]), r.integers(0, 9, 1000).astype(np.int32)):
+        assert packed.unpack(packed.pack(x)).tolist() == x.tolist()
+    keys = np.unique(np.append(r.integers(0, 1 << 64, 5000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+    assert packed.unpack_sorted(packed.pack_sorted(keys)).tolist() == keys.tolist()
+    assert packed.unpack_sorted(packed.pack_sorted(keys[:0])).tolist() == []
+
+
+def test_lm_counts_go_out_in_few_bytes():
+    """A row for each bigram took 24 bytes, more than the input's budget of disk."""
+    r = np.random.default_rng(8)
+    word, pair = (r.integers(1, 1 << 64, 300_000, np.uint64) for _ in range(2))
+    kinds = r.integers(0, 4, 300_000).astype(np.int8)
+    held = [(word, pair, kinds), (word, np.zeros(300_000, np.uint64), kinds)]
+    rows = list(lm_difference._packed_counts(lm_difference._tallied(held), 7))
+    assert {x[:2] for x in rows} == {(part, kind) for part in range(7) for kind in (False, True)}
+    for kind, keys in ((False, word), (True, pair)):
+        mine = [x for x in rows if x[1] == kind]
+        assert np.array_equal(np.concatenate([packed.unpack_sorted(x[2]) for x in mine]), np.sort(keys))
+        assert [sum(int(packed.unpack(x[3 + i]).sum()) for x in mine) for i in range(4)] == [(kinds == 1).sum(), (kinds <= 1).sum(), (kinds == 3).sum(), (kinds >= 2).sum()]
+    assert sum(len(b) for x in rows for b in x[2:]) < 9 * 600_000
+
+
+def test_lm_ranges_chunks_and_filter_change_nothing(spark, table, prose, monkeypatch):
+    rows = [(i, prose(i % 9, 40), None, None) for i in range(40)] + [(None, "a b", None, None), (3, prose(3, 40), None, None), (3, "x y x", None, None)]
+    want = spark.createDataFrame([(i,) for i in (*range(0, 40, 3), 3, 99, None)], "doc_id long")
+
+    def run(target):
+        out = lm_difference.score(table(rows), lm_difference.fit(table(rows), target)).collect()
+        return sorted((r.doc_id or -1, r.n_words, round(r.target_loss, 9), round(r.background_loss, 9), round(r.score, 9)) for r in out)
+
+    plain = run(want)
+    assert len(plain) == len(rows) and plain == run(want.selectExpr("cast(doc_id as int) doc_id"))
+    monkeypatch.setattr(lm_difference, "RANGE", 300)
+    monkeypatch.setattr(lm_difference, "CHUNK", 500)
+    monkeypatch.setattr(lm_difference, "FILTER_BITS", 8)
+    assert plain == run(want)
+
+
+def test_lm_texts_move_only_to_possible_marks(spark, table):
+    docs, want = table([(i, "a", None, None) for i in range(4000)]), spark.createDataFrame([(i,) for i in range(0, 4000, 40)], "doc_id long")
+    passed = {r.doc_id for r in docs.filter(lm_difference._filter(docs, want)).select("doc_id").collect()}
+    assert passed >= set(range(0, 4000, 40)) and len(passed) < 600
+
+
 def test_lm_difference_on_odd_rows(spark, table, odd_rows):
     nothing = spark.createDataFrame([], "doc_id long")
     out = lm_difference.score(table(odd_rows), lm_difference.fit(table(odd_rows), nothing)).collect()
