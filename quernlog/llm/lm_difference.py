@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from quernlog.llm.arrow import slices
 from quernlog.llm.native import Scratch, text_of
 from quernlog.llm.packed import pack, pack_sorted, unpack, unpack_sorted
-from quernlog.llm.textarrays import code_points, lower_ascii, mix64, prefix_sums, span_hashes, word_spans
+from quernlog.llm.textarrays import begins, byte_words, distinct, mix64, numbered
 
 #: Bytes of text for each range of the hashes, and of a chunk of documents scored together; matters of memory and speed alone.
 RANGE, CHUNK = 16_000_000, 8_000_000
@@ -53,22 +53,14 @@ _ANSWERS = "chunk int, part int, pair boolean, found binary, target binary, back
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and the number of the text of each."""
-    points = lower_ascii(code_points("\n".join(texts)))
-    starts, ends = word_spans(points)
-    borders = np.cumsum([len(t) + 1 for t in texts])
-    return span_hashes(prefix_sums(points), starts, ends), np.searchsorted(borders, starts, side="right")
-
-
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, bigrams of each with the word before it, where a text begins, and the text of each word."""
-    words, owner = batch_words(texts)
-    first = np.diff(owner, prepend=-1) != 0
-    before = np.concatenate((np.full(1, BEGIN), words[:-1])) if len(words) else words
-    before = np.where(first, BEGIN, before)
+    words, sizes = byte_words(texts.cast(pa.binary()).to_pylist())
+    first = np.zeros(len(words), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.where(first, BEGIN, np.roll(words, 1))
     pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(words))
-    return words, np.maximum(pairs, np.uint64(1)), first, owner
+    return words, np.maximum(pairs, np.uint64(1)), first, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def half(column: str = "doc_id") -> Column:
@@ -76,32 +68,36 @@ def half(column: str = "doc_id") -> Column:
 
 
 def _tallied(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Counts of the held words, pairs and kinds, which are given free: only sorted copies and runs are in memory."""
+    """Counts of the held words, then of the bigrams, each in order of their hashes.
+
+    What is held is given free: only sorted copies and runs are in memory.
+    """
     word, pair, kind = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    if not len(word):
-        return
-    order = np.lexsort((kind, pair, word))
+    parts = [tuple(x[mine] for x in (word, pair, kind)) for mine in (pair == 0, pair != 0)]
+    del word, pair, kind
+    while parts:
+        yield from _runs(*parts.pop(0))
+
+
+def _runs(word: np.ndarray, pair: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of words alone or of bigrams alone, by word and pair."""
+    bigrams = pair.any()
+    order = np.argsort(pair if bigrams else word)
     word, pair, kind = word[order], pair[order], kind[order]
+    if bigrams and (begins(word) & ~begins(pair)).any():  # words that share the hash of a bigram
+        order = np.lexsort((word, pair))
+        word, pair, kind = word[order], pair[order], kind[order]
     del order
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])
-    run = new.copy()
-    run[1:] |= kind[1:] != kind[:-1]
-    at = np.flatnonzero(run)
-    kind, key = kind[at], np.cumsum(new[at], dtype=np.int32) - 1
-    n = np.diff(at, append=len(word)).astype(np.int32)
-    del at, run
+    new = begins(word) | begins(pair)
+    key = np.cumsum(new, dtype=np.int32) - 1
     word, pair = word[new], pair[new]
-    seen = np.zeros((4, len(word)), np.int32)
-    for k in range(4):
-        mine = kind == k
-        seen[k // 2 * 2 + 1, key[mine]] += n[mine]
-        if k % 2 == 1:
-            seen[k // 2 * 2, key[mine]] = n[mine]
+    n = np.bincount(4 * key + kind, minlength=4 * len(word)).reshape(-1, 4)
+    del key, new
+    seen = n[:, 1], n[:, 0] + n[:, 1], n[:, 3], n[:, 2] + n[:, 3]
     for i in range(0, len(word), 100_000):
         part = slice(i, i + 100_000)
-        arrays = [pa.array(word[part].view(np.int64)), pa.array(pair[part].view(np.int64)), *(pa.array(c[part].astype(np.int64)) for c in seen)]
+        arrays = [pa.array(x[part].astype(np.int64)) for x in (word, pair, *seen)]
         yield pa.RecordBatch.from_arrays(arrays, ["word", "pair", *COUNTS])
 
 
@@ -125,7 +121,7 @@ def _ranges(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
 
 
 def _packed_counts(tallied: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple]:
-    """(part, pair, keys, c0 .. c3) of the counts of a task, words and bigrams apart."""
+    """(part, pair, keys, c0 .. c3) of the counts of a task, which are in order; words and bigrams apart."""
     parts_of = []
     for b in tallied:
         word, pair, *counts = (c.to_numpy() for c in b.columns)
@@ -135,20 +131,18 @@ def _packed_counts(tallied: Iterator[pa.RecordBatch], parts: int) -> Iterator[tu
     keys, pairs, *counts = (np.concatenate(x) for x in zip(*parts_of))
     parts_of.clear()
     for kind in (False, True):
-        order = np.flatnonzero(pairs == kind)
-        order = order[np.argsort(keys[order])]
-        mine = keys[order]
+        mine, *n = (x[pairs == kind] for x in (keys, *counts))
         for part, at in _ranges(mine, parts):
-            yield part, kind, pack_sorted(mine[at]), *(pack(c[order[at]]) for c in counts)
+            yield part, kind, pack_sorted(mine[at]), *(pack(c[at]) for c in n)
 
 
 def _merged(key: tuple, group: pa.Table) -> pa.Table:
     """Sums of the counts of a range; of bigrams those seen by both halves."""
     pair = key[1].as_py()
     keys = np.concatenate([unpack_sorted(x.as_py()) for x in group.column("keys")])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    starts = np.flatnonzero(begins(keys))
     keys = keys[starts]
     sums = [np.add.reduceat(np.concatenate([unpack(x.as_py()) for x in group.column(c)])[order], starts) for c in COUNTS]
     if pair:
@@ -197,7 +191,7 @@ def _counted(docs: DataFrame, target: DataFrame, parts: int) -> DataFrame:
         n = 0
         for batch in batches:
             for part in slices(batch):
-                words, pairs, first, owner = _tokens(part.column("text").to_pylist())
+                words, pairs, first, owner = _tokens(part.column("text"))
                 kinds = part.column("kind").to_numpy().astype(np.int8)[owner]
                 none = np.zeros(len(words), np.uint64)
                 held += [(words, pairs, kinds), (words, none, kinds), (np.full(first.sum(), BEGIN), none[first], kinds[first])]
@@ -243,15 +237,21 @@ def fit(docs: DataFrame, target: DataFrame) -> Models:
     return Models(table, parts, scale, sizes * scale, sums[0] + 1)
 
 
-def _asked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, BEGIN among them, and distinct bigrams of the texts, in order."""
-    words, pairs = [np.full(1, BEGIN)], [np.zeros(0, np.uint64)]
+def _read(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, bigrams, where a text begins and the row of each word, of all texts; read in slices, so that little else is held."""
+    read, rows = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))], 0
     for batch in group.to_batches():
         for part in slices(batch):
-            found = _tokens(part.column("text").to_pylist())
-            words.append(np.unique(found[0]))
-            pairs.append(np.unique(found[1]))
-    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+            words, pairs, first, owner = _tokens(part.column("text"))
+            read.append((words, pairs, first, owner + rows))
+            rows += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*read))
+
+
+def _asked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, BEGIN among them, and distinct bigrams of the texts, in order."""
+    words, pairs, _, _ = _read(group)
+    return distinct(np.append(words, BEGIN)), distinct(pairs)
 
 
 def _answered(asked: pa.Table, held: pa.Table) -> Iterator[tuple]:
@@ -267,11 +267,15 @@ def _answered(asked: pa.Table, held: pa.Table) -> Iterator[tuple]:
         yield chunk, part, pair, pack(np.packbits(found)), *(pack(counts[other + m][at[found]]) for m in range(2))
 
 
-def _losses(models: tuple, chunk: int, group: pa.Table, answers: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
-    """Slices of the documents with the number of words and both losses of each."""
+def _losses(models: tuple, chunk: int, group: pa.Table, answers: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of words and both losses of each document."""
     parts, scale, total, begin = models
     other = 1 - chunk % 2
-    keys = _asked(group)
+    words, pairs, first, owner = _read(group)
+    keys, found_at = zip(numbered(np.append(words, BEGIN)), numbered(pairs))
+    del words, pairs
+    (x, start), both = np.split(found_at[0], [-1]), found_at[1]
+    v = np.where(first, start, np.roll(x, 1))
     places = [dict(_ranges(k, parts)) for k in keys]
     known = np.zeros(len(keys[0]), bool)
     counts = [[np.zeros(len(k)) for _ in range(2)] for k in keys]
@@ -282,22 +286,17 @@ def _losses(models: tuple, chunk: int, group: pa.Table, answers: pa.Table) -> It
             counts[pair][m][hits] = unpack(given[m])
         if not pair:
             known[hits] = True
-    unigram = [
-        UNIGRAM_WEIGHT * (counts[0][m] * scale[other, m] + UNIFORM_WEIGHT / begin) / (total[other, m] + UNIFORM_WEIGHT) for m in range(2)
-    ]
-    use = [np.where(known, -np.log(u), 0.0) for u in unigram]
-    before = [np.where(known, np.log(counts[0][m] * scale[other, m] + UNIGRAM_WEIGHT), 0.0) for m in range(2)]
-    start = np.searchsorted(keys[0], BEGIN)
-    for batch in group.to_batches():
-        for part in slices(batch):
-            words, pairs, first, owner = _tokens(part.column("text").to_pylist())
-            x, both = np.searchsorted(keys[0], words), np.searchsorted(keys[1], pairs)
-            v = np.where(first, start, np.roll(x, 1)) if len(x) else x
-            sums = [
-                np.bincount(owner, use[m][x] + before[m][v] - np.log1p(counts[1][m][both] * scale[other, m] / unigram[m][x]), part.num_rows)
-                for m in range(2)
-            ]
-            yield part, np.bincount(owner, minlength=part.num_rows), sums
+    losses = []
+    for m in range(2):
+        unigram = UNIGRAM_WEIGHT * (counts[0][m] * scale[other, m] + UNIFORM_WEIGHT / begin) / (total[other, m] + UNIFORM_WEIGHT)
+        use = np.where(known, -np.log(unigram), 0.0)
+        before = np.where(known, np.log(counts[0][m] * scale[other, m] + UNIGRAM_WEIGHT), 0.0)
+        loss = use[x] + before[v]
+        times = counts[1][m][both]
+        seen = np.flatnonzero(times)
+        loss[seen] -= np.log1p(times[seen] * scale[other, m] / unigram[x[seen]])
+        losses.append(np.bincount(owner, loss, group.num_rows))
+    return np.bincount(owner, minlength=group.num_rows), losses
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -331,12 +330,10 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         return pa.Table.from_batches([_rows(list(_answered(asked, held)), _ANSWERS)])
 
     def lose(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        made = []
-        for part, n, (target, background) in _losses(numbers, key[0].as_py(), group, answers):
-            target, background = (x / np.maximum(n, 1) for x in (target, background))
-            columns = [part.column("doc_id"), *map(pa.array, (n, target, background, target - background))]
-            made.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
-        return pa.Table.from_batches(made, arrow)
+        n, losses = _losses(numbers, key[0].as_py(), group, answers)
+        target, background = (x / np.maximum(n, 1) for x in losses)
+        columns = [group.column("doc_id"), *map(pa.array, (n, target, background, target - background))]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     asked = rows.groupBy("chunk").applyInArrow(ask, _ASKING)
     answers = asked.groupBy("part", "pair").cogroup(models.table.groupBy("part", "pair")).applyInArrow(answer, _ANSWERS)

@@ -14,16 +14,21 @@ _HEAD = struct.Struct("<IB")
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers from 0, bytes of equal weight side by side; high bytes that are 0 everywhere are left out."""
     wide = (int(numbers.max()).bit_length() + 7) // 8 if len(numbers) else 0
-    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:wide]
+    numbers = numbers.astype(np.uint64, copy=False)
+    planes = np.empty((wide, len(numbers)), np.uint8)
+    for i in range(wide):
+        planes[i] = (numbers >> np.uint64(8 * i)).astype(np.uint8)
     return _HEAD.pack(len(numbers), wide) + (_CODEC.compress(planes.tobytes(), asbytes=True) if wide else b"")
 
 
 def unpack(packed: bytes) -> np.ndarray:
     n, wide = _HEAD.unpack_from(packed)
-    out = np.zeros((n, 8), np.uint8)
+    out = np.zeros(n, np.uint64)
     if wide:
-        out[:, :wide] = np.frombuffer(_CODEC.decompress(packed[_HEAD.size :], n * wide), np.uint8).reshape(wide, n).T
-    return out.view("<u8").reshape(-1).astype(np.int64)
+        planes = np.frombuffer(_CODEC.decompress(packed[_HEAD.size :], n * wide), np.uint8).reshape(wide, n)
+        for i in range(wide):
+            out |= planes[i].astype(np.uint64) << np.uint64(8 * i)
+    return out.view(np.int64)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

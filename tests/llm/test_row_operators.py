@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -378,6 +379,70 @@ def test_packed_numbers():
     assert packed.unpack_sorted(packed.pack_sorted(keys[:0])).tolist() == []
 
 
+def test_byte_words_against_plain_words():
+    r = random.Random(4)
+    long = ["x" * n + end for n in (6, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for end in ("", "y", "\0", "é")]
+    pool = ["a", "A", "Ab", "aB", "[", "{", "@", "É", "é", "中文", "\0", "\0\0", "\x85", "\u00a0b", "😀", "abcdefgh", "ABCDEFGHi", *long, *map(str.upper, long)]
+    texts = ["", " ", "\t\n", *("".join(r.choice(pool) + r.choice([" ", "\n", "\t\r", "  "]) for _ in range(r.randint(0, 60))) for _ in range(200)), "end", ""]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in texts]
+    words = [re.findall(WORD, t) for t in low]
+    hashes, sizes = textarrays.byte_words([t.encode() for t in texts])
+    assert sizes.tolist() == [len(w) for w in words]
+    named = set(zip((x for w in words for x in w), hashes.tolist()))
+    assert len(named) == len({x for x, _ in named}) == len({h for _, h in named})
+    for some in ([], [b""], [b" "]):
+        hashes, sizes = textarrays.byte_words(some)
+        assert not len(hashes) and sizes.tolist() == [0] * len(some)
+
+
+def test_distinct_and_numbered():
+    for x in (np.zeros(0, np.uint64), np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64) >> np.uint64(53), np.full(3, (1 << 64) - 1, np.uint64)):
+        want, places = np.unique(x, return_inverse=True)
+        assert np.array_equal(textarrays.distinct(x), want)
+        assert all(np.array_equal(a, b) for a, b in zip(textarrays.numbered(x), (want, places)))
+
+
+def test_lm_chunk_takes_less_time_than_plain_sets():
+    """Distinct bigrams went through a hash table that took most of the time, more than sets of plain tuples."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 100_000, 1000)) for _ in range(1000)]
+    group = pa.table({"text": texts})
+
+    def plain():
+        pairs = set()
+        for t in texts:
+            words = t.split()
+            pairs.update(zip(["", *words], words))
+        return len(pairs)
+
+    def timed(f):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            out = f()
+            took.append(time.process_time() - start)
+        return out, min(took)
+
+    (words, pairs), spent = timed(lambda: lm_difference._asked(group))
+    n, limit = timed(plain)
+    assert len(words) == len({w for t in texts for w in t.split()}) + 1 and len(pairs) == n
+    assert spent < limit
+
+
+def test_lm_texts_are_read_once_for_their_losses(monkeypatch):
+    read, tokens = [], lm_difference._tokens
+
+    def counted(texts):
+        read.append(len(texts))
+        return tokens(texts)
+
+    monkeypatch.setattr(lm_difference, "_tokens", counted)
+    group = pa.table({"doc_id": range(5), "text": ["a b a", "", "c", " ", "b"]})
+    nothing = pa.table({c: [] for c in ("part", "pair", "found", "target", "background")})
+    n, losses = lm_difference._losses((1, np.ones((2, 2)), np.ones((2, 2)), 4), 0, group, nothing)
+    assert sum(read) == 5 and n.tolist() == [3, 0, 1, 0, 1] and all(x.tolist() == [0] * 5 for x in losses)
+
+
 def test_lm_counts_go_out_in_few_bytes():
     """A row for each bigram took 24 bytes, more than the input's budget of disk."""
     r = np.random.default_rng(8)
