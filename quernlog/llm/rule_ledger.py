@@ -11,11 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlog.llm.native import indices, text_of, words
+from quernlog.llm.native import indices, let, text_of, words
 
 #: Characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
-#: Low bits of a packed window that hold its place; Spark's own row size ends before 2**28 words.
+#: Low bits of a packed window that hold its place; Spark's own row size ends before 2**28 words.  Both are powers of two.
 _PLACE_BITS = 28
 _PLACES, _HASHES = 1 << _PLACE_BITS, 1 << 35
 
@@ -51,30 +51,55 @@ def mask(names: tuple[str, ...]) -> int:
     return sum(1 << places[n] for n in names)
 
 
+def packed(hashed: Column, place: Column) -> Column:
+    """Hash and place in one long, never null, so that arrays of them are sorted as plain numbers."""
+    return F.shiftleft(hashed.bitwiseAND(F.lit(_HASHES - 1)), _PLACE_BITS).bitwiseOR(place.cast("long"))
+
+
+def place_of(window: Column) -> Column:
+    return window.bitwiseAND(F.lit(_PLACES - 1))
+
+
+def one_hash(a: Column, b: Column) -> Column:
+    """Whether two packed windows differ in their places alone."""
+    return a.bitwiseXOR(b) < F.lit(_PLACES)
+
+
+def of_shared_hashes(order: str) -> Column:
+    """Of sorted packed windows those whose hash another one has, in that order.
+
+    Most texts have none, which the number of distinct hashes tells without looking at neighbours.
+    """
+    windows, size = F.col(order), F.size(order)
+    hashes = F.transform(windows, lambda v: F.shiftright(v, _PLACE_BITS))
+
+    def has_neighbour(v: Column, i: Column) -> Column:
+        return ((i > 0) & one_hash(windows[i - 1], v)) | ((i < size - 1) & one_hash(v, windows[i + 1]))
+
+    return F.when(F.size(F.array_distinct(hashes)) == size, F.array().cast("array<bigint>")).otherwise(F.filter(windows, has_neighbour))
+
+
 def with_measures(docs: DataFrame) -> DataFrame:
     """``docs`` without its text, with the measurements as columns.
 
     Null text counts as empty: every count is 0.  Texts of any length are measured whole.  Windows of three words are
-    sorted by a hash with their place in the low bits and neighbours compared word by word; where different windows share
-    a hash, all windows of that hash are compared, so counts are exact.  A row's work stays in that row.
+    sorted by a hash with their place in the low bits.  Only windows whose hash occurs again are compared word by word,
+    with their neighbours first; where different windows share a hash, all of these are compared, so counts are exact.
+    A row's work stays in that row.
     """
     text = F.col("_text")
-    w, order, size = F.col("_words"), F.col("_order"), F.size("_order")
+    w, shared, size = F.col("_words"), F.col("_shared"), F.size("_shared")
 
     def same(a: Column, b: Column) -> Column:
         """The hash settles nearly every pair, the words the rest."""
-        i, j = F.pmod(a, F.lit(_PLACES)).cast("int"), F.pmod(b, F.lit(_PLACES)).cast("int")
+        i, j = place_of(a).cast("int"), place_of(b).cast("int")
         return one_hash(a, b) & (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
 
-    def one_hash(a: Column, b: Column) -> Column:
-        return F.shiftright(a, _PLACE_BITS) == F.shiftright(b, _PLACE_BITS)
-
     def repeated(v: Column, i: Column) -> Column:
-        before, after = order[i - 1], order[i + 1]
+        before, after = shared[i - 1], shared[i + 1]
         beside = ((i > 0) & same(before, v)) | ((i < size - 1) & same(v, after))
-        # a neighbour of the same hash that isn't equal: an equal window may stand behind it
-        hidden = ((i > 0) & one_hash(before, v)) | ((i < size - 1) & one_hash(v, after))
-        return beside | (hidden & F.exists(order, lambda u: (u != v) & same(u, v)))
+        # every window here has another one of its hash: where no neighbour is equal, an equal one may stand behind them
+        return beside | F.exists(shared, lambda u: (u != v) & same(u, v))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     first = docs.withColumn("_text", text_of()).drop("text")
@@ -101,23 +126,20 @@ def with_measures(docs: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "_order": F.sort_array(
-                    F.transform(
-                        indices(F.col("n_words").cast("int") - 2),
-                        lambda i: F.pmod(F.xxhash64(w[i], w[i + 1], w[i + 2]), F.lit(_HASHES)) * F.lit(_PLACES) + i,
+                    let(
+                        w,
+                        lambda v: F.transform(
+                            indices(F.col("n_words").cast("int") - 2),
+                            lambda i: packed(F.xxhash64(v[i], v[i + 1], v[i + 2]), i),
+                        ),
                     )
                 ),
             }
         )
-        .withColumn(
-            "_places",
-            F.sort_array(
-                F.transform(
-                    F.filter(order, repeated),
-                    lambda v: F.pmod(v, F.lit(_PLACES)),
-                )
-            ),
-        )
-        .drop("_words", "_order")
+        .withColumn("_shared", of_shared_hashes("_order"))
+        .drop("_order")
+        .withColumn("_places", F.sort_array(F.transform(F.filter(shared, repeated), place_of)))
+        .drop("_words", "_shared")
         .withColumn(
             "n_repeat_words",
             F.aggregate(

@@ -54,6 +54,35 @@ def test_repeated_words_are_exact_where_hashes_collide(table, monkeypatch, hashe
         assert got[i] == len({p for k, g in enumerate(grams) if grams.count(g) > 1 for p in (k, k + 1, k + 2)}), t
 
 
+@pytest.mark.parametrize(
+    "hashes, places",
+    [([5, 9, 5, 7, 9, 5], [0, 2, 5, 1, 4]), ([1, 2, 3], []), ([], []), ([4, 4], [0, 1]), ([8, 8, 8, 8], [0, 1, 2, 3]), ([-1, 6, (1 << 63) - 1], [0, 2])],
+)
+def test_only_windows_of_a_shared_hash_are_compared(spark, hashes, places):
+    rows = spark.createDataFrame([(hashes,)], "h array<long>")
+    order = rows.select(F.sort_array(F.transform("h", rule_ledger.packed)).alias("order"))
+    out = order.select(F.transform(rule_ledger.of_shared_hashes("order"), rule_ledger.place_of)).head()[0]
+    assert out == places
+
+
+def test_ledger_allocates_little_where_nothing_repeats(spark):
+    n_docs, n_words = 40, 3000
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n_words)), lambda i: F.concat(F.lit("w"), i)), " ")
+    docs = spark.range(0, n_docs, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text")).cache()
+    threads = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+
+    def allocated(rows):
+        before = sum(threads.getThreadAllocatedBytes(threads.getAllThreadIds()))
+        rows.write.format("noop").mode("overwrite").save()
+        return sum(threads.getThreadAllocatedBytes(threads.getAllThreadIds())) - before
+
+    try:
+        assert docs.count() == n_docs and {r.n_repeat_words for r in rule_ledger.ledger(docs).collect()} == {0}
+        assert min(allocated(rule_ledger.ledger(docs)) - allocated(docs) for _ in range(4)) < 1700 * n_docs * n_words
+    finally:
+        docs.unpersist()
+
+
 def test_ledger_of_nothing_and_unknown_policy(table):
     rows = rule_ledger.apply_policy(rule_ledger.ledger(table([])), "strict-1")
     assert rows.count() == 0 and rule_ledger.ablation(rows, "strict-1").count() == 0
