@@ -6,23 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlog.functions.fields import computed_once
+from quernlog.operators.similar_sets import similar
 from quernlog.session import materialized
 
 THRESHOLD = 0.85
 SWEEP = (0.85, 0.7, 0.6, 0.5)
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: The first of these characters is U+1100; texts without one from there on are not searched for them.
+_MAYBE_CJK = r"[\x{1100}-\x{10FFFF}]"
 
 
 def normalized_text(text: Column) -> Column:
     """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", "")
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "")
 
 
 def keywords(text: Column) -> Column:
     """Distinct ASCII words of two or more characters, and character pairs of CJK runs (single ones alone)."""
     lowered = F.lower(text)
     words = F.regexp_extract_all(lowered, F.lit("[a-z0-9]{2,}"), F.lit(0))
-    runs = F.regexp_extract_all(lowered, F.lit(f"[{_CJK}]+"), F.lit(0))
+    found = F.regexp_extract_all(lowered, F.lit(f"[{_CJK}]+"), F.lit(0))
+    wide = (F.octet_length(lowered) > F.length(lowered)) & lowered.rlike(_MAYBE_CJK)
+    runs = F.when(wide, found).otherwise(F.array().cast("array<string>"))
     pairs = F.flatten(
         F.transform(
             runs,
@@ -44,61 +49,48 @@ def exact_groups(texts: DataFrame) -> DataFrame:
     )
 
 
-def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, reps): every text with the earliest one of equal form and keywords, and those earliest ones.
+def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, reps, rows): every text with the earliest one of equal form and keywords, those earliest ones, all numbered.
 
-    Keywords stand as sorted 64-bit hashes.  Texts without a letter or digit have no representative.  A null case is a
-    case of its own.
+    Keywords stand as sorted 64-bit hashes, in ``rows`` only, so that they are never sorted or joined as a whole.  Texts
+    without a letter or digit have no representative.  A null case is a case of its own.
     """
     rows = computed_once(
         texts.select(F.struct("case_id").alias("case"), "id", "text"),
-        {"norm": normalized_text(F.col("text")), "kw": F.array_sort(F.transform(keywords(F.col("text")), lambda k: F.xxhash64(k)))},
+        {"norm": normalized_text(F.col("text")), "kw": F.sort_array(F.transform(keywords(F.col("text")), lambda k: F.xxhash64(k)))},
     )
-    rows = rows.select(
-        "case", "id", "kw", F.when(F.col("norm") != "", F.sha2("norm", 256)).alias("norm"),
-        F.md5(F.concat_ws(",", "norm", F.array_join(F.transform("kw", lambda k: k.cast("string")), ","))).alias("form"),
+    rows = rows.select("case", "id", "kw", F.when(F.col("norm") != "", F.unhex(F.sha2("norm", 256))).alias("norm"))
+    rows = materialized(rows.select(F.monotonically_increasing_id().alias("num"), F.xxhash64(F.lit("case"), "case").alias("section"), "*"))
+    form = F.when(F.col("norm").isNotNull(), F.struct("norm", F.xxhash64("kw").alias("kw")))
+    small = rows.select("num", "case", "id", "norm", form.alias("form"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "num")))
+    forms = materialized(small.filter("norm is not null").groupBy("case", "form").agg(first.alias("first")))
+    members = materialized(
+        small.select("case", "id", "form").join(forms, ["case", "form"], "left").select("case", "id", F.col("first.id").alias("rep"))
     )
-    forms = rows.filter("norm is not null").groupBy("case", "form").agg(F.min("id").alias("rep"))
-    members = materialized(rows.select("case", "id", "norm", "form").join(forms, ["case", "form"], "left").select("case", "id", "norm", "rep"))
-    reps = rows.join(forms, ["case", "form"]).filter("id = rep").select("case", "id", "norm", "kw").dropDuplicates(["case", "id"])
-    return members, materialized(reps)
-
-
-def _needed(n: Column, m: Column, threshold: float) -> Column:
-    """Least number of common keywords of two sets of n and m that are as similar as the threshold."""
-    return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+    reps = forms.filter("first is not null").groupBy("case", F.col("first.id").alias("id")).agg(
+        F.min(F.struct(F.col("first.num").alias("num"), F.col("form.norm").alias("norm"))).alias("one")
+    )
+    return members, materialized(reps.select("case", "id", "one.num", "one.norm")), rows
 
 
-def links(reps: DataFrame, threshold: float) -> DataFrame:
+def links(reps: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """(case, id, other, score, exact) for every two representatives, other the earlier, that are exact or similar.
 
-    Keywords are ordered from rare to common.  Two sets as similar as the threshold share one of their first
-    ``n - ceil(t n) + 1`` keywords, so only these are joined, where lengths and the places of the shared keyword still
-    allow the similarity; each pair is then verified once on the whole sets.
+    Sets of keywords that may be as similar as the threshold are found and counted by :func:`similar_sets.similar`.
     """
-    sized = reps.select("case", "id", F.size("kw").alias("n"), F.explode("kw").alias("token"))
-    counted = sized.join(sized.groupBy("case", "token").agg(F.count(F.lit(1)).alias("df")), ["case", "token"])
-    ordered = counted.groupBy("case", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    index = materialized(
-        ordered.select("case", "id", "n", F.posexplode(F.slice("t", F.lit(1), prefix)).alias("place", "e"))
-        .filter("e.df > 1").select("case", "id", "n", "place", F.col("e.token").alias("token"))
-    )
-    one = index.select("case", "token", "id", "n", "place")
-    two = index.select("case", "token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
-    common = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
-    near = one.join(two, ["case", "token"]).filter((F.col("other") < F.col("id")) & (common >= _needed(F.col("n"), F.col("m"), threshold)))
-    forms = reps.select("case", "norm", "id")
+    score = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
+    found = similar(rows, reps.select("num"), threshold).select("a", "b", score.alias("score")).filter(F.col("score") >= threshold)
+    # few columns, as there may be many links: the case only on one side, hashes on both
+    told = F.xxhash64("case", "norm").alias("told"), F.xxhash64("case").alias("section")
+    one = reps.select(F.col("num").alias("a"), "case", "id", *told)
+    two = reps.select(F.col("num").alias("b"), F.col("id").alias("other"), told[0].alias("other_told"), told[1].alias("other_section"))
+    named = found.join(one, "a").join(two, "b").filter("section = other_section and told <> other_told")
+    near = named.select("case", F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"), "score", F.lit(False).alias("exact"))
+    shared = reps.groupBy("case", "norm").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("case", "norm")
+    forms = reps.select("case", "norm", "id").join(shared, ["case", "norm"], "left_semi")
     same = forms.join(forms.withColumnRenamed("id", "other"), ["case", "norm"]).filter("other < id")
-    pairs = near.select("case", "id", "other").union(same.select("case", "id", "other")).distinct()
-    left = reps.select("case", "id", F.col("norm").alias("na"), F.col("kw").alias("ka"))
-    right = reps.select("case", F.col("id").alias("other"), F.col("norm").alias("nb"), F.col("kw").alias("kb"))
-    both = pairs.join(left, ["case", "id"]).join(right, ["case", "other"])
-    both = computed_once(both, {"common": F.size(F.array_intersect("ka", "kb"))})
-    score = F.col("common") / F.nullif(F.size("ka") + F.size("kb") - F.col("common"), F.lit(0))
-    exact = F.col("na") == F.col("nb")
-    scored = both.select("case", "id", "other", F.when(exact, 1.0).otherwise(F.coalesce(score, F.lit(0.0))).alias("score"), exact.alias("exact"))
-    return scored.filter(F.col("exact") | (F.col("score") >= threshold))
+    return near.union(same.select("case", "id", "other", F.lit(1.0).alias("score"), F.lit(True).alias("exact")))
 
 
 def settled(texts: DataFrame, thresholds: tuple[float, ...] = SWEEP) -> DataFrame:
@@ -109,9 +101,9 @@ def settled(texts: DataFrame, thresholds: tuple[float, ...] = SWEEP) -> DataFram
     They are settled in rounds: a text whose earlier links are all settled and blocked is accepted, one with an
     accepted earlier link is blocked.  Rounds end with the longest chain of links, not with the number of texts.
     """
-    members, reps = _representatives(texts)
+    members, reps, rows = _representatives(texts)
     wanted = F.array(*[F.lit(float(t)) for t in thresholds])
-    found = materialized(links(reps, min(thresholds)))
+    found = materialized(links(reps, rows, min(thresholds)))
     meets = F.explode(F.filter(wanted, lambda t: F.col("exact") | (F.col("score") >= t))).alias("threshold")
     key = ["threshold", "case", "id"]
     open_links = found.select(meets, "case", "id", "other")

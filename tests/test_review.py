@@ -1,3 +1,5 @@
+import itertools
+import pathlib
 import random
 import re
 
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernlog.operators import audit, dedup, entities, files, review, rules
 from quernlog.operators.search import page_range
+from quernlog.session import ensure_checkpoint_dir
 from quernlog.streaming import incremental
 
 
@@ -149,6 +152,48 @@ def test_duplicate_replay_matches_sequential_rule(spark):
         assert sums[t] == (len(kinds), kinds.count("exact"), kinds.count("similar"))
 
 
+def test_duplicate_links_are_those_of_all_pairs(spark):
+    rng = random.Random(2)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(5000)]
+    texts = []
+    for i in range(400):
+        if i % 3 and texts:
+            words = list(rng.choice(texts[-40:])[2])
+            for _ in range(rng.choice([0, 1, len(words) // 8, len(words) // 3])):
+                words[rng.randrange(len(words))] = rng.choice(rare)
+        else:
+            size = rng.choice([3, 10, 30, 70, 150, 400])
+            words = rng.sample(common, min(size // 2, 60)) + rng.sample(rare, size // 2)
+        # a keyword may be the case's name
+        texts.append((rng.choice(["es", "fr"]), i, [*words, "es"]))
+    df = spark.createDataFrame([(c, i, " ".join(w)) for c, i, w in texts], "case_id string, id bigint, text string")
+    sets = [(c, i, "".join(w), set(w)) for c, i, w in texts]
+    for t in (0.5, 0.85, 1.0):
+        _, reps, rows = dedup._representatives(df)
+        got = {(r.case.case_id, r.id, r.other): (r.score, r.exact) for r in dedup.links(reps, rows, t).collect()}
+        first = {(r.case.case_id, r.id) for r in reps.collect()}
+        want = {}
+        for (c, i, a, x), (d, j, b, y) in itertools.product(sets, sets):
+            if c == d and j < i and (c, i) in first and (c, j) in first:
+                score = len(x & y) / len(x | y)
+                if a == b or score >= t:
+                    want[c, i, j] = (1.0 if a == b else score, a == b)
+        assert got == want and len(want) > (10 if t < 1 else 0)
+
+
+def test_duplicate_rounds_keep_little_on_disk(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    texts = [(i, " ".join(rng.sample(vocabulary, 300))) for i in range(400)]
+    df = spark.createDataFrame([("c", i, t) for i, t in texts], "case_id string, id bigint, text string")
+    ensure_checkpoint_dir(spark)
+    kept = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(kept.rglob("part-*"))
+    assert {r.verdict for r in dedup.settled(df, (0.5,)).collect()} == {"none"}
+    written = sum(f.stat().st_size for f in set(kept.rglob("part-*")) - before)
+    assert written < 2.5 * sum(len(t) for _, t in texts)
+
+
 def test_duplicate_replay_without_links(spark):
     df = spark.createDataFrame([("c", 1, "one two"), ("c", 2, "three four"), ("c", 3, None)], "case_id string, id bigint, text string")
     assert [r.verdict for r in dedup.replay(df).collect()] == ["none"] * 3
